@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op3_byte_bpe
 from .language_id import op1_language_id
+from .pii import op10_pii
+from .topk import OP7_SQL, op7_topk
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op7_topk": op7_topk,
+    "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_topk": OP7_SQL, "op9_warc": OP9_SQL}
