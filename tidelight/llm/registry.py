@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op3_byte_bpe
+from .decontaminate import op8_decontaminate
 from .language_id import op1_language_id
+from .licences import op2_licences
 from .pii import op10_pii
 from .topk import OP7_SQL, op7_topk
+from .urls import op6_url_filter
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_licences": op2_licences,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_url_filter": op6_url_filter,
     "op7_topk": op7_topk,
+    "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
 }
