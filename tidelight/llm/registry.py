@@ -6,6 +6,7 @@ from .bpe import op3_byte_bpe
 from .decontaminate import op8_decontaminate
 from .language_id import op1_language_id
 from .licences import op2_licences
+from .near_duplicates import op5_near_duplicates
 from .pii import op10_pii
 from .topk import OP7_SQL, op7_topk
 from .urls import op6_url_filter
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_licences": op2_licences,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
     "op7_topk": op7_topk,
     "op8_decontaminate": op8_decontaminate,
