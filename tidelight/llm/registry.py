@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_byte_bpe
 from .decontaminate import op8_decontaminate
+from .html_text import op4_html_text
 from .language_id import op1_language_id
 from .licences import op2_licences
 from .near_duplicates import op5_near_duplicates
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_licences": op2_licences,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_html_text": op4_html_text,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
     "op7_topk": op7_topk,
