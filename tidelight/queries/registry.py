@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("events",)
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -17,7 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"two queries named {name}")
-        _QUERIES[name] = f
+        _QUERIES[name] = _utc(f)
         if sql:
             _SQL[name] = sql
         return f
@@ -25,8 +28,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _utc(f: Query) -> Query:
+    """Times are computed in UTC, whatever zone the session came with."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return f(spark, sf_dir)
+
+    return run
+
+
 def _load() -> None:
-    pass
+    """Importing the modules registers their queries."""
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
 
 
 def queries() -> dict[str, Query]:
