@@ -93,3 +93,9 @@ def duplicate_keys(df: DataFrame, keys: list[str], more_than: int = 1) -> DataFr
 
 def row_span(df: DataFrame, time: str, by: list[str], distinct: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(distinct).alias("n_ids"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
+
+
+def history_cap(df: DataFrame, time: str, hours: int) -> DataFrame:
+    """The last hours of a table, counted back from its newest row."""
+    newest = df.agg(F.max(time).alias("_newest"))
+    return df.join(F.broadcast(newest), F.col(time) > F.col("_newest") - F.expr(f"interval {hours} hours")).drop("_newest")

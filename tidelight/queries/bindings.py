@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Params
 from ..functions.scalars import event_id
 from ..operators import baseline, minutes, nights, quality, state
+from ..sources.layers import stored
 
 #: Hourly windows, as the events are sparse; widths and counts follow.
 P = Params(
@@ -59,21 +60,34 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.label_quality(rows)
 
 
-def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir)
     values = F.when(F.col("signal") == "acc", F.create_map(*[v for a in "xyz" for v in (F.lit(a), F.col(a))])).otherwise(F.create_map(F.lit("value"), F.col("value")))
     df = df.withColumn("event_id", event_id(F.col("participant_id"), F.col("signal"), F.col("source_row")))
     return df.withColumn("values", values).select(*quality.COLUMNS, "quality_reason")
 
 
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+# The layers are tables, as they would be in use; each is built from the one before and read by many queries.
+def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "bronze", lambda: build_bronze(spark, sf_dir))
+
+
+def build_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minutes.silver(bronze(spark, sf_dir), P)
 
 
-def silver_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "silver", lambda: build_silver(spark, sf_dir))
+
+
+def build_silver_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.add_z(silver(spark, sf_dir), P)
 
 
+def silver_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "silver_z", lambda: build_silver_z(spark, sf_dir))
+
+
 def rests(z: DataFrame) -> DataFrame:
     return nights.rest_runs(nights.night_grid(z, nights.night_bounds(z, P), P), P)
 
@@ -83,10 +97,14 @@ def with_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nights.attach_night(z, rests(z))
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.gold(with_nights(spark, sf_dir), P)
 
 
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "gold", lambda: build_gold(spark, sf_dir))
+
+
 EV = """ev AS (
   SELECT event_id, ts, user_id, value, props, event_type, 'p' || (user_id % 2) AS participant_id,
     CASE event_type WHEN 'click' THEN 'hr' WHEN 'view' THEN 'eda' WHEN 'purchase' THEN 'acc' WHEN 'error' THEN 'temp' ELSE 'ibi' END AS signal,
