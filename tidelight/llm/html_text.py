@@ -25,13 +25,13 @@ import re
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dom import Node, parse
 from .language_id import pa_schema
-from .store import new_folder, table
+from .store import new_folder, table, written
 
 # Tags and attribute words by what they commonly hold.
 TEXT_TAGS = ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "section", "div", "li", "ul", "ol", "table", "td", "figure", "a", "span")
@@ -221,12 +221,11 @@ def sampled_rows(pages: DataFrame, n_pages: int, rewrites: int) -> DataFrame:
 def train(pages: DataFrame, n_pages: int = 240, rewrites: int = 4, trees: int = 20, depth: int = 5) -> list[tuple[float, list]]:
     """The boosted trees, learned from a bounded sample of pages, as nested tuples."""
     spark = pages.sparkSession
-    rows = sampled_rows(pages, n_pages, rewrites).toPandas()  # bounded by n_pages and the sample's page size
-    if rows.empty or rows.label.nunique() < 2:
+    rows = written(sampled_rows(pages, n_pages, rewrites), "dom-nodes")
+    if rows.select("label").distinct().count() < 2:
         return []
-    df = spark.createDataFrame([(float(y), Vectors.dense(x)) for y, x in zip(rows.label, rows.x, strict=True)], ["label", "features"]).coalesce(2).cache()
+    df = rows.select("label", array_to_vector("x").alias("features")).coalesce(4)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, checkpointInterval=-1).fit(df)
-    df.unpersist()
     path = new_folder(spark, "boosted-trees")
     model.write().save(path)
     return nested(spark, path, list(model.treeWeights))
