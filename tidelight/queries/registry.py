@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("events", "states", "plans")
+MODULES = ("events", "states", "plans", "io")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
