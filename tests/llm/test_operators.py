@@ -1,0 +1,509 @@
+"""The training-data operators on small tables, against brute force, other libraries and round trips."""
+
+import hashlib
+import html
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidelight.llm import bpe, components, decontaminate, html_text, language_id, licences, near_duplicates, pii, topk, urls, warc
+from tidelight.llm.store import new_folder
+
+DATA = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = random.Random(11)
+WORDS = ["".join(RNG.choice(["th", "an", "er", "on", "re", "ti", "en", "at"]) for _ in range(RNG.randint(1, 4))) for _ in range(400)]
+
+
+def words(n, rng=RNG):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def docs_frame(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", None if t is None else len(t)) for i, t, lang in rows], DOC)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, null ids, no letters, a long text, repeated rows, and extra columns with names that operators use."""
+    long = words(20_000)
+    rows = [(1, None, "en"), (2, "", "en"), (3, "12 %%% 7", None), (4, long, "en"), (4, long, "en"), (None, "a text without an id", "en"), (6, "日本語 текст", "xx"), (7, " \n\t ", "en"), (8, "one", "en"), (9, "one", "en")]
+    df = docs_frame(spark, rows)
+    for c in ("lang_pred", "score", "spans", "n_tokens", "row_key", "class_id", "bucket", "w", "block"):
+        df = df.withColumn(c, F.lit("own"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return docs_frame(spark, []).select("*")
+
+
+# Language ID
+
+
+def test_phrases_equal_a_greedy_parse():
+    samples = {"a": "abcab cabba", "b": "xyz zyx xx abc"}
+    p = language_id.CrossParser(samples)
+    codes = p.codes()
+    texts = ["abc abq", "zyx", "", "qq", "a" * 1300, "xyz zyx, ABC"]
+    letters, rates = p.rates(texts, codes)
+    for t, has, row in zip(texts, letters, rates, strict=True):
+        s = "".join(c if c.isalpha() else " " for c in t.lower())
+        s = re.sub(" +", " ", s)
+        assert has == sum(c.isalpha() for c in t)
+        for k, lang in enumerate(p.languages):
+            n = 0
+            for at in range(0, len(s), language_id.BLOCK):
+                rest = s[at : at + language_id.BLOCK]
+                while rest:
+                    size = 1
+                    while size < len(rest) and rest[: size + 1] in language_id.letters_only(samples[lang]):
+                        size += 1
+                    n, rest = n + 1, rest[size:]
+            want = n * np.log2(p.sizes[k]) / max(1, len(s))
+            assert row[k] == pytest.approx(want), (t, lang)
+
+
+def test_languages_held_out(spark):
+    rows = language_id.op1_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()
+    assert len(rows) > 10
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_odd_texts_have_a_language_or_und(spark, odd, empty):
+    p = language_id.CrossParser({"en": words(500), "de": "der die das und nicht ein eine " * 30})
+    got = [(r.doc_id, r.lang_pred) for r in language_id.identify(odd, p).collect()]
+    assert Counter(got)[(4, "en")] == 2
+    assert {k for k, v in got if v == "und"} == {1, 2, 3, 7}
+    assert language_id.identify(empty, p).count() == 0
+    nothing = language_id.learn(empty)
+    assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
+    assert language_id.stage(spark, odd, DATA).columns == odd.columns
+
+
+# Byte-level BPE
+
+
+def test_bpe_equals_tiktoken(spark, odd, empty):
+    import tiktoken
+
+    path, pattern = bpe.rank_file()
+    ranks = bpe.read_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aabcdeé \n\t\x1c\u0085ß日本1２'st!?—🙂 THE ") for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["a" * 3000, " " * 999, "ab" * 2000, words(3000)]
+    encoder = bpe.Encoder(ranks, pattern)
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(t)
+        assert encoder.replay.decode(ids) == t.encode()
+    for r in bpe.encode_decode(odd, path, pattern, keep_ids=True).collect():
+        ids = own.encode_ordinary(r.text or "")
+        assert (r.n_tokens, r.ids) == (len(ids), ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert bpe.encode_decode(empty, path, pattern).count() == 0
+
+
+def test_long_texts_are_split_like_others(monkeypatch):
+    path, pattern = bpe.rank_file()
+    e = bpe.Encoder(bpe.read_ranks(path), pattern)
+    texts = [words(3000), "short"]
+    whole = list(e.encode(texts))
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 100)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 50)
+    e.cache.clear()
+    assert list(e.encode(texts)) == whole
+
+
+# Personal data
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(t):
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = re.sub(r"\D", "", m[0])
+        if 16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(4)
+    for _ in range(8000):
+        t = "".join(rng.choice(rng.choice(["ab@.-+%", "0123456789 .-", "+1() -.5", "@a.b", "４а"])) for _ in range(rng.randint(0, 60)))
+        assert pii.base_spans(t) == plain_spans(t)
+        base, both = pii.find(t)
+        assert set(base) <= set(both)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("mail john (at) site [dot] com now", "john (at) site [dot] com"), ("to jane dot doe at example dot org please", "jane dot doe at example dot org"), ("plus one five five five one two three four five six seven", "plus one five five five one two three four five six seven"),
+        ("аdmin@exаmple.com", "аdmin@exаmple.com"), ("１９２.１６８.1.1 x", "１９２.１６８.1.1"), ("4\u200b111 1111 1111 1111", "4\u200b111 1111 1111 1111"), ("look at the red dot on it", None), ("one two three", None), ("meet at noon dot matrix", None),
+    ],
+)
+def test_disguises(text, found):
+    base, spans = pii.find(text)
+    assert base == []
+    assert [text[a:b] for _, a, b in spans] == ([found] if found else [])
+    assert (found is None) == (pii.masked(text) == text)
+
+
+def test_pii_of_odd_texts(spark, odd, empty):
+    rows = pii.detect(odd).collect()
+    assert {(r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in rows} == {(0, 0, 0, 0, "")}
+    assert {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
+    assert pii.detect(empty).count() == 0
+    df = docs_frame(spark, [(1, "x a@b.co y", "en"), (2, None, "en")])
+    got = {r.doc_id: (r.text, r.n_chars) for r in pii.stage(spark, df, DATA).collect()}
+    assert got == {1: ("x [email] y", 11), 2: (None, None)}
+
+
+def test_long_runs_are_linear():
+    for t in ("a" * 200_000 + "@", "1" * 200_000, "a@" * 50_000, "+1 " * 50_000, "1." * 50_000):
+        pii.find(t)
+
+
+# Near copies
+
+
+def brute_groups(rows, threshold=0.8):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"\w+", (t or "").lower())
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    like = lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= threshold
+    links, up = Counter(), {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if like(sets[i], sets[j]):
+                links[i] += 1
+                links[j] += 1
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    classes = {}
+    return {i: (classes.setdefault(sets[i] or i, i), top(i), links[i]) for i in ids}
+
+
+def near_rows(n=120, copies=40):
+    rng, rows = random.Random(9), []
+    base = words(120, rng)
+    for i in range(n):
+        rows.append(words(rng.randint(0, 150), rng))
+    for _ in range(copies):
+        w = base.split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append(" ".join(w))
+    rows += [rows[5], rows[5].upper() + "!", rows[6], "one two", "one two"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)  # so that buckets and clusters take many blocks
+    rows = near_rows()
+    got = {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_duplicates.near_duplicates(docs_frame(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == brute_groups(rows)
+    kept = {r.doc_id for r in near_duplicates.stage(spark, docs_frame(spark, [(i, t, "en") for i, t in rows]), DATA).collect()}
+    assert kept == {g for _, g, _ in got.values()}
+
+
+def test_near_copies_of_odd_texts(spark, odd, empty):
+    got = near_duplicates.near_duplicates(odd).collect()
+    assert len(got) == odd.count()
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.class_id, r.group_id, r.n_links))
+    assert by[1] == [(1, 1, 0)]
+    assert by[9] == [(8, 8, 1)]
+    assert by[None] == [(None, None, 0)]
+    assert by[4] == [(4, 4, 1)] * 2
+    assert near_duplicates.near_duplicates(empty).count() == 0
+    assert near_duplicates.stage(spark, odd, DATA).count() == odd.count() - 1
+
+
+def test_bands_reach_the_recall():
+    b = near_duplicates.bands_for(0.8, 0.9999, 6)
+    assert (1 - 0.8**6) ** b <= 1e-4 < (1 - 0.8**6) ** (b - 1)
+
+
+def test_components_of_a_chain_and_stars(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(139, 200)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {v for k, v in got.items() if k <= 60} == {1}
+    assert {v for k, v in got.items() if k >= 100} == {100}
+    assert len(got) == 60 + 40 + 1
+
+
+# Decontamination
+
+ITEM = "was told that Tom bought 12 apples and 30 pears at the old market before noon while Tom sold 12 of them again to a friend"
+
+PLAIN = "the old market was closed before noon and a friend of theirs went home without any of the pears"
+
+
+def leak_pairs(spark, docs, items=((1, ITEM),)):
+    bench = spark.createDataFrame(list(items), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs_frame(spark, [(i, t, "en") for i, t in docs]), bench).collect()}
+
+
+def test_leaks_and_slots(spark):
+    changed = ITEM.replace("Tom", "Ann").replace("12", "7").replace("30", "99")
+    crossed = ITEM.replace("Tom sold 12", "Ann sold 45")
+    docs = [(1, f"{words(50)}. {ITEM} {words(50)}"), (2, f"so it {changed} and so on"), (3, words(200)), (4, PLAIN.upper() + "!"), (5, " ".join(ITEM.split()[:9])), (6, crossed), (7, None), (8, "")]
+    got = leak_pairs(spark, docs, [(1, ITEM), (2, PLAIN)])
+    assert {k[0] for k in got} == {1, 2, 4} | ({6} & {k[0] for k in got})
+    assert got[1, 1].changed_slots == 0
+    assert got[2, 1].changed_slots == 3
+    if (6, 1) in got:
+        assert got[6, 1].n_matched < got[1, 1].n_matched
+
+
+def test_leaks_equal_plain_windows(spark):
+    """Items without slots: coverage is the share of the item's five-word windows."""
+    rng = random.Random(21)
+    items = [(i, words(rng.randint(4, 40), rng)) for i in range(20)] + [(20, None), (21, "two words")]
+    docs = []
+    for i in range(80):
+        w = words(rng.randint(0, 80), rng).split()
+        if i % 3 == 0:
+            part = (items[rng.randrange(20)][1]).split()
+            cut = rng.randint(0, max(0, len(part) // 3))
+            at = rng.randint(0, len(w))
+            w[at:at] = part[cut:]
+        docs.append((i, " ".join(w)))
+    windows = lambda t: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}
+    want = {}
+    for d, t in docs:
+        own = windows(t)
+        for i, item in items[:20]:
+            places = [tuple(item.split()[j : j + 5]) for j in range(len(item.split()) - 4)]
+            hit = sum(p in own for p in places)
+            if places and (hit >= np.ceil(len(places) * 0.8) or hit >= 26):
+                want[d, i] = (len(places), hit)
+    assert {k: (r.n_windows, r.n_matched) for k, r in leak_pairs(spark, docs, items).items()} == want
+    assert len(want) > 5
+
+
+def test_leak_stage_and_empty_tables(spark, odd, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.leaks(odd, bench).count() == 0
+    assert decontaminate.leaks(empty, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
+    kept = decontaminate.stage(spark, odd, DATA)
+    assert kept.columns == odd.columns
+    assert kept.count() == odd.count()
+
+
+# URLs
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path", "rule"),
+    [
+        ("http://a.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/"), ("https://net/", "net", "/", "net/"), ("http://x.net", "x.net", "", None), ("http://notnet/", "notnet", "/", None), ("http://example.com/de/1", "example.com", "/de/1", "example.com/de/"),
+        ("http://example.com/DE/1", "example.com", "/DE/1", None), ("http://b.org/fr/", "b.org", "/fr/", "org/fr/"), ("nothing", "", "", None), (None, "", "", None), ("a://b?c/d", "b", "", None), ("http://a.org#/fr/", "a.org", "", None), ("http://u.net/a://b.org/fr/", "u.net", "/a://b.org/fr/", "net/"),
+    ],
+)
+def test_fixed_rules(spark, url, host, path, rule):
+    df = spark.createDataFrame([(url,)], "u string").select(urls.host_of(F.col("u")).alias("h"), urls.path_of(F.col("u")).alias("p"))
+    r = df.withColumn("r", urls.fixed_rule(F.col("h"), F.col("p"))).first()
+    assert (r.h, r.p, r.r) == (host, path, rule)
+
+
+def test_mined_rules_block(spark):
+    pages = [(i, f"http://www.site{i % 7}.com/{'casino/win' if i % 4 == 0 else 'casino/news' if i % 4 == 1 else 'blog'}/{i}") for i in range(200)] + [(200, None), (201, "x"), (202, "http://new.com/casino/deep/win/1"), (202, "http://new.com/casino/deep/win/1")]
+    labels = [(i, i % 4 == 0) for i in range(150)] + [(150, None)]
+    args = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean")
+    got = [(r.page_id, r.verdict) for r in urls.judge(*args).collect()]
+    assert len(got) == len(pages)
+    assert {k for k, v in got if v == "block"} == {i for i in range(200) if i % 4 == 0} | {202}
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    assert {r.verdict for r in urls.judge(args[0], none).collect()} == {"allow"}
+    assert urls.judge(args[0].limit(0), args[1]).count() == 0
+
+
+# Top-k
+
+
+def brute_top(vectors, queries, k):
+    out = []
+    for q, v in queries:
+        scored = sorted(((-int(np.dot(v[: min(len(v), len(x))], x[: min(len(v), len(x))])), i) for i, x in vectors if i != q))
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("dims", [2, 16])
+def test_top_k_equals_brute_force(spark, monkeypatch, dims):
+    monkeypatch.setattr(topk, "BLOCK", 60)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = np.random.default_rng(dims)
+    vectors = [(i, rng.integers(-3 if dims == 2 else -900, 4 if dims == 2 else 900, dims).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.top_k(frame.filter("vec_id % 20 = 0"), frame, 10).collect())
+    assert got == brute_top(vectors, [x for x in vectors if x[0] % 20 == 0], 10)
+
+
+def test_vectors_that_take_part(spark):
+    rows = [(100, [0.5, -0.5]), (1, [0.1, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, []), (200, [0.0, 0.0])]
+    v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert {r.vec_id: r.v for r in v.collect()} == {100: [512, -512], 1: [102, 0], 6: [], 200: [0, 0]}
+    got = sorted(tuple(r) for r in topk.top_k(v.filter("vec_id % 100 = 0"), v, 10).collect())
+    assert got == [(100, 1, 1, 512 * 102), (100, 2, 6, 0), (100, 3, 200, 0), (200, 1, 1, 0), (200, 2, 6, 0), (200, 3, 100, 0)]
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+# WARC
+
+
+def test_warc_round_trip(spark):
+    import zstandard
+
+    big = "x" * 150
+    rows = [(3, "http://a/1", big), (1, "http://a/é\r\n2", big), (2, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "ü" * 40), (None, "u", big), (8, "u", "y\r\n\r\n" * 60), (8, "u", "y\r\n\r\n" * 60)]
+    folder = new_folder(spark, "warc-test")
+    pages = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, digest string")
+    warc.write_bundles(pages, folder)
+    got = sorted((tuple(r) for r in warc.read_bundles(spark, folder).collect()), key=repr)
+    want = []
+    for i, _, h in rows:
+        p = (h or "").encode()
+        first = 1 if h == big and i != 1 else None
+        want.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if first else "response", first))
+    assert got == sorted(want, key=repr)
+    [(head, block)] = warc.read_record(spark, folder, 7)
+    assert (block.decode(), head["WARC-Type"]) == ("ü" * 40, "response")
+    for r in spark.read.format("binaryFile").load(f"{folder}/bundles").collect():
+        whole = zstandard.ZstdDecompressor().stream_reader(bytes(r.content), read_across_frames=True).read()
+        assert whole.startswith(b"WARC/1.1\r\n")
+        assert sum(x[2] for x in warc.seek_table(bytes(r.content))) == len(whole)
+
+
+def test_warc_of_no_pages(spark):
+    folder = new_folder(spark, "warc-test")
+    warc.write_bundles(spark.createDataFrame([], "page_id long, url string, html string"), folder)
+    assert warc.read_bundles(spark, folder).count() == 0
+
+
+def test_frames_and_bundles_roll(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 2000)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 3000)
+    writer = warc.BundleWriter(new_folder(spark, "warc-test"))
+    writer.files.create_dir(writer.root, recursive=True)
+    rng = random.Random(1)
+    for i in range(40):
+        writer.add(i, warc.record(i, "u", rng.randbytes(700), "0" * 64, None))
+    writer.close()
+    index = writer.index().to_pylist()
+    assert len({r["bundle"] for r in index}) > 3
+    assert max(r["frame"] for r in index) >= 1
+    assert [r["page_id"] for r in index] == list(range(40))
+
+
+# HTML
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return html_text.train(spark.read.parquet(f"{DATA}/pages.parquet"), n_pages=25, rewrites=5, trees=10)
+
+
+def test_main_text_of_the_pages(spark, trees):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    good = 0
+    for r in html_text.extract(pages, trees).collect():
+        body = re.search(r"<article>(.*?)</article>", source[r.page_id], re.S)[1].replace("<b>", "").replace("</b>", "")
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)[^>]*>", body))
+        assert r.n_chars == len(r.text)
+        good += r.text == "\n".join(x for x in blocks if x)
+    assert good >= 0.98 * len(source)
+
+
+LAYOUT = '<html><body><div id="header"><p>Site name</p></div><div class="content"><h1>Title &amp; more</h1><p>{a}<p>{b}<br>c</p><script>var x="</p>"</script></div><div id="sidebar"><h3>Related</h3><ul><li><a href=x>one</a></li><li><a>two</a></li></ul></div><div class="comments"><div class="comment"><p>{c}</p></div></div><footer>end</footer>'
+
+
+def test_another_layout(trees):
+    a, b, c = words(60), words(50), words(20)
+    assert html_text.main_text(LAYOUT.format(a=a, b=b, c=c), trees) == f"Title & more\n{a}\n{b} c"
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<<>>", "</div></p>", "<p", "<!--", "<script>x", "&#x110000;&nbsp;", "<a b='", "\x00"])
+def test_odd_pages_do_not_break(trees, page):
+    assert isinstance(html_text.main_text(page, trees), str)
+
+
+def test_decoding_has_no_contradictions(trees):
+    nodes, _ = html_text.measured(LAYOUT.format(a="x", b="y", c="z") * 3)
+    rng = random.Random(0)
+    for _ in range(50):
+        kept = html_text.decode(nodes, [rng.uniform(-2, 2) for _ in nodes])
+        assert all(id(n.parent) in kept for n in nodes[1:] if id(n) in kept)
+
+
+def test_no_pages_to_learn_from(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.train(pages) == []
+    assert html_text.extract(pages, []).count() == 0
+
+
+# Licences
+
+
+def test_licences_and_inheritance(spark):
+    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    rows = [
+        ("a/LICENSE", f"Notice\n{apache}\n"), ("a/x.txt", "plain text"), ("a/b/c/y.txt", "plain text"), ("a/b/LICENSE", mit), ("a/own.txt", f"{words(30)}\n{mit}\n{words(30)}"), ("z/x.txt", "no licence here"),
+        ("z/none.txt", None), (None, apache), (None, None), ("a/x.txt", "plain text"), ("top.txt", ""),
+    ]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "path string, text string, similarity string")
+    got = Counter((r.path, r.licence, r.origin) for r in licences.scan(df).collect())
+    assert got[("a/x.txt", "Apache-2.0", "a")] == 2
+    assert got[("a/b/c/y.txt", "MIT", "a/b")] == 1
+    assert got[("a/own.txt", "MIT", "own")] == 1
+    assert got[("z/x.txt", None, None)] == got[("z/none.txt", None, None)] == got[("top.txt", None, None)] == 1
+    assert got[(None, "Apache-2.0", "own")] == got[(None, None, None)] == 1
+    assert sum(got.values()) == len(rows)
+    assert licences.scan(df.limit(0)).count() == 0
+
+
+# Pipeline
+
+
+def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    left = {i: t for i, t in rows.items() if any(c.isalpha() for c in t or "")}
+    left = {i: left[i] for i, (_, g, _) in brute_groups(list(left.items())).items() if i == g}
+    items = [r.text.lower() for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    grams = lambda t: [tuple(re.sub(r"[^\w\s]", "", t.lower()).split()[j : j + 5]) for j in range(len(t.split()) - 4)]
+    leaked = {i for i, t in left.items() for x in items if (g := grams(x)) and sum(w in set(grams(t)) for w in g) >= min(0.8 * len(g), 26)}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == set(left) - leaked
+    encoder = bpe.Encoder(bpe.read_ranks(bpe.rank_file()[0]), bpe.rank_file()[1])
+    for i, ids in zip(got, encoder.encode([pii.masked(left[i]) for i in got]), strict=True):
+        assert got[i].ids_sha256 == hashlib.sha256(ids).hexdigest()
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "pii", "byte_bpe"]

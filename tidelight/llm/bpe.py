@@ -89,6 +89,8 @@ class MergeReplay:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
+        if not words:
+            return []
         n = len(words)
         sizes = np.fromiter(map(len, words), np.int64, n)
         sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]

@@ -210,7 +210,7 @@ def pa_schema(df: DataFrame, more: dict[str, str]):
 
     out = StructType(list(df.schema.fields))
     for name, kind in more.items():
-        out = out.add(name, kind)
+        out = out.add(name, StructType.fromDDL(f"x {kind}")[0].dataType)
     return out
 
 

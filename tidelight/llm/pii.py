@@ -95,9 +95,9 @@ _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _SPELLED = re.compile(rf"(?i)(?<![a-z]){_WORD}(?:[ -]+{_WORD}){{6,}}(?![a-z])")
 _SPELLED_PLUS = re.compile(r"(?i)(?<![a-z])plus[ ]+$")
 _ONE_WORD = re.compile(rf"(?i){_WORD}")
-# Bracketed words stand for a sign by themselves; bare ones only inside local at domain dot top.
+# Bracketed words stand for a sign by themselves; bare ones only inside `local at domain dot top`, with a short top.
 _BRACKETED = re.compile(r"(?i)\s{0,3}[(\[{<]\s{0,3}(at|dot)\s{0,3}[)\]}>]\s{0,3}")
-_BARE = re.compile(r"(?i)(?<=[a-z0-9])(\s{1,3}at\s{1,3})(?=[a-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}[a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){0,8}\s{1,3}dot\s{1,3}[a-z]{2,})")
+_BARE = re.compile(r"(?i)(?<=[a-z0-9])(\s{1,3}at\s{1,3})(?=[a-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}[a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){0,8}\s{1,3}dot\s{1,3}[a-z]{2,4}(?![a-z]))")
 _BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9])")
 _BRACKET_HINT = re.compile(r"(?i)[(\[{<]\s{0,3}(?:at|dot)\s{0,3}[)\]}>]")
 _SPELLED_HINT = re.compile(rf"(?i){_WORD}[ -]+{_WORD}[ -]+{_WORD}[ -]+{_WORD}")
