@@ -43,34 +43,37 @@ def _weights(passages: DataFrame, idf: DataFrame, *keys: str) -> DataFrame:
 
 
 def scan_passages(passages: DataFrame, least: float = 0.7) -> DataFrame:
-    """passage, licence, similarity of the distinct passages that resemble a template."""
+    """passage_id, licence, similarity of the passages (passage_id, passage) that resemble a template."""
     spark = passages.sparkSession
     rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
     templates = spark.createDataFrame(rows, "licence string, part int, text string").select("licence", "part", words_of(F.col("text")).alias("words"))
-    own = passages.select("passage").distinct().select("passage", words_of(F.col("passage")).alias("words"))
+    own = passages.select("passage_id", words_of(F.col("passage")).alias("words"))
     both = own.select("words").unionByName(templates.select("words"))
     total = both.count()
     df = both.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("word", (F.log(F.lit(1.0 + total) / (F.col("df") + 1.0)) + 1).alias("idf"))
-    a, b = _weights(own, idf, "passage"), F.broadcast(_weights(templates, idf, "licence", "part").withColumnRenamed("weight", "other"))
-    cosine = a.join(b, "word").groupBy("passage", "licence", "part").agg(F.sum(F.col("weight") * F.col("other")).alias("c"))
-    best = cosine.groupBy("passage").agg(F.min_by(F.struct("licence", "c"), F.struct(-F.round("c", 9), "licence")).alias("x"))
-    return best.select("passage", "x.licence", F.col("x.c").alias("similarity")).filter(F.col("similarity") >= least)
+    a, b = _weights(own, idf, "passage_id"), F.broadcast(_weights(templates, idf, "licence", "part").withColumnRenamed("weight", "other"))
+    cosine = a.join(b, "word").groupBy("passage_id", "licence", "part").agg(F.sum(F.col("weight") * F.col("other")).alias("c"))
+    best = cosine.groupBy("passage_id").agg(F.min_by(F.struct("licence", "c"), F.struct(-F.round("c", 9), "licence")).alias("x"))
+    return best.select("passage_id", "x.licence", F.col("x.c").alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def scan(files: DataFrame, least: float = 0.7) -> DataFrame:
     """files (path, text and others but text) with licence, similarity, and origin: own, directory path, or null."""
     from .store import written
 
-    files = files.drop("licence", "similarity", "origin", "passage")
+    files = files.drop("licence", "similarity", "origin")
     keys = [c for c in files.columns if c != "text"]
     name = F.element_at(F.split("path", "/"), -1)
     lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: x.rlike(_MENTION))
     pieces = F.when(F.coalesce(name.rlike(_LICENCE_FILE), F.lit(False)) & F.col("text").isNotNull(), F.array_union(lines, F.array("text"))).otherwise(lines)
-    held = written(files.filter(F.col("text").rlike(_MENTION) | name.rlike(_LICENCE_FILE)).select("path", F.xxhash64("text").alias("k"), F.explode(pieces).alias("passage")).distinct(), "licence-passages")
-    known = written(scan_passages(held, least), "licence-matches")
+    # Passages go by their hash from here on: words and files never carry the passage itself.
+    found = files.filter(F.col("text").rlike(_MENTION) | name.rlike(_LICENCE_FILE)).select("path", F.xxhash64("text").alias("k"), F.explode(pieces).alias("passage"))
+    found = written(found.withColumn("passage_id", F.xxhash64("passage")), "licence-passages")
+    held = found.select("path", "k", "passage_id").distinct()
+    known = written(scan_passages(found.groupBy("passage_id").agg(F.min("passage").alias("passage")), least), "licence-matches")
     order = F.struct(-F.round("similarity", 9), F.col("licence"))
-    own = held.join(known, "passage").groupBy("path", "k").agg(F.min_by(F.struct("licence", "similarity"), order).alias("own"))
+    own = held.join(known, "passage_id").groupBy("path", "k").agg(F.min_by(F.struct("licence", "similarity"), order).alias("own"))
     own = written(own, "own-licences")
     parent = F.regexp_replace("path", r"/?[^/]*$", "")
     grants = own.filter(name.rlike(_LICENCE_FILE)).select(parent.alias("dir"), "own.*").groupBy("dir").agg(F.min_by(F.struct("licence", "similarity"), order).alias("granted"))
