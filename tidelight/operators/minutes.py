@@ -52,8 +52,9 @@ def minute_grid(windows: DataFrame, p: Params) -> DataFrame:
     return span.select(*ENTITY, F.explode(F.sequence("a", "b", F.expr(f"interval {p.width_s} seconds"))).alias("window_start"))
 
 
-def silver(bronze: DataFrame, p: Params) -> DataFrame:
-    """A row for each window of the grid with all signals side by side; the scalars come from one aggregation."""
+def silver(bronze: DataFrame, p: Params, since: DataFrame | None = None) -> DataFrame:
+    """A row for each window of the grid with all signals side by side; the scalars come from one aggregation.
+    since (entity, window_start) lets an entity's grid begin before its first row, where earlier windows are known."""
     hr, eda = usable_scalar(bronze, "hr", *p.hr_range), usable_scalar(bronze, "eda", *p.eda_range)
     rows = hr.unionByName(eda).select(*ENTITY, "signal", floor_window(F.col("event_time"), p.width_s).alias("window_start"), F.col("values")["value"].alias("v"))
     of = lambda s: F.when(F.col("signal") == s, F.col("v"))
@@ -65,7 +66,8 @@ def silver(bronze: DataFrame, p: Params) -> DataFrame:
     key = [*ENTITY, "window_start"]
     met = scalars.join(vectors, key, "full")
     kinds = bronze.groupBy(*ENTITY).agg(F.max("source_kind").alias("source_kind"))
-    out = minute_grid(met, p).join(met, key, "left").join(kinds, ENTITY)
+    known = met.select(*key) if since is None else met.select(*key).unionByName(since.select(*key))
+    out = minute_grid(known, p).join(met, key, "left").join(kinds, ENTITY)
     out = out.withColumns({"window_end": F.col("window_start") + F.expr(f"interval {p.width_s} seconds"), **{f"{s}_coverage": coverage(F.col(f"{s}_n"), p.expected[s]) for s in ("hr", "eda", "acc")}})
     return delta(out, "eda_mean", "eda_delta").drop("hr_n", "eda_n", "acc_n")
 

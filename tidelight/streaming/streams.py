@@ -49,6 +49,12 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def stored_copy(df: DataFrame, path: str) -> DataFrame:
+    """df as a table of its own; a batch that runs again writes the same one again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def insert_once(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch: add to target what it lacks. A batch that is replayed adds nothing. One writer at a time."""
 
@@ -62,9 +68,10 @@ def layers_batch(root: str, p: Params, delay_s: int, history_hours: int | None =
     """foreachBatch over bronze events: root/bronze, root/silver, root/silver_z and root/gold grow, append-only.
 
     Windows come out when the newest event of the table is delay_s past their end. Bronze is read
-    from a halo before the first open window (the trailing mean's reach and a window), the rest
-    from the stored windows, which are one small row for each window. Rows that are out never
-    change; later events for their windows are kept in bronze alone.
+    from a halo before each entity's first open window (the trailing mean's reach and a window),
+    the rest from the stored windows, which are one small row for each window. Rows that are out
+    never change; later events for their windows are kept in bronze alone. A batch that is replayed
+    adds no row twice: silver, which says what is out, is added to last.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -76,26 +83,28 @@ def layers_batch(root: str, p: Params, delay_s: int, history_hours: int | None =
             return
         like = minutes.silver(bronze, p)
         old = _read(spark, f"{root}/silver", like.schema)
-        last = old.agg(F.max("window_end").alias("t")).first().t
-        rows = bronze
-        if last is not None:
-            halo = f"interval {int(p.trailing_s) + 2 * p.width_s} seconds"
-            rows = bronze.filter(F.col("event_time") >= F.lit(last) - F.expr(halo))
+        # Each entity goes on from its own last stored window, however long it was silent or late.
+        held = old.groupBy(*ENTITY).agg(F.max("window_start").alias("window_start"), F.max("window_end").alias("_last"))
+        halo = F.expr(f"interval {int(p.trailing_s) + 2 * p.width_s} seconds")
+        last = held.select(*ENTITY, "_last")
+        rows = bronze.join(last, ENTITY, "left").filter(F.col("_last").isNull() | (F.col("event_time") >= F.col("_last") - halo)).drop("_last")
+
+        def fresh(df: DataFrame) -> DataFrame:
+            return df.join(last, ENTITY, "left").filter("_last IS NULL OR window_end > _last").drop("_last")
+
         final = F.unix_micros("window_end") <= F.unix_micros(F.lit(newest)) - delay_s * 1_000_000
-        fresh = minutes.silver(rows, p).filter(final)
-        if last is not None:
-            # The halo's own first window of each entity has no window before it here, but one in the store.
-            fresh = fresh.filter(F.col("window_end") > F.lit(last))
-        fresh.write.mode("append").parquet(f"{root}/silver")
-        silver = spark.read.schema(like.schema).parquet(f"{root}/silver")
+        # What is out so far is read before anything is added to it.
+        new = stored_copy(fresh(minutes.silver(rows, p, held).filter(final)), f"{root}/batches/silver-{batch_id}")
+        silver = old.unionByName(new)
         if history_hours:
             silver = silver.filter(F.col("window_end") > F.lit(newest) - F.expr(f"interval {history_hours} hours"))
         z = baseline.add_z(silver, p)
-        new = (lambda df: df.filter(F.col("window_end") > F.lit(last))) if last is not None else (lambda df: df)
-        new(z).write.mode("append").parquet(f"{root}/silver_z")
-        stored = spark.read.schema(z.schema).parquet(f"{root}/silver_z")
-        rest = nights.rest_runs(nights.night_grid(stored, nights.night_bounds(stored, p), p), p)
-        new(state.gold(nights.attach_night(stored, rest), p)).write.mode("append").parquet(f"{root}/gold")
+        z_new = stored_copy(fresh(z), f"{root}/batches/z-{batch_id}")
+        z_all = _read(spark, f"{root}/silver_z", z.schema).unionByName(z_new)
+        rest = nights.rest_runs(nights.night_grid(z_all, nights.night_bounds(z_all, p), p), p)
+        gold_new = stored_copy(fresh(state.gold(nights.attach_night(z_all, rest), p)), f"{root}/batches/gold-{batch_id}")
+        for name, df in (("gold", gold_new), ("silver_z", z_new), ("silver", new)):
+            insert_new(_read(spark, f"{root}/{name}", df.schema), df, [*ENTITY, "window_start"]).write.mode("append").parquet(f"{root}/{name}")
 
     return each
 
