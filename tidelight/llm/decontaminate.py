@@ -11,7 +11,8 @@ The window table of the benchmark is broadcast only if it has at most BROADCAST_
 is shuffled otherwise. Long documents are exploded to hashes, never copied per window.
 
 Defined cases: null texts have no windows; items shorter than five words never match; windows
-with fewer than three literal words are not used. Rows that repeat id and text give one result
+with fewer than three literal words are not used. A text in capitals shows no names: against it,
+windows with names don't count as met. Rows that repeat id and text give one result
 row. Items that repeat are matched each. Empty tables give no rows. Other columns don't matter.
 """
 
@@ -97,7 +98,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, run: i
     texts = docs.join(suspects.select("row_key").distinct(), "row_key").dropDuplicates(["row_key"])
     own = _windows(texts, "row_key", "doc_id").join(suspects, "row_key")
     theirs = items.select("item_id", "n_windows", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    met = own.join(theirs, ["item_id", "hash"])
+    met = written(own.join(theirs, ["item_id", "hash"]), "met-windows")
     pair = ["row_key", "item_id"]
     slots = met.select(*pair, "at", "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*pair, "at", "item_at", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
     counted = slots.groupBy(*pair, "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))

@@ -233,6 +233,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without a letter go. The labelled documents of the stage's own input teach it."""
+    """Documents in some language; those without a letter go. The labelled documents of the stage's own input teach it.
+    Where none is labelled, no language is known and every document with a letter stays."""
     parser = learn(docs.select("doc_id", "text", "lang").filter(~held_out()))
+    if not parser.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return identify(docs, parser, names=("_tl_lang", "_tl_score")).filter("_tl_lang <> 'und'").select(*docs.columns)
