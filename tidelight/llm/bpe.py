@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import pa_schema
 
 #: Bounds of a task's memory: characters of a block of documents, words kept from earlier blocks.
-BLOCK_CHARS = 6_000_000
-CACHED_WORDS = 600_000
+BLOCK_CHARS = 4_000_000
+CACHED_WORDS = 400_000
 WORDS_AT_ONCE = 200_000
 
 
@@ -257,6 +257,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
                     lists.append(np.frombuffer(ids, "<u4").astype(np.int32))
             more = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *[pa.array(lists, pa.list_(pa.int32()))] * keep_ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+        own.cache.clear()  # Python workers outlive their tasks
 
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if keep_ids else {})
     return docs.mapInArrow(run, pa_schema(docs, kinds))
