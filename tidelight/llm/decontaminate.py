@@ -83,6 +83,7 @@ def row_key(*columns: str) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, run: int = 26) -> DataFrame:
     """doc_id, row_key, item_id, n_windows, n_matched, coverage, n_slots, changed_slots of every leak."""
+    from .membership import split_by
     from .store import written
 
     items = written(item_windows(benchmark), "benchmark-windows")
@@ -95,7 +96,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, run: i
     suspects = hits.groupBy("row_key", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("row_key", "item_id")
     suspects = written(suspects, "suspects")
 
-    texts = docs.join(suspects.select("row_key").distinct(), "row_key").dropDuplicates(["row_key"])
+    # Few documents are suspects: the others' texts are told apart before the shuffle.
+    texts, _ = split_by(docs, "row_key", suspects, "row_key")
+    texts = texts.join(suspects.select("row_key").distinct(), "row_key").dropDuplicates(["row_key"])
     own = _windows(texts, "row_key", "doc_id").join(suspects, "row_key")
     theirs = items.select("item_id", "n_windows", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
     met = written(own.join(theirs, ["item_id", "hash"]), "met-windows")
