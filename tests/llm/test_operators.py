@@ -160,6 +160,29 @@ def test_disguises(text, found):
     assert (found is None) == (pii.masked(text) == text)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("jоhn@example.com now", "jоhn@example.com"), ("jo\u200bhn@example.com", "jo\u200bhn@example.com"), ("to john@example.cоm", "john@example.cоm"),
+        ("john (dot) smith@example.com", "john (dot) smith@example.com"), ("a@mail.example (dot) com", "a@mail.example (dot) com"),
+        ("x\xa0at\xa0example\xa0dot\xa0com", "x\xa0at\xa0example\xa0dot\xa0com"), ("plus four four six six eight eight nine nine four", "plus four four six six eight eight nine nine four"),
+        ("one nine two dot 168.one dot 1", "one nine two dot 168.one dot 1"), ("4111 1111 one one one one 1111", "4111 1111 one one one one 1111"), ("plus one 555 123 4567", "plus one 555 123 4567"),
+    ],
+)
+def test_disguises_beside_base_spans(text, found):
+    base, spans = pii.find(text)
+    a = text.index(found)
+    assert base == pii.base_spans(text)
+    assert set(base) < set(spans)
+    assert (a, a + len(found)) in [s[1:] for s in spans]
+    assert re.fullmatch(r"(now|to|\s)*\[(email|ip|card|phone)\](now|\s)*", pii.masked(text))
+
+
+def test_disguise_hints_keep_base_spans():
+    for t in ("mail one@example.com 1", "ſix six six six six six six six 1", "one 192.168.1.1", "5 one-two"):
+        assert pii.find(t) == (pii.base_spans(t),) * 2
+
+
 def test_pii_of_odd_texts(spark, odd, empty):
     rows = pii.detect(odd).collect()
     assert {(r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in rows} == {(0, 0, 0, 0, "")}

@@ -4,7 +4,9 @@ Base kinds are found in the text as it stands. Texts that show a disguise are th
 a transducer (look-alike characters, full-width forms and invisible characters; `(at)`, ` dot `
 and their like; runs of spelled digits) which keeps for every written character the source span
 that it came from. Identifiers found in the rewritten text are mapped back to source offsets,
-and those that rest on at least one rewritten character and touch no base span are added.
+and those that rest on at least one rewritten character are added, also around a base span that
+has taken only the plain part of one. Spelled digits count one by one in numbers, and in email
+addresses only where seven or more follow each other.
 
 Offsets are code points, ends exclusive. Defined cases: null text is empty text; no finding
 gives zero counts, an empty `spans` and the digest of the empty string. Every base span stays.
@@ -92,15 +94,17 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 
 _CHARS = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}{INVISIBLE}！-～]")
 _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?i)(?<![a-z]){_WORD}(?:[ -]+{_WORD}){{6,}}(?![a-z])")
+_SPELLED = re.compile(rf"(?ia)(?<![a-z]){_WORD}(?:[ -]+{_WORD}){{6,}}(?![a-z])")
+_SPELLED_FEW = re.compile(rf"(?ia)(?<![a-z]){_WORD}(?:[ -]+{_WORD})*(?![a-z])")
 _SPELLED_PLUS = re.compile(r"(?i)(?<![a-z])plus[ ]+$")
-_ONE_WORD = re.compile(rf"(?i){_WORD}")
+_ONE_WORD = re.compile(rf"(?ia){_WORD}")
 # Bracketed words stand for a sign by themselves; bare ones only inside `local at domain dot top`, with a short top.
 _BRACKETED = re.compile(r"(?i)\s{0,3}[(\[{<]\s{0,3}(at|dot)\s{0,3}[)\]}>]\s{0,3}")
 _BARE = re.compile(r"(?i)(?<=[a-z0-9])(\s{1,3}at\s{1,3})(?=[a-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}[a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){0,8}\s{1,3}dot\s{1,3}[a-z]{2,4}(?![a-z]))")
 _BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9])")
 _BRACKET_HINT = re.compile(r"(?i)[(\[{<]\s{0,3}(?:at|dot)\s{0,3}[)\]}>]")
-_SPELLED_HINT = re.compile(rf"(?i){_WORD}[ -]+{_WORD}[ -]+{_WORD}[ -]+{_WORD}")
+_DOT_HINT = re.compile(r"(?i)\sdot\s")
+_SPELLED_HINT = re.compile(rf"(?ia)(?<![a-z]){_WORD}[ ().-]+(?:[0-9]|{_WORD}(?![a-z]))|[0-9][ ().-]+{_WORD}(?![a-z])")
 
 
 def disguised(text: str) -> bool:
@@ -108,8 +112,8 @@ def disguised(text: str) -> bool:
     return bool(
         (not text.isascii() and _CHARS.search(text))
         or _BRACKET_HINT.search(text)
-        or (" dot " in (low := text.lower()) or "\tdot" in low or "\ndot" in low or "dot\n" in low or "dot\t" in low)
-        or (any(w in low for w in ("one", "two", "three", "zero", "five", "seven")) and _SPELLED_HINT.search(text))
+        or ("dot" in (low := text.lower()) and _DOT_HINT.search(text))
+        or (any(w in low for w in DIGIT_WORDS) and _SPELLED_HINT.search(text))
     )
 
 
@@ -141,33 +145,44 @@ def deobfuscate(text: str) -> Rewritten:
     out.apply([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(out.text)])
     out.apply([(*m.span(1), "@") for m in _BARE.finditer(out.text)])
     out.apply([(*m.span(), ".") for m in _BARE_DOT.finditer(out.text)])
-    spelled = []
-    for m in _SPELLED.finditer(out.text):
-        plus = _SPELLED_PLUS.search(out.text, max(0, m.start() - 12), m.start())
-        spelled.append((plus.start() if plus else m.start(), m.end(), "+" * bool(plus) + "".join(DIGIT_WORDS[w.lower()] for w in _ONE_WORD.findall(m[0]))))
-    out.apply(spelled)
+    out.apply(spelled(out.text, _SPELLED))
     return out
 
 
-def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """What only the rewritten text shows, as source spans."""
-    new, out = deobfuscate(text), []
-    taken = sorted((a, b) for _, a, b in base)
+def spelled(text: str, runs: re.Pattern) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits and the plus before one, with their digits."""
+    out = []
+    for m in runs.finditer(text):
+        plus = _SPELLED_PLUS.search(text, max(0, m.start() - 12), m.start())
+        out.append((plus.start() if plus else m.start(), m.end(), "+" * bool(plus) + "".join(DIGIT_WORDS[w.lower()] for w in _ONE_WORD.findall(m[0]))))
+    return out
+
+
+def shown(new: Rewritten, kinds: tuple[str, ...]) -> set[Span]:
+    """Source spans of identifiers that rest on a rewritten character."""
+    out = set()
     for kind, a, b in base_spans(new.text):
-        if not any(new.changed[a:b]) and all(x == y for x, y in zip(new.ends[a : b - 1], new.starts[a + 1 : b], strict=True)):
-            continue
-        start, end = new.starts[a], new.ends[b - 1]
-        if not any(x < end and start < y for x, y in taken):
-            out.append((kind, start, end))
+        if kind in kinds and (any(new.changed[a:b]) or any(x != y for x, y in zip(new.ends[a : b - 1], new.starts[a + 1 : b], strict=True))):
+            out.add((kind, new.starts[a], new.ends[b - 1]))
     return out
 
 
+def added_spans(text: str, base: list[Span]) -> list[Span]:
+    """What only the rewritten text shows, as source spans. They may hold or cross base spans, which stay."""
+    new = deobfuscate(text)
+    out = shown(new, KINDS)
+    if few := spelled(new.text, _SPELLED_FEW):
+        new.apply(few)
+        out |= shown(new, KINDS[1:])
+    return sorted(out.difference(base))
+
+
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, each by kind as listed and then by start."""
     text = text or ""
     base = base_spans(text)
     more = added_spans(text, base) if disguised(text) else []
-    return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1])) if more else base
+    return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), *s[1:])) if more else base
 
 
 def joined(spans: list[Span]) -> str:
