@@ -327,6 +327,22 @@ def test_leaks_equal_plain_windows(spark):
     assert len(want) > 5
 
 
+NAMED = "the old shop of Maria sold 12 pears and 30 plums. Alice pays for all of them today"
+
+
+@pytest.mark.parametrize(
+    ("text", "changed"),
+    [
+        (NAMED.lower(), 0), (NAMED.upper(), 0), (NAMED.replace("Alice", "Bob"), 1), (NAMED.replace("Maria", "Nina").replace("Alice", "Bob"), 2), (NAMED.replace(" ", "\n"), 0), (NAMED.replace(" ", "  ").replace("Maria", "Nina"), 1),
+        (NAMED.lower().replace("12", "7"), 1), (NAMED.replace(" of Maria", "\u00a0of\n Nina"), 1), (NAMED.replace(". Alice", ", and \"Alice"), None), (NAMED.replace("30 plums", "eggs").replace("pays", "cries"), None),
+    ],
+)
+def test_leaks_of_names_in_any_case_and_place(spark, text, changed):
+    got = leak_pairs(spark, [(1, f"{words(30)} {text} {words(30)}"), (2, words(60))], [(1, NAMED)])
+    assert set(got) == (set() if changed is None else {(1, 1)})
+    assert changed is None or (got[1, 1].changed_slots, got[1, 1].n_windows) == (changed, 14)
+
+
 def test_leak_stage_and_empty_tables(spark, odd, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(odd, bench).count() == 0

@@ -1,18 +1,21 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed
-placeholders; case and punctuation go. Windows of five template words of the benchmark items
-and of the documents are joined on their hashes. In documents with enough hits, the values that
-stand in matching slots are aligned: each value of the item is mapped to the value it most often
-meets, and windows that contradict the mapping don't count. An item leaks into a document that
-holds at least `similarity` of its windows, or `run` of them.
+Numbers, units after numbers and names become typed placeholders; case and punctuation go, and
+white space of any kind and length is one space. Each window of five words is read in up to three
+ways: names as literal words (so that case doesn't matter), capitalised words inside a sentence
+as names, and all capitalised words as names (a sentence may start with one). Windows of the
+benchmark items and of the documents are joined on the hashes of all their readings. In documents
+with enough hits, the values that stand in matching slots are aligned: each value of the item is
+mapped to the value it most often meets, and readings that contradict the mapping don't count. An
+item leaks into a document that holds at least `similarity` of its windows, or `run` of them.
 
 The window table of the benchmark is broadcast only if it has at most BROADCAST_ROWS rows, and
 is shuffled otherwise. Long documents are exploded to hashes, never copied per window.
 
 Defined cases: null texts have no windows; items shorter than five words never match; windows
-with fewer than three literal words are not used. A text in capitals shows no names: against it,
-windows with names don't count as met. Rows that repeat id and text give one result
+with fewer than three literal words are not used; a name that starts a sentence is literal here, and
+read as a name where two more words are literal. A text in one case shows no names: windows with
+names are met there if it holds the same names. Rows that repeat id and text give one result
 row. Items that repeat are matched each. Empty tables give no rows. Other columns don't matter.
 """
 
@@ -32,15 +35,36 @@ _NUMBER = r"(?<!\S)([\(\p{Sc}]?[+-]?\d[\d.,:/]*%?)(?=[\s;!?\)]|$)"
 _UNIT = rf"(\x02num\S*\s)((?i:{UNITS}))(?=[\s.,;:!?\)]|$)"
 
 
-def canonical(text: Column, values: bool = False) -> Column:
-    """Template words of a text; with values, placeholders keep what they stand for after \\x03."""
-    kept = (lambda g: f"\x03{g}") if values else (lambda g: "")
-    text = F.translate(text, "\x02\x03", "  ")
-    text = F.regexp_replace(text, _NAME, "\x02name" + kept("$1"))
-    text = F.regexp_replace(text, _NUMBER, "\x02num" + kept("$1"))
-    text = F.regexp_replace(text, _UNIT, "$1\x02unit" + kept("$2"))
-    text = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s\x02\x03]+", "")
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+_START = r"(?=\p{Lu}\p{Ll})(?<=(?:^|\s)[\"'“‘„«(\[]{0,2})(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
+_SPACES = r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]"
+
+
+def canonical(text: Column) -> Column:
+    """A text's words with a space between; placeholders (num, unit, name, start) keep what they stand for after \\x03."""
+    text = F.regexp_replace(F.translate(text, "\x02\x03", "  "), _SPACES, " ")
+    text = F.regexp_replace(text, _NUMBER, "\x02num\x03$1")
+    text = F.regexp_replace(text, _UNIT, "$1\x02unit\x03$2")
+    text = F.regexp_replace(text, _NAME, "\x02name\x03$1")
+    text = F.regexp_replace(text, _START, "\x02start\x03$1")
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s\x02\x03]+", "")
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, " +"), "")
+
+
+def _literal(text: Column, *kinds: str) -> Column:
+    """The canonical text with the placeholders of some kinds as literal words."""
+    for kind in kinds:
+        text = F.replace(text, F.lit(f"\x02{kind}\x03"), F.lit(""))
+    return text
+
+
+def readings(text: Column, values: bool = False) -> list[Column]:
+    """w0, w1, w2: a canonical text's words with names literal, names, and names and starts. Their places agree. With values, placeholders keep theirs."""
+    starts = F.replace(text, F.lit("\x02start"), F.lit("\x02name"))
+    texts = [_literal(text, "start", "name"), _literal(text, "start"), starts]
+    return [_words(t if values else F.regexp_replace(t, "\x03[^ ]+", "")).alias(f"w{k}") for k, t in enumerate(texts)]
 
 
 def _starts(words: Column) -> Column:
@@ -52,28 +76,40 @@ def _head(words: Column) -> Column:
     return F.transform(words, lambda w: F.substring_index(w, "\x03", 1))
 
 
-def _slots(words: Column) -> Column:
-    return F.transform(F.filter(words, lambda w: w.startswith("\x02")), lambda w: F.substring_index(w, "\x03", -1))
+def _slots(words: Column, kept: str = "\x02") -> Column:
+    return F.transform(F.filter(words, lambda w: w.startswith(kept)), lambda w: F.substring_index(w, "\x03", -1))
 
 
-def window_hashes(words: Column) -> Column:
-    """Hashes of the windows of template words, in order."""
-    return F.transform(_starts(words), lambda i: F.xxhash64(F.slice(words, i, WORDS)))
+def _hashes(words: str) -> Column:
+    return F.transform(_starts(F.col(words)), lambda i: F.xxhash64(F.slice(words, i, WORDS)))
 
 
-def _windows(df: DataFrame, *keys: str) -> DataFrame:
-    """A row for each window of df's text: its place, hash and slot values."""
-    words = df.select(*keys, canonical(F.col("text"), values=True).alias("w"))
-    at = F.transform(
-        _starts(F.col("w")),
-        lambda i: F.struct(i.alias("at"), F.xxhash64(_head(F.slice("w", i, WORDS))).alias("hash"), _slots(F.slice("w", i, WORDS)).alias("slots")),
-    )
+def window_hashes(docs: DataFrame) -> DataFrame:
+    """row_key, hash: the distinct hashes of the windows of each text, in all readings."""
+    words = docs.select("row_key", canonical(F.col("text")).alias("t")).select("row_key", *readings(F.col("t")))
+    return words.select("row_key", F.explode(F.array_distinct(F.concat(_hashes("w0"), _hashes("w1"), _hashes("w2")))).alias("hash"))
+
+
+def _windows(df: DataFrame, *keys: str, names: bool = False) -> DataFrame:
+    """A row for each window and different reading of df's text: its place, hash, slot values and the number of slots
+    without starts. With names, the literal reading has the names as slots too, after the others."""
+    text = df.select(*keys, canonical(F.col("text")).alias("t"))
+    words = text.select(*keys, *readings(F.col("t"), values=True))
+
+    def each(i):
+        w0, w1, w2 = (F.slice(f"w{k}", i, WORDS) for k in range(3))
+        literal = F.concat(_slots(w0), _slots(w1, "\x02name")) if names else _slots(w0)
+        rows = [F.struct(i.alias("at"), F.xxhash64(_head(w)).alias("hash"), slots.alias("slots"), F.size(_slots(w1)).alias("n_slots")) for w, slots in ((w0, literal), (w1, _slots(w1)), (w2, _slots(w2)))]
+        return F.array_distinct(F.array(*rows))
+
+    at = F.flatten(F.transform(_starts(F.col("w0")), each))
     return words.select(*keys, F.explode(at).alias("x")).select(*keys, "x.*")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, at, hash, slots, n_windows of the benchmark's usable windows."""
-    w = _windows(benchmark.filter("item_id IS NOT NULL").select("item_id", "text"), "item_id").filter(F.size("slots") <= WORDS - LITERALS)
+    """item_id, at, hash, slots, n_windows of the benchmark's usable windows, by reading."""
+    w = _windows(benchmark.filter("item_id IS NOT NULL").select("item_id", "text"), "item_id", names=True)
+    w = w.filter((F.col("n_slots") <= WORDS - LITERALS) & (F.size("slots") <= WORDS - LITERALS + 1)).drop("n_slots")
     return w.join(w.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows")), "item_id")
 
 
@@ -87,27 +123,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, run: i
     from .store import written
 
     items = written(item_windows(benchmark), "benchmark-windows")
-    index = items.select("item_id", "hash", "n_windows").distinct()
+    index = items.select("item_id", "hash", F.col("at").alias("item_at"), "n_windows").distinct()
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
     docs = docs.filter("text IS NOT NULL").select("doc_id", "text", row_key("doc_id", "text").alias("row_key"))
     enough = F.least(F.ceil(F.col("n_windows") * similarity), F.lit(run))
-    hits = docs.select("row_key", canonical(F.col("text")).alias("_tl_words")).select("row_key", F.explode(window_hashes(F.col("_tl_words"))).alias("hash")).join(index, "hash")
-    suspects = hits.groupBy("row_key", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("row_key", "item_id")
+    hits = window_hashes(docs).join(index, "hash")
+    suspects = hits.select("row_key", "item_id", "n_windows", "item_at").distinct().groupBy("row_key", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("row_key", "item_id")
     suspects = written(suspects, "suspects")
 
     # Few documents are suspects: the others' texts are told apart before the shuffle.
     texts, _ = split_by(docs, "row_key", suspects, "row_key")
     texts = texts.join(suspects.select("row_key").distinct(), "row_key").dropDuplicates(["row_key"])
-    own = _windows(texts, "row_key", "doc_id").join(suspects, "row_key")
+    own = _windows(texts, "row_key", "doc_id").drop("n_slots").join(suspects, "row_key")
     theirs = items.select("item_id", "n_windows", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
     met = written(own.join(theirs, ["item_id", "hash"]), "met-windows")
-    pair = ["row_key", "item_id"]
-    slots = met.select(*pair, "at", "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*pair, "at", "item_at", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
+    pair, place = ["row_key", "item_id"], ["at", "item_at", "hash"]
+    # Names that are met as literal words stand for themselves.
+    ours = F.coalesce("s.slots", "s.item_slots").alias("ours")
+    slots = met.select(*pair, *place, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*pair, *place, F.col("s.item_slots").alias("theirs"), ours)
     counted = slots.groupBy(*pair, "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))
     mapping = counted.groupBy(*pair, "theirs").agg(F.max_by("ours", F.struct("n", "ours")).alias("mapped"))
-    at_odds = slots.join(mapping, [*pair, "theirs"]).filter("ours <> mapped").select(*pair, "at", "item_at").distinct()
-    matched = met.join(at_odds, [*pair, "at", "item_at"], "left_anti").groupBy(*pair, "doc_id", "n_windows").agg(F.countDistinct("item_at").alias("n_matched"))
+    at_odds = slots.join(mapping, [*pair, "theirs"]).filter("ours <> mapped").select(*pair, *place).distinct()
+    matched = met.join(at_odds, [*pair, *place], "left_anti").groupBy(*pair, "doc_id", "n_windows").agg(F.countDistinct("item_at").alias("n_matched"))
     of_slots = mapping.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("theirs") != F.col("mapped")).alias("changed_slots"))
     return (
         matched.filter(F.col("n_matched") >= enough)
