@@ -264,6 +264,19 @@ def test_near_copies_of_odd_texts(spark, odd, empty):
     assert near_duplicates.stage(spark, odd, DATA).count() == odd.count() - 1
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    a, b, c = words(40), words(40), words(40)
+    near = f"{b} more"
+    rows = [(3, a), (5, a), (5, b), (6, near), (7, c), (7, f"{c} more"), (8, words(40))]
+    docs = docs_frame(spark, [(i, t, "en") for i, t in rows])
+    kept = {(r.doc_id, r.text) for r in near_duplicates.stage(spark, docs, DATA).collect()}
+    assert {(3, a), (5, b), rows[6]} < kept
+    assert len(kept) == 4
+    assert len(kept & {rows[4], rows[5]}) == 1
+    got = Counter((r.doc_id, r.class_id, r.group_id, r.n_links) for r in near_duplicates.near_duplicates(docs).collect())
+    assert got == Counter([(3, 3, 3, 1), (5, 3, 3, 1), (5, 5, 5, 1), (6, 6, 5, 1), (7, 7, 7, 1), (7, 7, 7, 1), (8, 8, 8, 0)])
+
+
 def test_bands_reach_the_recall():
     b = near_duplicates.bands_for(0.8, 0.9999, 6)
     assert (1 - 0.8**6) ** b <= 1e-4 < (1 - 0.8**6) ** (b - 1)
