@@ -242,14 +242,37 @@ def near_rows(n=120, copies=40):
 
 
 def test_near_copies_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 8)  # so that buckets and clusters take many blocks
     rows = near_rows()
-    got = {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_duplicates.near_duplicates(docs_frame(spark, [(i, t, "en") for i, t in rows])).collect()}
-    assert got == brute_groups(rows)
+    docs = docs_frame(spark, [(i, t, "en") for i, t in rows])
+    got = {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_duplicates.near_duplicates(docs).collect()}
+    want = brute_groups(rows)
+    assert got == want
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)  # so that buckets take many blocks, with leaders
+    monkeypatch.setattr(near_duplicates, "TEXTS", 8)  # and ties of clusters are verified one by one
+    few = {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert {k: v[:2] for k, v in few.items()} == {k: v[:2] for k, v in want.items()}
+    assert all((v[2] == 0) == (want[k][2] == 0) and v[2] <= want[k][2] for k, v in few.items())
     kept = {r.doc_id for r in near_duplicates.stage(spark, docs_frame(spark, [(i, t, "en") for i, t in rows]), DATA).collect()}
     assert kept == {g for _, g, _ in got.values()}
 
 
+def test_a_star_keeps_its_rays(spark, monkeypatch):
+    """Texts that are similar to one text, but not to each other, are found in buckets of many blocks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    monkeypatch.setattr(near_duplicates, "TEXTS", 16)
+    rng = random.Random(3)
+    base = words(150, rng).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 240):
+        w = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            w[at] = f"x{rng.random()}"
+        rows.append((i, " ".join(w)))
+    want = brute_groups(rows)
+    got = {r.doc_id: r.group_id for r in near_duplicates.near_duplicates(docs_frame(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert sum(g == want[i][1] for i, g in got.items()) >= 0.99 * len(rows)
+
+
 def test_near_copies_of_odd_texts(spark, odd, empty):
     got = near_duplicates.near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -551,8 +574,16 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     left = {i: t for i, t in rows.items() if any(c.isalpha() for c in t or "")}
     left = {i: left[i] for i, (_, g, _) in brute_groups(list(left.items())).items() if i == g}
     items = [r.text.lower() for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    grams = lambda t: [tuple(re.sub(r"[^\w\s]", "", t.lower()).split()[j : j + 5]) for j in range(len(t.split()) - 4)]
-    leaked = {i for i, t in left.items() for x in items if (g := grams(x)) and sum(w in set(grams(t)) for w in g) >= min(0.8 * len(g), 26)}
+
+    def grams(t):
+        w = re.sub(r"[^\w\s]", "", t.lower()).split()
+        return [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+
+    of_items, leaked = [g for g in map(grams, items) if g], set()
+    for i, t in left.items():
+        own = set(grams(t))
+        if any(sum(w in own for w in g) >= min(0.8 * len(g), 26) for g in of_items):
+            leaked.add(i)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
     assert set(got) == set(left) - leaked
     encoder = bpe.Encoder(bpe.read_ranks(bpe.rank_file()[0]), bpe.rank_file()[1])
