@@ -3,17 +3,21 @@
 For each language a suffix automaton of sampled labelled text recognises exactly the strings
 that occur in that text. A document is cut, left to right, into the longest phrases that the
 automaton recognises; a language in which few long phrases suffice is a likely one. Phrase
-counts are normalised as an entropy rate, phrases * log2(training letters) / letters, and the
-lowest rate wins.
-
-The automata are complete tables (state x symbol -> state, phrases closed), so thousands of
-512-symbol blocks are parsed side by side in numpy, one gather a symbol. Phrases don't cross
-blocks, which adds at most one phrase in 512 symbols to every language alike.
-
-Defined cases: text null or without a letter -> `und`, score 0. Letters no language was taught
-are phrases of their own. Equal rates -> the first language by name. Nothing learned (no
-labelled rows) -> `und` for every row. Rows, repeated or not, are judged one by one; extra
-columns stay where they are.
+counts are normalised as an entropy rate, phrases * log2(taught letters) / letters, and the
+lowest rate wins. All languages are taught the same number of letters, that of the shortest
+sample of at least LEAST_LETTERS: of two samples the longer one has the longer matches. The
+samples together have at most ALL_LETTERS letters, which bounds the tables that are broadcast.
+
+Every language has an alphabet of its own, with all letters of its sample. Its automaton is a
+complete table (state x symbol -> state, phrases closed) where that is small, else a hash table
+of its transitions; both give the same phrases. Thousands of 512-symbol blocks are parsed side by
+side in numpy, a lookup a symbol. Phrases don't cross blocks, which adds at most one phrase in 512
+symbols to every language alike.
+
+Defined cases: text null or without a letter -> `und`, score 0. A letter that a language was not
+taught counts as two phrases in it, so that a taught letter alone is the likelier one. Equal rates -> the first language by name. Nothing learned
+(no labelled rows) -> `und` for every row. Rows, repeated or not, are judged one by one; extra
+columns stay, those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 512
-#: Letters parsed at once in a task, which bounds its memory.
-SLICE_CHARS = 3_000_000
+#: Characters parsed at once in a task, which bounds its memory.
+SLICE_CHARS = 400_000
+#: Bounds of what is taught: a shorter sample doesn't shorten the others; letters of all samples together.
+LEAST_LETTERS, ALL_LETTERS = 5_000, 8_000_000
+#: Entries of a complete table; an automaton with more is hashed.
+DENSE = 4_000_000
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -66,36 +74,92 @@ def letters_only(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-class CrossParser:
-    """Parse tables of several languages over one alphabet: 0 is a gap, the last symbol any untaught letter."""
+class Dense:
+    """An automaton as a complete table. Entry: next state's row << 2 | phrases closed by this symbol."""
 
-    def __init__(self, samples: dict[str, str]):
-        samples = {k: s for k, v in samples.items() if (s := letters_only(v))}
-        self.languages = sorted(samples)
-        self.alphabet = [" ", *sorted({c for s in samples.values() for c in s if c != " "})][:250]
-        self.sizes = [len(samples[k]) for k in self.languages]
-        self.tables = [self._table(samples[k]) for k in self.languages]
-
-    def _table(self, text: str) -> np.ndarray:
-        """Entry: next state's row << 2 | phrases closed by this symbol."""
-        code = {c: i for i, c in enumerate(self.alphabet)}
-        nexts, width = suffix_automaton(text), len(self.alphabet) + 1
+    def __init__(self, nexts: list[dict[str, int]], code: dict[str, int]):
+        self.width = width = len(code) + 1
         root = np.full(width, -1, np.int64)
         for c, s in nexts[0].items():
-            root[code.get(c, width - 1)] = s
-        restart = np.where(root >= 0, (root * width << 2) | 1, 2)  # closes the phrase; an unknown letter is another
+            root[code[c]] = s
+        restart = np.where(root >= 0, (root * width << 2) | 1, 3)  # closes the phrase; an unknown letter is two more
         out = np.tile(restart, (len(nexts), 1))
-        out[0] = np.where(root >= 0, root * width << 2, 1)
+        out[0] = np.where(root >= 0, root * width << 2, 2)
         for s, edges in enumerate(nexts):
             for c, t in edges.items():
-                if c in code:
-                    out[s, code[c]] = t * width << 2
-        return out.astype(np.int32).ravel()
+                out[s, code[c]] = t * width << 2
+        self.table = out.astype(np.int32).ravel()
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and phrases closed."""
+        got = self.table[state + symbol]
+        return got >> 2, got & 3
+
+
+class Hashed:
+    """An automaton as an open-addressed table of its transitions, at most a quarter full."""
+
+    def __init__(self, nexts: list[dict[str, int]], code: dict[str, int]):
+        self.width = width = len(code) + 1
+        self.root = np.full(width, -1, np.int32)
+        for c, s in nexts[0].items():
+            self.root[code[c]] = s
+        edges = [(s * width + code[c], t) for s, own in enumerate(nexts) for c, t in own.items()]
+        keys, to = np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int32)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[first]], self.to[at[first]] = keys[first], to[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, to, at = keys[rest], to[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = state.astype(np.int64) * self.width + symbol
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.to[at], np.int32(-1))
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.to[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        begin, miss = self.root[symbol], out < 0
+        return np.where(miss, np.maximum(begin, 0), out), miss * ((state > 0) + 2 * (begin < 0).astype(np.int32))
+
+
+class CrossParser:
+    """Parse tables of several languages. Symbols: 0 is a gap, then the letters that any language was taught, then all others."""
+
+    def __init__(self, samples: dict[str, str]):
+        samples = {k: s for k, v in samples.items() if (s := letters_only(v))}
+        self.languages = sorted(samples)
+        long = [len(s) for s in samples.values() if len(s) >= LEAST_LETTERS] or list(map(len, samples.values()))
+        self.size = max(1, min(*long, ALL_LETTERS // len(samples), ALL_LETTERS)) if samples else 1
+        samples = {k: s[: self.size] for k, s in samples.items()}
+        self.alphabet = [" ", *sorted({c for s in samples.values() for c in s if c != " "})]
+        self.own, self.tables = zip(*(self._table(samples[k]) for k in self.languages), strict=True) if samples else ((), ())
+
+    def _table(self, text: str) -> tuple[np.ndarray, Dense | Hashed]:
+        """The language's symbol of each common one, and its automaton."""
+        code = {c: i for i, c in enumerate(sorted(set(text)))}
+        nexts = suffix_automaton(text)
+        small = len(nexts) * (len(code) + 1) <= DENSE
+        own = np.array([code.get(c, len(code)) for c in [*self.alphabet, None]], np.int32)
+        return own, (Dense if small else Hashed)(nexts, code)
 
     def codes(self) -> np.ndarray:
         """Symbol of each code point, upper case folded."""
         code, other = {c: i for i, c in enumerate(self.alphabet)}, len(self.alphabet)
-        out = np.zeros(0x110000, np.uint8)
+        out = np.zeros(0x110000, np.int32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
@@ -104,7 +168,7 @@ class CrossParser:
 
     def rates(self, texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text, and its entropy rate in each language."""
-        n, width = len(texts), len(self.alphabet) + 1
+        n = len(texts)
         sizes = np.fromiter(map(len, texts), np.int64, n)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         symbol = codes[points]
@@ -124,22 +188,21 @@ class CrossParser:
         order = np.argsort(-filled, kind="stable")
         place = np.empty(total, np.int64)
         place[order] = np.arange(total)
-        grid = np.zeros((BLOCK, total), np.uint8)
+        grid = np.zeros((BLOCK, total), np.int32)
         grid[at % BLOCK, place[lane]] = symbol
         active = total - np.searchsorted(filled[order][::-1], np.arange(BLOCK), side="right")
         lane_owner = np.repeat(np.arange(n), blocks)[order]
         out = np.zeros((n, len(self.languages)))
-        for k, table in enumerate(self.tables):
+        for k, (own, table) in enumerate(zip(self.own, self.tables, strict=True)):
             state, closed = np.zeros(total, np.int32), np.zeros(total, np.int32)
             for step in range(BLOCK):
                 if not (m := int(active[step])):
                     break
-                got = table[state[:m] + grid[step, :m]]
-                closed[:m] += got & 3
-                state[:m] = got >> 2
+                state[:m], more = table.step(state[:m], own[grid[step, :m]])
+                closed[:m] += more
             closed += state > 0
             phrases = np.bincount(lane_owner, weights=closed, minlength=n)
-            out[:, k] = phrases * math.log2(max(2, self.sizes[k])) / np.maximum(kept, 1)
+            out[:, k] = phrases * math.log2(max(2, self.size)) / np.maximum(kept, 1)
         return letters, out
 
 
