@@ -12,7 +12,8 @@ with the smallest id; the others are revisit records that name it.
 Defined cases: null html is an empty payload. Null ids are kept and sort last among equal
 payloads. Rows that repeat id and payload are the same record and are all responses or all
 revisits. Null urls give records without a target. Other columns stay out of the archive.
-An empty table gives no bundle and no rows.
+An empty table gives no bundle and no rows. A frame holds FRAME_BYTES and one record at most; as a
+payload has less than 2 GiB, sizes stay below the 4 GiB that a seek table can name.
 """
 
 from __future__ import annotations
@@ -30,8 +31,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .membership import split_by
+from .store import new_folder, table, written
+
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 16 << 20
+#: Most tasks that read bundles back.
+READERS = 20_000
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
@@ -40,24 +46,36 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def classified(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, payload, digest, first (the response's id where another record holds the payload)."""
+    """page_id, url, payload (null in revisits), payload_bytes, digest, first (the response's id, in revisits).
+
+    Payloads that occur once, nearly all by a bounded bitmap of the others' digests, are not
+    shuffled. Of the others only ids and digests meet by digest; then each response, known by digest
+    and id, gets its payload. So a payload that a third of all pages share moves once."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.length("payload").cast("long"))
     repeated = (
-        rows.filter(F.length("payload") >= least)
+        rows.filter(F.col("payload_bytes") >= least)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
+        .filter("n > 1 AND first IS NOT NULL")
         .select("digest", "first")
     )
-    return rows.join(repeated, "digest", "left").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    repeated = written(repeated, "repeated-payloads")
+    maybe, once = split_by(rows, "digest", repeated, "digest")
+    marked = maybe.drop("payload").join(repeated, "digest", "left")
+    response = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
+    whole = marked.filter(response).select("digest", F.col("page_id").alias("id")).distinct()
+    kept = maybe.join(whole.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("id")), "left_semi")
+    none, columns = F.lit(None), ["page_id", "url", "payload", "payload_bytes", "digest", "first"]
+    revisits = marked.filter(~response).withColumn("payload", none.cast("binary")).select(*columns)
+    return once.unionByName(kept).withColumn("first", none.cast("long")).select(*columns).unionByName(revisits)
 
 
 def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, first: int | None) -> bytes:
     revisit = first is not None
     head = [
         "WARC/1.1",
@@ -66,9 +84,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
         "WARC-Date: 1970-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {quote(url, safe='/:?#[]@!$&()*+,;=%~')}"] if url else []),
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
         *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(first)}"] if revisit else ["Content-Type: text/html; charset=utf-8"]),
-        f"Content-Length: {0 if revisit else len(payload)}",
+        f"Content-Length: {0 if revisit else size}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + (b"" if revisit else payload) + b"\r\n\r\n"
 
@@ -88,6 +106,14 @@ def footer(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
 
+def tail_of(f: pa.NativeFile) -> bytes:
+    """The last bytes of a bundle, with all of its seek table."""
+    size = f.size()
+    tail = f.read_at(min(size, 1 << 16), max(0, size - (1 << 16)))
+    need = 8 * struct.unpack("<I", tail[-9:-5])[0] + 9
+    return tail if need <= len(tail) else f.read_at(need, size - need)
+
+
 def seek_table(data: bytes) -> list[tuple[int, int, int]]:
     """Offset, compressed and decompressed size of every frame of a bundle."""
     n, _, magic = struct.unpack("<IBI", data[-9:])
@@ -157,8 +183,8 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = BundleWriter(bundles)
         for batch in batches:
-            for page_id, url, payload, digest, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
-                writer.add(page_id, record(page_id, url, payload, digest, first))
+            for page_id, url, payload, size, digest, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "digest", "first")), strict=True):
+                writer.add(page_id, record(page_id, url, payload, size, digest, first))
             yield writer.index()
         writer.close()
 
@@ -179,20 +205,17 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
     against what the archive says of them."""
     named = spark.read.schema(INDEX).parquet(f"{folder}/index").groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
     files = spark.read.format("binaryFile").load(f"{folder}/bundles").select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "path")
-    paths = files.join(named, "bundle").select("path", "n")
+    paths = written(files.join(named, "bundle").select("path", "n"), "bundles")
+    # Rows are tiny and each is a whole bundle to read: they are dealt one to a task, as long as tasks are few enough.
+    paths = paths.repartition(max(1, min(paths.count(), READERS)), "path")
 
     def run(batches):
         for batch in batches:
             for path, n in zip(batch.column("path").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 source, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
                 with source.open_input_file(name) as f:
-                    size = f.size()
-                    tail = f.read_at(min(size, 1 << 20), max(0, size - (1 << 20)))
-                    count = struct.unpack("<I", tail[-9:-5])[0]
-                    if 8 * count + 9 > len(tail):
-                        tail = f.read_at(8 * count + 9, size - 8 * count - 9)
                     rows, zstd = [], zstandard.ZstdDecompressor()
-                    for at, packed, raw in seek_table(tail):
+                    for at, packed, raw in seek_table(tail_of(f)):
                         data, start = zstd.decompress(f.read_at(packed, at), max_output_size=raw), 0
                         while start < len(data):
                             head, block, start = parsed(data, start)
@@ -214,17 +237,14 @@ def read_record(spark: SparkSession, folder: str, page_id: int) -> list[tuple[di
     for r in spark.read.schema(INDEX).parquet(f"{folder}/index").filter(F.col("page_id") == page_id).collect():
         files, name = fs.FileSystem.from_uri(f"{folder}/bundles/{r.bundle}")
         with files.open_input_file(name) as f:
-            data = f.read()
-        at, packed, raw = seek_table(data)[r.frame]
-        frame = zstandard.ZstdDecompressor().decompress(data[at : at + packed], max_output_size=raw)
+            at, packed, raw = seek_table(tail_of(f))[r.frame]
+            frame = zstandard.ZstdDecompressor().decompress(f.read_at(packed, at), max_output_size=raw)
         out.append(parsed(frame, r.offset)[:2])
     return out
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives every page, then reads the archives back."""
-    from .store import new_folder, table
-
     folder = new_folder(spark, "warc")
     write_bundles(table(spark, sf_dir, "pages"), folder)
     return read_bundles(spark, folder)
