@@ -5,16 +5,20 @@ density of text and links in its subtree, and its siblings. Gradient-boosted tre
 node the odds of being main text. Decoding then picks the most likely labelling in which a
 dropped node drops all below it: a kept node lies under kept nodes only.
 
-Labels come from the pages themselves, from a bounded sample: what lies in an `article` or
-`main` element is text; navigation, footers, asides, forms and blocks named as adverts, notices
-or comments are not. As templates differ from site to site, each sampled page is also seen in
+Labels come from the pages themselves, from a bounded sample of distinct pages: what lies in an
+`article` or `main` element is text; navigation, footers, asides, forms and blocks named as
+adverts, notices or comments are not. Only where no page has such an element, all that isn't
+furniture is text. As templates differ from site to site, each sampled page is also seen in
 rewritten layouts: with other wrappers around its article and its furniture, named by common
 conventions, so that no single tag carries the decision.
 
 Defined cases: null or empty html gives the empty text; a page without kept text too. Unclosed
 and stray tags are taken as browsers take them. White space in a block is one space, blocks are
-joined by one newline. Pages that repeat get equal texts; other columns stay. With no page to
-learn from, every text is empty.
+joined by one newline. Text outside of all elements is judged as that of a body. Where the trees
+keep no text of a page, such as a mere fragment, what isn't furniture by its names is kept. A page of any
+length takes time in proportion to it. Pages that repeat get equal texts; other columns stay, those
+named like the results are replaced. With no page to learn from, or nothing but text in the
+sample, all text is kept.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ FURNITURE_WORDS = {
     "reader": frozenset("comment comments disqus discussion replies reply respond responses reactions".split()),
     "other": frozenset("author byline download login meta print search share sharing social tools form rating".split()),
 }
+#: Trees that keep everything.
+KEEP_ALL = [(1.0, 1.0)]
 FEATURES = [*(f"tag_{t}" for t in TEXT_TAGS), "tag_furniture", "words_text", *(f"words_{k}" for k in FURNITURE_WORDS), "above_text", "above_furniture", "above_words", "depth", "text", "density", "links", "siblings", "like_siblings", "place", "share", "paragraphs", "stops"]
 
 
@@ -139,11 +145,20 @@ def text_of(pieces: list[tuple[Node, str, bool]], kept: set[int], root: Node) ->
 
 
 def main_text(page: str | None, trees: list[tuple[float, list]]) -> str:
-    if not page or not trees:
+    if not page:
         return ""
     nodes, pieces = measured(page)
     score = [max(-6.0, min(6.0, odds(trees, x))) for x in features(nodes)]
-    return text_of(pieces, decode(nodes, score), nodes[0])
+    return text_of(pieces, decode(nodes, score), nodes[0]) or text_of(pieces, outside_furniture(nodes), nodes[0])
+
+
+def outside_furniture(nodes: list[Node]) -> set[int]:
+    """What neither is nor lies in furniture, by tags and attribute words."""
+    out: set[int] = set()
+    for node in nodes:
+        if not _in_furniture(node) and (node.parent is None or id(node.parent) in out):
+            out.add(id(node))
+    return out
 
 
 # Layouts for the rewritten training pages: wrappers of text and of furniture, as sites commonly name them.
@@ -164,15 +179,15 @@ def _in_furniture(node: Node) -> bool:
 
 
 def labelled_rows(page: str, rng: random.Random, rewrites: int) -> list[tuple[float, list[float]]]:
-    """(label, features) of the nodes of a page and of its rewritten layouts; none if the page names no article."""
+    """(label, features) of the nodes of a page and of its rewritten layouts. If the page names no article, what isn't furniture is one."""
     nodes, pieces = measured(page)
     good: dict[int, float] = {}
     for node in nodes:
         inside = good.get(id(node.parent), 0.0)
         good[id(node)] = 0.0 if _in_furniture(node) else 1.0 if node.tag in ("article", "main") else inside
+    if not any(good.values()):
+        good |= dict.fromkeys(outside_furniture(nodes), 1.0)
     around = {id(n) for n in nodes if good[id(n)]}
-    if not around:
-        return []
     for node in reversed(nodes):  # what holds an article must be kept for it
         if node.parent and good[id(node)] and not _in_furniture(node.parent):
             good[id(node.parent)] = 1.0
@@ -205,25 +220,29 @@ def labelled_rows(page: str, rng: random.Random, rewrites: int) -> list[tuple[fl
     return rows
 
 
-def sampled_rows(pages: DataFrame, n_pages: int, rewrites: int) -> DataFrame:
-    """label, features of a sample of n_pages pages, first by hash; each page's layouts are drawn from its own seed."""
+def sampled_rows(pages: DataFrame, n_pages: int, rewrites: int, chars_per_page: int) -> DataFrame:
+    """label, features of a sample of n_pages distinct pages, first by hash of those that name an article if any does;
+    each page's layouts are drawn from its own seed."""
     order = F.xxhash64(F.lit("sample"), "html")
-    sample = pages.filter("html IS NOT NULL").select(F.substring("html", 1, 200_000).alias("html"), order.alias("o")).orderBy("o").limit(n_pages).repartition(8, "o")
+    keyed = pages.filter("html IS NOT NULL").select(F.substring("html", 1, chars_per_page).alias("html"), order.alias("o"), F.col("html").rlike(r"(?i)<(article|main)[\s>]").alias("named"))
+    first = keyed.select("named", "o").distinct().orderBy(F.desc("named"), "o").limit(n_pages)
+    first = first.join(first.agg(F.max("named").alias("some")), F.col("named") == F.col("some")).select("o")
+    sample = keyed.join(F.broadcast(first), "o", "left_semi").dropDuplicates(["o"]).repartition(8, "o")
 
     def run(batches):
         for batch in batches:
             rows = [r for page, o in zip(batch.column("html").to_pylist(), batch.column("o").to_pylist(), strict=True) for r in labelled_rows(page, random.Random(o), rewrites)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["label", "x"])
 
-    return sample.mapInArrow(run, "label double, x array<double>")
+    return sample.select("html", "o").mapInArrow(run, "label double, x array<double>")
 
 
-def train(pages: DataFrame, n_pages: int = 240, rewrites: int = 4, trees: int = 20, depth: int = 5) -> list[tuple[float, list]]:
-    """The boosted trees, learned from a bounded sample of pages, as nested tuples."""
+def train(pages: DataFrame, n_pages: int = 240, rewrites: int = 4, trees: int = 20, depth: int = 5, chars_per_page: int = 1_000_000) -> list[tuple[float, list]]:
+    """The boosted trees, learned from a sample of at most n_pages pages and chars_per_page characters of each, as nested tuples."""
     spark = pages.sparkSession
-    rows = written(sampled_rows(pages, n_pages, rewrites), "dom-nodes")
+    rows = written(sampled_rows(pages, n_pages, rewrites, chars_per_page), "dom-nodes")
     if rows.select("label").distinct().count() < 2:
-        return []
+        return KEEP_ALL
     df = rows.select("label", array_to_vector("x").alias("features")).coalesce(4)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, checkpointInterval=-1).fit(df)
     path = new_folder(spark, "boosted-trees")
