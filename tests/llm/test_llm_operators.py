@@ -4,13 +4,14 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelight.llm import bpe, components, decontaminate, html_text, language_id, licences, near_duplicates, pii, topk, urls, warc
+from tidelight.llm import bpe, components, decontaminate, dom, html_text, language_id, licences, near_duplicates, pii, topk, urls, warc
 from tidelight.llm.store import new_folder
 
 DATA = "/root/testdata/sf0.001"
@@ -46,11 +47,13 @@ def empty(spark):
 # Language ID
 
 
-def test_phrases_equal_a_greedy_parse():
-    samples = {"a": "abcab cabba", "b": "xyz zyx xx abc"}
+@pytest.mark.parametrize("dense", [0, 1 << 20])
+def test_phrases_equal_a_greedy_parse(monkeypatch, dense):
+    monkeypatch.setattr(language_id, "DENSE", dense)
+    samples = {"a": "abcab cabba", "b": "xyz zyx xx"}
     p = language_id.CrossParser(samples)
     codes = p.codes()
-    texts = ["abc abq", "zyx", "", "qq", "a" * 1300, "xyz zyx, ABC"]
+    texts = ["abc abq", "zyx", "", "qq", "a" * 1300, "xyz zyx, ABC", "ab日本"]
     letters, rates = p.rates(texts, codes)
     for t, has, row in zip(texts, letters, rates, strict=True):
         s = "".join(c if c.isalpha() else " " for c in t.lower())
@@ -62,13 +65,31 @@ def test_phrases_equal_a_greedy_parse():
                 rest = s[at : at + language_id.BLOCK]
                 while rest:
                     size = 1
-                    while size < len(rest) and rest[: size + 1] in language_id.letters_only(samples[lang]):
+                    while size < len(rest) and rest[: size + 1] in language_id.letters_only(samples[lang])[: p.size]:
                         size += 1
-                    n, rest = n + 1, rest[size:]
-            want = n * np.log2(p.sizes[k]) / max(1, len(s))
+                    n, rest = n + (1 if rest[0] in language_id.letters_only(samples[lang])[: p.size] else 2), rest[size:]
+            want = n * np.log2(p.size) / max(1, len(s))
             assert row[k] == pytest.approx(want), (t, lang)
 
 
+def test_large_alphabets_and_unequal_samples():
+    rng = random.Random(5)
+    han, kana = [chr(0x4E00 + i) for i in range(2000)], [chr(0x3041 + i) for i in range(80)]
+    chinese = "".join(rng.choice(han) + rng.choice(["", "", " "]) for _ in range(9000))
+    japanese = "".join(rng.choice(kana + han[:300]) for _ in range(30_000))
+    p = language_id.CrossParser({"zh": chinese, "ja": japanese, "en": words(2000)})
+    assert {type(t) for t in p.tables} == {language_id.Dense, language_id.Hashed}
+    texts = [chinese[300:420], japanese[500:640], words(20), "".join(rng.choice(han[400:]) for _ in range(60))]
+    _, rates = p.rates(texts, p.codes())
+    assert [p.languages[i] for i in rates.argmin(1)] == ["zh", "ja", "en", "zh"]
+
+
+def test_ties_go_to_the_first_language(spark):
+    p = language_id.CrossParser({"b": "one two three", "a": "one two three"})
+    [r] = language_id.identify(docs_frame(spark, [(1, "one", None)]), p).collect()
+    assert (r.lang_pred, r.score) == ("a", 0.0)
+
+
 def test_languages_held_out(spark):
     rows = language_id.op1_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()
     assert len(rows) > 10
@@ -98,27 +119,30 @@ def test_bpe_equals_tiktoken(spark, odd, empty):
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(2)
     texts = ["".join(rng.choice("aabcdeé \n\t\x1c\u0085ß日本1２'st!?—🙂 THE ") for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["a" * 3000, " " * 999, "ab" * 2000, words(3000)]
-    encoder = bpe.Encoder(ranks, pattern)
-    for t, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(t)
-        assert encoder.replay.decode(ids) == t.encode()
-    for r in bpe.encode_decode(odd, path, pattern, keep_ids=True).collect():
-        ids = own.encode_ordinary(r.text or "")
-        assert (r.n_tokens, r.ids) == (len(ids), ids)
-        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
-        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    for frame in (odd, docs_frame(spark, [(i, t, "en") for i, t in enumerate(texts)])):
+        rows = bpe.encode_decode(frame, path, pattern, keep_ids=True).collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in frame.collect())
+        for r in rows:
+            ids = own.encode_ordinary(r.text or "")
+            assert (r.n_tokens, r.ids) == (len(ids), ids)
+            assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert bpe.encode_decode(empty, path, pattern).count() == 0
+    staged = bpe.stage(spark, odd, DATA)
+    assert (staged.count(), "text" in staged.columns) == (odd.count(), False)
 
 
-def test_long_texts_are_split_like_others(monkeypatch):
+def test_long_texts_are_cut_like_others(monkeypatch):
     path, pattern = bpe.rank_file()
-    e = bpe.Encoder(bpe.read_ranks(path), pattern)
-    texts = [words(3000), "short"]
-    whole = list(e.encode(texts))
+    text = words(3000)
+    cutter = bpe.Cutter(bpe.read_ranks(path), pattern)
+    whole, listed = cutter.cut(text), cutter.words
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 100)
     monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 50)
-    e.cache.clear()
-    assert list(e.encode(texts)) == whole
+    cutter.start()
+    again = cutter.cut(text)
+    named = lambda codes, words_: [c if c >= 0 else words_[-1 - c] for c in codes]
+    assert named(again, cutter.words) == named(whole, listed)
 
 
 # Personal data
@@ -486,7 +510,7 @@ def test_frames_and_bundles_roll(spark, monkeypatch):
     writer.files.create_dir(writer.root, recursive=True)
     rng = random.Random(1)
     for i in range(40):
-        writer.add(i, warc.record(i, "u", rng.randbytes(700), "0" * 64, None))
+        writer.add(i, warc.record(i, "u", rng.randbytes(700), 700, "0" * 64, None))
     writer.close()
     index = writer.index().to_pylist()
     assert len({r["bundle"] for r in index}) > 3
@@ -537,8 +561,44 @@ def test_decoding_has_no_contradictions(trees):
 
 def test_no_pages_to_learn_from(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    assert html_text.train(pages) == []
-    assert html_text.extract(pages, []).count() == 0
+    trees = html_text.train(pages)
+    assert html_text.extract(pages, trees).count() == 0
+    assert html_text.main_text("one<p>two", trees) == "one\ntwo"
+
+
+def test_text_outside_of_elements(trees):
+    assert html_text.main_text("Just an article of bare text", trees) == "Just an article of bare text"
+    assert html_text.main_text("<p>one</p>tail text", trees) == "one\ntail text"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a b="x" ', "<a '>", "</script ", "<b></i>", '<a "" ', "<!--", "<script></script "])
+def test_long_broken_pages_are_linear(trees, piece):
+    start = time.perf_counter()
+    html_text.main_text(piece * (1_000_000 // len(piece)) + ("" if piece == "<a " else '">"'), trees)
+    assert time.perf_counter() - start < 12
+
+
+def test_tags_end_alike_on_both_ways():
+    rng = random.Random(6)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<a ", "<b>", "</a>", '"', "'", ">", "<", "x ", "<!-- -->", "<p class='y'>"]) for _ in range(rng.randint(0, 14)))
+        slow = dom.Tags(page)
+        slow.places = [m.start() for m in re.finditer("[>\"']", page)]
+        a, b, at, bt = dom.Tags(page), slow, 0, 0
+        while True:
+            x, y = a.find(at), b.find(bt)
+            assert x == y
+            if not x:
+                break
+            at = bt = x[1]
+
+
+def test_pages_without_an_article(spark):
+    rows = [(i, "u", f"<html><body><nav><a>{words(2)}</a></nav><div><p>{words(60)}</p></div><footer>{words(4)}</footer></body></html>") for i in range(12)]
+    pages = spark.createDataFrame([(*r, "own") for r in rows + rows[:2]], "page_id long, url string, html string, text string")
+    got = html_text.extract(pages, html_text.train(pages, n_pages=10, trees=8)).collect()
+    assert len(got) == 14
+    assert all(r.text == re.search("<p>(.*?)</p>", r.html)[1] for r in got)
 
 
 # Licences
@@ -586,7 +646,9 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
             leaked.add(i)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
     assert set(got) == set(left) - leaked
-    encoder = bpe.Encoder(bpe.read_ranks(bpe.rank_file()[0]), bpe.rank_file()[1])
-    for i, ids in zip(got, encoder.encode([pii.masked(left[i]) for i in got]), strict=True):
-        assert got[i].ids_sha256 == hashlib.sha256(ids).hexdigest()
+    import tiktoken
+
+    encoder = tiktoken.Encoding("own", pat_str=bpe.rank_file()[1], mergeable_ranks=bpe.read_ranks(bpe.rank_file()[0]), special_tokens={})
+    for i, r in got.items():
+        assert r.ids_sha256 == hashlib.sha256(np.array(encoder.encode_ordinary(pii.masked(left[i])), "<u4").tobytes()).hexdigest()
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "pii", "byte_bpe"]
