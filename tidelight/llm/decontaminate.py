@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
 Numbers, units after numbers and names become typed placeholders; case and punctuation go, and
-white space of any kind and length is one space. Each window of five words is read in up to three
-ways: names as literal words (so that case doesn't matter), capitalised words inside a sentence
-as names, and all capitalised words as names (a sentence may start with one). Windows of the
-benchmark items and of the documents are joined on the hashes of all their readings. In documents
+white space of any kind and length is one space. Each window of five words of a document is read in
+two ways: names as literal words (so that case doesn't matter), and capitalised words as names
+(a sentence may start with one). Windows of the benchmark's items, which are few, are also read with
+capitalised words inside a sentence as names and those at its start literal, as a document may hold
+the passage inside a sentence. Windows are joined on the hashes of their readings. In documents
 with enough hits, the values that stand in matching slots are aligned: each value of the item is
 mapped to the value it most often meets, and readings that contradict the mapping don't count. An
 item leaks into a document that holds at least `similarity` of its windows, or `run` of them.
@@ -30,8 +31,9 @@ BROADCAST_ROWS = 1_000_000
 # Units that may follow a number.
 UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|yd|yards|mi|mile|miles|mg|g|kg|lb|lbs|oz|ml|l|liters|litres|s|sec|seconds|min|minutes|h|hr|hours|days|weeks|months|years|percent|dollars|euros|usd|eur|cents|mph|kmh|hz|khz|mhz|w|kw|v|degrees"
 
-_NAME = r"(?<=[\p{L}\p{N},'\)] )(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
-_NUMBER = r"(?<!\S)([\(\p{Sc}]?[+-]?\d[\d.,:/]*%?)(?=[\s;!?\)]|$)"
+# Patterns begin with a look at the character itself, which rules out most places at once.
+_NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},'\)] )(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
+_NUMBER = r"(?=[\(\p{Sc}+\-\d])(?<!\S)([\(\p{Sc}]?[+-]?\d[\d.,:/]*%?)(?=[\s;!?\)]|$)"
 _UNIT = rf"(\x02num\S*\s)((?i:{UNITS}))(?=[\s.,;:!?\)]|$)"
 
 
@@ -50,7 +52,7 @@ def canonical(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, " +"), "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def _literal(text: Column, *kinds: str) -> Column:
@@ -85,9 +87,10 @@ def _hashes(words: str) -> Column:
 
 
 def window_hashes(docs: DataFrame) -> DataFrame:
-    """row_key, hash: the distinct hashes of the windows of each text, in all readings."""
-    words = docs.select("row_key", canonical(F.col("text")).alias("t")).select("row_key", *readings(F.col("t")))
-    return words.select("row_key", F.explode(F.array_distinct(F.concat(_hashes("w0"), _hashes("w1"), _hashes("w2")))).alias("hash"))
+    """row_key, hash: the hashes of the windows of each text, in both readings of a document."""
+    literal, _, named = readings(F.col("t"))
+    words = docs.select("row_key", canonical(F.col("text")).alias("t")).select("row_key", literal, named)
+    return words.select("row_key", F.explode(F.concat(_hashes("w0"), _hashes("w2"))).alias("hash"))
 
 
 def _windows(df: DataFrame, *keys: str, names: bool = False) -> DataFrame:
