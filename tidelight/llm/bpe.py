@@ -1,48 +1,42 @@
-"""Byte-level BPE by merge replay over the words of the corpus.
+"""Byte-level BPE by merge replay over a corpus of words.
 
-The pattern cuts texts into words that merge independently, so a word needs its merges once,
-however often it occurs:
+The pattern cuts texts into words that merge independently, so a word needs its merges once
+however often it occurs. Each task gathers the distinct new words of a block of its documents,
+lays their bytes out in one array, and keeps an inverted index from the rank of a token pair to
+the positions that hold it. Ranks are taken in order; a merge rewrites all its positions at
+once (the leftmost of each word first, as one word's merges come one by one) and only the two
+neighbours of each get new index entries. The words' ids then make up the documents' ids.
 
-1. Blocks of documents are cut into words. A word that is a token is its rank; of the others the
-   block keeps a list, and the documents hold places in it. The result is a written table.
-2. The distinct listed words of the whole corpus are laid out in arrays, with an inverted index
-   from the rank of a token pair to the positions that hold it. Ranks are taken in order; a merge
-   rewrites all its positions at once (the leftmost of each word first, as one word's merges come
-   one by one) and only the two neighbours of each get new index entries.
-3. The words' ids are joined back to the blocks' lists, and each block's documents, which meet
-   their list by the block's number, become ids, digests and decoded bytes.
-
-Blocks are bounded, so neither a common word nor a large table makes a group that grows.
+Words are shared within a block of documents and through a bounded cache from block to block,
+not through a shuffle: the result is the same, and nothing but the documents moves. (One vocabulary
+of the whole corpus, joined back to the documents, took three times the disk that the corpus itself
+does, since most distinct words of a corpus are rare; README has the figures.)
 
 Defined cases: null text is empty: no tokens, digests of nothing. Texts of any length are
-cut piece by piece. Equal rows get equal results; other columns stay, those named like the results
-are replaced. Empty tables give no rows.
+split piece by piece. Equal rows get equal results; other columns stay, those named like the
+results are replaced. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 import re
 import unicodedata
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from .store import written
+from .language_id import pa_schema
 
-#: Bounds of a task's memory: characters of a block of documents, words whose merges are replayed together.
+#: Bounds of a task's memory: characters of a block of documents, words kept from earlier blocks.
 BLOCK_CHARS = 1_000_000
+CACHED_WORDS = 200_000
 WORDS_AT_ONCE = 50_000
 
 
@@ -51,16 +45,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@functools.lru_cache(maxsize=1)
-def bytes_by_rank(path: str) -> dict[int, bytes]:
-    """The tokens' bytes, read once by a Python worker."""
-    return {v: k for k, v in read_ranks(path).items()}
-
-
 class MergeReplay:
     """Encodes words by a rank file; ids are ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.bytes_of = {v: k for k, v in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
@@ -171,6 +161,9 @@ class MergeReplay:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
 
 def narrow(pattern: str) -> re.Pattern:
     """The pattern with its Unicode classes spelled out for Latin-1 texts, on which the standard library's engine is faster."""
@@ -187,16 +180,12 @@ def narrow(pattern: str) -> re.Pattern:
     return re.compile(pattern.replace(r"\S", f"[^{spaces}]"))
 
 
-class Cutter:
-    """Cuts texts into words: a token's rank, or -1 - its place in the list of a block's other words."""
+class Encoder:
+    """A task's replay and its cache of words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.wide, self.narrow, self.ranks = regex.compile(pattern), narrow(pattern), ranks
-        self.start()
-
-    def start(self) -> None:
-        """Begin a block."""
-        self.codes, self.words = {}, []
+        self.replay, self.cache = MergeReplay(ranks), {}
+        self.wide, self.narrow = regex.compile(pattern), narrow(pattern)
 
     def pattern_of(self, text: str):
         try:
@@ -205,116 +194,77 @@ class Cutter:
             return self.wide
         return self.narrow
 
-    def code(self, word: str) -> int:
-        out = self.ranks.get(word.encode())
-        if out is None:
-            self.words.append(word)
-            out = -len(self.words)
-        self.codes[word] = out
-        return out
-
-    def cut(self, text: str) -> array:
-        known, out = self.codes, array("i")
-        words = (m[0] for m in self.pattern_of(text).finditer(text)) if len(text) > BLOCK_CHARS else iter(self.pattern_of(text).findall(text))
+    def learn(self, new: set[str]) -> None:
+        words = iter(new)
         while part := list(islice(words, WORDS_AT_ONCE)):
-            for new in set(part).difference(known):
-                self.code(new)
-            out.extend(map(known.__getitem__, part))
-        return out
-
-
-def cut_blocks(docs: DataFrame, path: str, pattern: str, text: str, kept: list[str]) -> DataFrame:
-    """block, doc (the kept columns), codes (of the text's words), words (the block's list, in its first row)."""
+            raw = [w.encode("utf-8") for w in part]
+            hard = [i for i, b in enumerate(raw) if b not in self.replay.ranks]
+            for i, ids in zip(hard, self.replay.encode([raw[i] for i in hard]), strict=True):
+                self.cache[part[i]] = ids
+            for w, b in zip(part, raw, strict=True):
+                if (rank := self.replay.ranks.get(b)) is not None:
+                    self.cache[w] = rank.to_bytes(4, "little")
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, as bytes; texts are taken block by block."""
+        block: list[list[str] | str] = []
+        size = 0
+        for t in texts:
+            if len(t) > BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+                yield self._long(t)
+                continue
+            if size + len(t) > BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+            block.append(self.pattern_of(t).findall(t))
+            size += len(t)
+        yield from self._block(block)
+
+    def _forget(self) -> None:
+        if len(self.cache) > CACHED_WORDS:
+            self.cache.clear()
+
+    def _block(self, block: list[list[str]]) -> Iterator[bytes]:
+        self._forget()
+        self.learn(set().union(*block) - self.cache.keys())
+        for words in block:
+            yield b"".join(map(self.cache.__getitem__, words))
+
+    def _long(self, text: str) -> bytes:
+        words, out = (m[0] for m in self.pattern_of(text).finditer(text)), []
+        while part := list(islice(words, WORDS_AT_ONCE)):
+            out += self._block([part])
+        return b"".join(out)
 
-    def run(batches):
-        cutter, task, n = Cutter(read_ranks(path), pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            at = 0
-            while at < batch.num_rows:
-                cutter.start()
-                end, size, codes = at, 0, []
-                while end < batch.num_rows and size < BLOCK_CHARS:
-                    t = texts[end].as_py() or ""
-                    codes.append(np.frombuffer(cutter.cut(t), np.int32))
-                    size += len(t)
-                    end += 1
-                part = batch.slice(at, end - at)
-                doc = pa.StructArray.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] or [pa.nulls(end - at, pa.int32())], kept or ["_none"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task << 36 | n] * (end - at), pa.int64()), doc, pa.array(codes, pa.list_(pa.int32())), pa.array([cutter.words] + [None] * (end - at - 1), pa.list_(pa.string()))],
-                    names=["block", "doc", "codes", "words"],
-                )
-                at, n = end, n + 1
-        pa.default_memory_pool().release_unused()
 
-    doc = docs.select(*kept).schema if kept else StructType().add("_none", "int")
-    schema = StructType.fromDDL("block long, codes array<int>, words array<string>")
-    return docs.mapInArrow(run, StructType([schema["block"], StructField("doc", doc), schema["codes"], schema["words"]]))
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def merged(words: DataFrame, path: str) -> DataFrame:
-    """word, ids (little-endian unsigned 32-bit) of distinct words."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256; with keep_ids also ids, an array."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
+    docs = docs.drop(*names)
 
     def run(batches):
-        replay = MergeReplay(read_ranks(path))
+        if (own := _encoders.get((path, pattern))) is None:
+            own = _encoders[path, pattern] = Encoder(read_ranks(path), pattern)
         for batch in batches:
-            column = batch.column(0)
-            for at in range(0, len(column), WORDS_AT_ONCE):
-                part = column.slice(at, WORDS_AT_ONCE)
-                ids = replay.encode([w.encode() for w in part.to_pylist()])
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.binary())], names=["word", "ids"])
-
-    return words.mapInArrow(run, "word string, ids binary")
-
-
-def assembled(codes: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Token ids of a text, from its codes and the ids of its block's words, which lie one after the other."""
-    listed = codes < 0
-    word = -1 - codes[listed]
-    size = np.ones(len(codes), np.int64)
-    size[listed] = counts[word]
-    begin = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint32)
-    out[begin[~listed]] = codes[~listed]
-    n = counts[word]
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(begin[listed], n) + inside] = ids[np.repeat(starts[word], n) + inside]
-    return out
-
-
-def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False, keep_text: bool = True) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256; with keep_ids also ids, an array; without the text unless keep_text."""
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
-    kept = [c for c in docs.columns if c not in names and (keep_text or c != text)]
-    blocks = written(cut_blocks(docs.select(*dict.fromkeys([*kept, text])), path, pattern, text, kept), "cut-texts")
-    lists = blocks.filter("words IS NOT NULL").select("block", F.posexplode("words").alias("place", "word"))
-    vocabulary = written(merged(lists.select("word").distinct(), path), "vocabulary")
-    lists = lists.join(vocabulary, "word").select(F.col("block").alias("home"), "place", "ids")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = bytes_by_rank(path)
-        right = right.sort_by("place")
-        parts = right.column("ids").to_pylist()
-        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        of_words, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(counts) - counts
-        n, a, b, all_ids = [], [], [], []
-        for codes in left.column("codes"):
-            ids = assembled(codes.values.to_numpy(), of_words, starts, counts)
-            n.append(len(ids))
-            a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            b.append(hashlib.sha256(b"".join(map(own.__getitem__, ids.tolist()))).hexdigest())
-            if keep_ids:
-                all_ids.append(ids.astype(np.int32))
-        doc = left.column("doc").combine_chunks()
-        doc = doc.chunk(0) if isinstance(doc, pa.ChunkedArray) else doc
-        more = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *[pa.array(all_ids, pa.list_(pa.int32()))] * keep_ids]
-        return pa.table([*(doc.field(c) for c in kept), *more], names=[*kept, *names])
-
-    schema = StructType(docs.select(*kept).schema.fields) if kept else StructType()
-    for name, kind in zip(names, ["long", "string", "string", "array<int>"], strict=False):
-        schema = schema.add(name, StructType.fromDDL(f"x {kind}")[0].dataType)
-    return blocks.select("block", "doc", "codes").groupBy("block").cogroup(lists.groupBy("home")).applyInArrow(run, schema)
+            n, a, b, lists = [], [], [], []
+            for ids in own.encode(t.as_py() or "" for t in batch.column(batch.schema.get_field_index(text))):
+                n.append(len(ids) // 4)
+                a.append(hashlib.sha256(ids).hexdigest())
+                b.append(hashlib.sha256(own.replay.decode(ids)).hexdigest())
+                if keep_ids:
+                    lists.append(np.frombuffer(ids, "<u4").astype(np.int32))
+            more = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *[pa.array(lists, pa.list_(pa.int32()))] * keep_ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+        own.cache.clear()  # Python workers outlive their tasks
+        pa.default_memory_pool().release_unused()
+
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if keep_ids else {})
+    return docs.mapInArrow(run, pa_schema(docs, kinds))
 
 
 def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -328,9 +278,9 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
     from .store import table
 
-    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), *rank_file(), keep_text=False)
+    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), *rank_file()).drop("text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests, the pipeline's result: a row for every document, null and empty texts included."""
-    return encode_decode(docs, *rank_file(), keep_text=False)
+    return encode_decode(docs, *rank_file()).drop("text")
