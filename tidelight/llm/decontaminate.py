@@ -25,6 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .membership import split_by
+from .store import table, written
+
 WORDS = 5
 LITERALS = 3
 BROADCAST_ROWS = 1_000_000
@@ -38,12 +41,12 @@ _UNIT = rf"(\x02num\S*\s)((?i:{UNITS}))(?=[\s.,;:!?\)]|$)"
 
 
 _START = r"(?=\p{Lu}\p{Ll})(?<=(?:^|\s)[\"'“‘„«(\[]{0,2})(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
-_SPACES = r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]"
+_SPACES = r"[\s\p{Z}\x02\x03]{2,}|[\s\p{Z}\x02\x03&&[^ ]]"
 
 
 def canonical(text: Column) -> Column:
     """A text's words with a space between; placeholders (num, unit, name, start) keep what they stand for after \\x03."""
-    text = F.regexp_replace(F.translate(text, "\x02\x03", "  "), _SPACES, " ")
+    text = F.regexp_replace(text, _SPACES, " ")
     text = F.regexp_replace(text, _NUMBER, "\x02num\x03$1")
     text = F.regexp_replace(text, _UNIT, "$1\x02unit\x03$2")
     text = F.regexp_replace(text, _NAME, "\x02name\x03$1")
@@ -122,9 +125,6 @@ def row_key(*columns: str) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, run: int = 26) -> DataFrame:
     """doc_id, row_key, item_id, n_windows, n_matched, coverage, n_slots, changed_slots of every leak."""
-    from .membership import split_by
-    from .store import written
-
     items = written(item_windows(benchmark), "benchmark-windows")
     index = items.select("item_id", "hash", F.col("at").alias("item_at"), "n_windows").distinct()
     if index.count() <= BROADCAST_ROWS:
@@ -159,14 +159,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, run: i
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak of a benchmark item into a document."""
-    from .store import table
-
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a leak."""
-    from .store import table
-
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias("_tl_key")).distinct()
-    return docs.withColumn("_tl_key", row_key("doc_id", "text")).join(bad, "_tl_key", "left_anti").select(*docs.columns)
+    """The documents without a leak. Rows with null texts stay, rows that repeat are kept or dropped together."""
+    bad = written(leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias("_tl_bad")).distinct(), "leaking")
+    # Few documents leak: the others are told apart by a bounded bitmap and are not shuffled, whatever their number.
+    perhaps, kept = split_by(docs.withColumn("_tl_key", row_key("doc_id", "text")), "_tl_key", bad, "_tl_bad")
+    return kept.unionByName(perhaps.join(bad, perhaps._tl_key == bad._tl_bad, "left_anti")).select(*docs.columns)
