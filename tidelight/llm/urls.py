@@ -1,10 +1,12 @@
 """URL filters by association rules.
 
-Fixed host and path rules decide first. For the rest, FP-growth mines token combinations of
-labelled URLs (host labels and suffixes, path segments, query keys) that go with a bad label.
-Rules under a minimum support or confidence are dropped, and so are rules that contain a
-smaller one of at least their confidence. Each kept rule is indexed by its rarest token; a URL
-meets only the rules indexed by one of its tokens, and must hold all of a rule's tokens.
+Fixed host and path rules decide first, and teach: each URL that they judge is a labelled basket of
+its tokens (host labels and suffixes, path segments, query keys), beside URLs that have a label of
+their own. FP-growth mines token combinations that go with a block label. Rules under a minimum
+support, confidence or lift over the share of blocked baskets are dropped, and so are rules that
+contain a smaller one of at least their confidence. Each kept rule is indexed by its rarest token; a
+URL meets only the rules indexed by one of its tokens, and must hold all of a rule's tokens. Of the
+rules that a URL holds, the surest decides (then the one of more support, then the first by tokens).
 
 Defined cases: null url or one without `://`: empty host and path, no tokens, allow. No labels,
 or no rule over the bounds: allow wherever no fixed rule fits. Labels of one url that differ are
@@ -17,6 +19,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import table, written
+
 # Fixed values of the contract: (verdict, rule).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 BAD, GOOD = "label=block", "label=allow"
@@ -58,13 +62,13 @@ def tokens_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.array_distinct(F.concat(labels, suffixes, segments, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float = 2.0) -> DataFrame:
     """rule_tokens, confidence, support of the rules for blocking; labelled has tokens and bad."""
     baskets = labelled.filter(F.size("tokens") > 0).select(F.array_append("tokens", F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))).alias("items"))
     if not baskets.head(1):
         return labelled.sparkSession.createDataFrame([], "rule_tokens array<string>, confidence double, support double")
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    rules = rules.filter(F.element_at("consequent", 1) == BAD).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
+    rules = rules.filter((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
     # A rule goes if one that lacks some of its tokens is as sure: it is found by the rules' own tokens, not by comparing all with all.
     a = rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("t"))
     b = rules.select(F.col("rule_tokens").alias("small"), F.col("confidence").alias("small_c"), F.element_at("rule_tokens", 1).alias("t"))
@@ -73,37 +77,36 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
 
 
 def matched(urls: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:
-    """Of urls (url, tokens), those that hold all tokens of a rule, with the surest rule's confidence."""
+    """Of urls (url, tokens), those that hold all tokens of a rule, with the surest rule and its confidence."""
     rarest = F.min_by("t", F.struct("n", "t"))
-    index = rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("t")).join(counts, "t").groupBy("rule_tokens", "confidence").agg(rarest.alias("t"))
+    index = rules.select("rule_tokens", "confidence", "support", F.explode("rule_tokens").alias("t")).join(counts, "t").groupBy("rule_tokens", "confidence", "support").agg(rarest.alias("t"))
     if index.count() <= BROADCAST_RULES:
         index = F.broadcast(index)
     met = urls.select("url", "tokens", F.explode("tokens").alias("t")).join(index, "t").filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-    return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
-
+    best = F.min_by(F.struct("rule_tokens", "confidence"), F.struct(-F.col("confidence"), -F.col("support"), F.col("rule_tokens")))
+    return met.groupBy("url").agg(best.alias("b")).select("url", F.col("b.rule_tokens").alias("mined"), "b.confidence")
 
-def judge(pages: DataFrame, labels: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
-    """page_id, host, path, rule, verdict, confidence of pages (page_id, url); labels (page_id, bad) teach the method."""
-    from .store import written
 
+def judge(pages: DataFrame, labels: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, closed: bool = False) -> DataFrame:
+    """page_id, host, path, rule, verdict, and mined (the tokens of the mined rule that blocks) and its confidence, of
+    pages (page_id, url); labels (page_id, bad) teach beside the fixed rules. If closed, URLs without rule and label
+    teach as allowed ones, so that a rule must hold against all URLs."""
     url = F.col("url")
-    labelled = pages.select("page_id", tokens_of(url).alias("tokens")).join(labels.filter("bad IS NOT NULL").select("page_id", "bad"), "page_id")
-    labelled = written(labelled, "labelled-urls")
+    out = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("rule", fixed_rule(F.col("host"), F.col("path")))
+    ruled = out.filter("rule IS NOT NULL").select("url", (verdict_of(F.col("rule")) == "block").alias("bad"))
+    own = out.filter("rule IS NULL").select("page_id", "url").join(labels.select("page_id", "bad"), "page_id", "left")
+    own = own.select("url", F.coalesce("bad", F.lit(False)).alias("bad") if closed else "bad").filter("bad IS NOT NULL")
+    labelled = written(ruled.unionByName(own).select(tokens_of(url).alias("tokens"), "bad"), "labelled-urls")
     rules = written(mine(labelled, min_support, min_confidence), "url-rules")
     counts = labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    out = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("rule", fixed_rule(F.col("host"), F.col("path")))
-    if rules.head(1):
-        open_urls = out.filter("rule IS NULL AND url IS NOT NULL").select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
-        out = out.join(matched(open_urls, rules, counts), "url", "left")
-    else:
-        out = out.withColumn("confidence", F.lit(None).cast("double"))
-    learned = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule")), learned).alias("verdict"), "confidence")
+    open_urls = out.filter("rule IS NULL AND url IS NOT NULL").select("url").distinct().withColumn("tokens", tokens_of(url))
+    out = out.join(matched(open_urls, rules, counts), "url", "left")
+    learned = F.when(F.col("rule").isNull() & F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    decided = F.when(F.col("rule").isNull(), F.col("mined")).alias("mined"), F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence")
+    return out.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule")), learned).alias("verdict"), *decided)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on every page's url. A page is labelled bad by the labels of its number: toxic, or of low quality."""
-    from .store import table
-
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"))
-    return judge(table(spark, sf_dir, "pages"), labels).drop("confidence")
+    """Verdicts on every page's url. The fixed rules' own verdicts are the labels; the table `labels` is of documents, not of pages, and teaches nothing here."""
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    return judge(table(spark, sf_dir, "pages"), none, min_confidence=0.6, closed=True)
