@@ -452,11 +452,12 @@ def brute_top(vectors, queries, k):
 @pytest.mark.parametrize("dims", [2, 16])
 def test_top_k_equals_brute_force(spark, monkeypatch, dims):
     monkeypatch.setattr(topk, "BLOCK", 60)
-    monkeypatch.setattr(topk, "QUERIES", 4)
     rng = np.random.default_rng(dims)
     vectors = [(i, rng.integers(-3 if dims == 2 else -900, 4 if dims == 2 else 900, dims).tolist()) for i in range(300)]
     frame = spark.createDataFrame(vectors, "vec_id long, v array<long>")
-    got = sorted(tuple(r) for r in topk.top_k(frame.filter("vec_id % 20 = 0"), frame, 10).collect())
+    top = topk.top_k(frame.filter("vec_id % 20 = 0"), frame, 10).collect()
+    assert all(0 <= r.depth <= 1 for r in top)
+    got = sorted(tuple(r)[:4] for r in top)
     assert got == brute_top(vectors, [x for x in vectors if x[0] % 20 == 0], 10)
 
 
@@ -464,11 +465,22 @@ def test_vectors_that_take_part(spark):
     rows = [(100, [0.5, -0.5]), (1, [0.1, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, []), (200, [0.0, 0.0])]
     v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert {r.vec_id: r.v for r in v.collect()} == {100: [512, -512], 1: [102, 0], 6: [], 200: [0, 0]}
-    got = sorted(tuple(r) for r in topk.top_k(v.filter("vec_id % 100 = 0"), v, 10).collect())
+    got = sorted(tuple(r)[:4] for r in topk.top_k(v.filter("vec_id % 100 = 0").withColumn("block", F.lit(1)), v, 10).collect())
     assert got == [(100, 1, 1, 512 * 102), (100, 2, 6, 0), (100, 3, 200, 0), (200, 1, 1, 0), (200, 2, 6, 0), (200, 3, 100, 0)]
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_reading_stops_where_outsiders_cannot_qualify():
+    """One list decides: candidates far down in it are never read."""
+    rng = np.random.default_rng(1)
+    vectors = np.c_[rng.permutation(4000) * 50, rng.integers(-3, 4, (4000, 3))]
+    ids, scores, depth = topk.Lists(list(range(4000)), vectors.tolist()).top(-1, np.array([5, 1, -1, 1]), 10, None)
+    assert sorted(zip(-scores, ids, strict=True)) == sorted(zip(-(vectors @ [5, 1, -1, 1]), range(4000), strict=True))[:10]
+    assert depth < 0.3
+    _, _, beaten = topk.Lists(list(range(4000)), vectors.tolist()).top(-1, np.array([5, 1, -1, 1]), 10, 10**9)
+    assert beaten <= depth
+
+
 # WARC
 
 

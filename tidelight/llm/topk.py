@@ -1,21 +1,24 @@
 """Exact top-k inner products by aggregation without random access.
 
-Components become floor(1024 * x), so scores are exact integers. Candidates are dealt into
-blocks of about BLOCK vectors; in a block every dimension has its list of candidates sorted by
-component. For a query each list is read from the end where its contributions are greatest, in
-growing steps of depth, all lists in step. A candidate's upper bound counts the deepest value
-read for every list in which it was not yet seen, its lower bound the worst value of that list.
-Reading stops when few enough candidates can still reach the k-th best lower bound; those alone
-get their final scores. The blocks' winners are ranked per query.
-
-Queries are blocked too, and each pair of blocks is one group, so no task holds more than a
-block of either. Work grows with queries x candidates, as the exact answer over dense vectors
-demands.
+Components become floor(1024 * x), so scores are exact integers. Candidates are dealt into blocks
+of about BLOCK vectors; in a block every dimension has its list of candidates sorted by component.
+For a query each list is read from the end where its contributions are greatest, all lists in step
+and to growing depth. What is read is added to its candidate's sum and marked; entries are touched
+once. A candidate's upper bound adds the deepest value read for every list in which it was not yet
+seen, its lower bound the worst value of that list. Candidates whose upper bound is below the k-th
+best lower bound, or below the score that the query has to beat, are dropped; reading stops when few
+are left, and those alone get their final scores.
+
+A block's lists are built once, and the queries are sent to it one by one: a first pass holds each
+query against one block, which gives the score to beat, a second one against all other blocks. So
+queries are copied once a block and candidates not at all, and no task holds more than a block.
+Work grows with queries x candidates, as the exact answer over dense vectors demands.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part.
 Vectors of other lengths than the query's are compared over the shorter length. Ties go to the
 smaller vec_id; fewer than k candidates give fewer rows. Repeated ids are separate candidates,
-but a query never meets its own id; of queries that repeat id and vector one answers.
+but a query never meets its own id; of queries that repeat id and vector one answers, queries
+that share an id but not the vector are not told apart in the ranks. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
-QUERIES = 256
-SCHEMA = "query_id long, vec_id long, score long"
+from .store import table, written
+
+BLOCK = 4096
+SCHEMA = "query_id long, vec_id long, score long, depth double"
 
 
 def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -37,81 +41,98 @@ def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     return vectors.filter(usable).select(F.col(vec_id).alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * 1024).cast("long")).alias("v"))
 
 
-def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : min(width, len(r))] = r[:width]
-    return out
-
-
 class Lists:
-    """The sorted lists of a block of candidates, as the rank of every candidate in every list."""
+    """The sorted lists of a block of candidates."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: list[int], vectors: list[list[int]]):
+        width = max(map(len, vectors))
+        x = np.zeros((len(ids), width), np.int64)
+        for i, v in enumerate(vectors):
+            x[i, : len(v)] = v
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.n = ids[order], x[order], len(ids)
-        by_value = np.argsort(self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, by_value, axis=0)
-        self.rank = np.empty_like(by_value)
-        np.put_along_axis(self.rank, by_value, np.arange(self.n)[:, None], axis=0)
-
-    def top(self, q_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best candidates, ties to smaller ids."""
-        dims = np.flatnonzero(q)
-        q, up = q[dims], q[dims] > 0
-        other = self.ids != q_id
-        rank = np.where(up, self.n - 1 - self.rank[:, dims], self.rank[:, dims])  # place in the order of reading
-        gain = self.x[:, dims] * q
-        worst = np.where(up, self.sorted[0, dims], self.sorted[-1, dims]) * q
-        depth, few, left = max(k, self.n // 4), 4 * k, np.flatnonzero(other)
-        while depth < self.n and len(left) > few:
-            edge = np.where(up, self.sorted[self.n - depth, dims], self.sorted[depth - 1, dims]) * q
-            seen = rank[left] < depth
-            known = np.where(seen, gain[left], 0).sum(1)
-            low = known + np.where(seen, 0, worst).sum(1)
-            high = known + np.where(seen, 0, edge).sum(1)
-            if len(left) > k:
-                left = left[high >= np.partition(low, len(low) - k)[len(low) - k]]
-            depth += max(k, self.n // 8)
-        score = gain[left].sum(1)
+        self.ids, self.x, self.n = np.array(ids, np.int64)[order], x[order], len(ids)
+        self.order = np.argsort(self.x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.x, self.order, axis=0)
+
+    def top(self, q_id: int, q: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids and scores of the k best candidates that are not below the floor, ties to smaller ids; the share of the lists that was read."""
+        dims = np.flatnonzero(q[: self.x.shape[1]])
+        q, n = q[dims], self.n
+        up, down = dims[q > 0], dims[q < 0]
+        q = np.concatenate((q[q > 0], q[q < 0]))
+        left = np.flatnonzero(self.ids != q_id)
+        known, seen = np.zeros(n, np.int64), np.zeros((n, len(q)), bool)
+        worst = np.concatenate((self.sorted[0, up], self.sorted[-1, down])) * q
+        depth, step, columns = 0, max(k, n // 8), np.arange(len(q))
+        while depth < n and len(left) > 4 * k and len(q):
+            to = min(n, depth + step)
+            who = np.concatenate((self.order[n - to : n - depth, up], self.order[depth:to, down][::-1]), axis=1)
+            value = np.concatenate((self.sorted[n - to : n - depth, up], self.sorted[depth:to, down][::-1]), axis=1)
+            np.add.at(known, who, value * q)
+            seen[who, columns] = True
+            depth, step = to, step * 2
+            unseen = ~seen[left]
+            high, low = known[left] + unseen @ (value[0] * q), known[left] + unseen @ worst
+            bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else None
+            if floor is not None:
+                bar = floor if bar is None else max(bar, floor)
+            if bar is not None:
+                left = left[high >= bar]
+        score = self.x[np.ix_(left, np.concatenate((up, down)))] @ q
         best = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][best], score[best]
+        return self.ids[left][best], score[best], depth / n
+
+
+def in_blocks(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, depth: the best of each block for each query that was sent to it.
+    rows has block, of (0: a candidate, 1: a query), vec_id, v and floor."""
+
+    def run(batches):
+        own, ids, vectors, lists = None, [], [], None
+        for batch in batches:
+            out = [[], [], [], []]
+            for block, of, i, v, floor in zip(*(batch.column(c).to_pylist() for c in ("block", "of", "vec_id", "v", "floor")), strict=True):
+                if block != own:
+                    own, ids, vectors, lists = block, [], [], None
+                if not of:
+                    ids.append(i)
+                    vectors.append(v)
+                elif ids:
+                    lists = lists or Lists(ids, vectors)
+                    found, scores, depth = lists.top(i, np.array(v, np.int64), k, floor)
+                    for x, more in zip(out, ([i] * len(found), found.tolist(), scores.tolist(), [depth] * len(found)), strict=True):
+                        x += more
+            kinds = [pa.int64()] * 3 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score", "depth"])
+
+    return rows.repartition("block").sortWithinPartitions("block", "of").mapInArrow(run, SCHEMA)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score; both inputs have vec_id and v."""
+    """query_id, rank, vec_id, score, and depth: the greatest share of a block's lists that the query had to read.
+    Both inputs have vec_id and v."""
     blocks = max(1, -(-candidates.count() // BLOCK))
-    query_blocks = max(1, -(-queries.count() // QUERIES))
-
-    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            width = max(len(v) for t in (left, right) for v in t.column("v").to_pylist())
-            lists = Lists(right.column("vec_id").to_numpy(), matrix(right.column("v"), width))
-            for q_id, q in zip(left.column("vec_id").to_pylist(), matrix(left.column("v"), width), strict=True):
-                ids, scores = lists.top(q_id, q, k)
-                out[0] += [q_id] * len(ids)
-                out[1] += ids.tolist()
-                out[2] += scores.tolist()
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    q = dealt(queries.dropDuplicates(["vec_id", "v"]), "q_block", query_blocks, "block", blocks)
-    c = dealt(candidates, "block", blocks, "q_block", query_blocks)
-    won = q.groupBy("block", "q_block").cogroup(c.groupBy("block", "q_block")).applyInArrow(run, SCHEMA)
+    number = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).cast("int")
+    none = F.lit(None).cast("long").alias("floor")
+    resident = candidates.select(number("vec_id", "v").alias("block"), F.lit(0).alias("of"), "vec_id", "v", none)
+    asked = written(queries.select("vec_id", "v").dropDuplicates(["vec_id", "v"]), "queries")
+    home = number("v", "vec_id")
+    first = asked.select(home.alias("block"), F.lit(1).alias("of"), "vec_id", "v", none)
+    first = written(in_blocks(resident.unionByName(first), k), "first-blocks")
+    floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") == k, F.col("floor")).alias("floor"))
+    others = asked.join(floors, asked.vec_id == floors.query_id, "left").withColumn("home", home)
+    others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter("block <> home")
+    others = others.select("block", F.lit(1).alias("of"), "vec_id", "v", "floor")
+    won = first.unionByName(in_blocks(resident.unionByName(others), k)) if blocks > 1 else first
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return won.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = won.withColumn("rank", F.row_number().over(order)).withColumn("depth", F.max("depth").over(Window.partitionBy("query_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "depth")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all other vectors for every vector whose id is divisible by 100."""
-    from .store import table
-
     vectors = integers(table(spark, sf_dir, "embeddings"))
-    return top_k(vectors.filter("vec_id % 100 = 0"), vectors)
+    return top_k(vectors.filter("vec_id % 100 = 0"), vectors).drop("depth")
 
 
 OP7_SQL = """
