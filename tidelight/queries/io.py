@@ -148,14 +148,15 @@ def j18(spark, sf):
     return files.reconcile(count(rows), count(rows.filter("signal <> 'temp' AND NOT (signal = 'hr' AND source_row % 5 = 0)")), ["signal"])
 
 
-@query("j19_marker_verify", "SELECT CASE event_type WHEN 'click' THEN 'malformed' WHEN 'view' THEN 'other_content' END AS problem, count(DISTINCT event_type) > 0 AS found FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+@query("j19_marker_verify", f"WITH {LAB} SELECT signal, CASE signal WHEN 'hr' THEN 'malformed' ELSE 'other_content' END AS problem, count(*) AS row_count FROM lab WHERE signal IN ('hr', 'eda') GROUP BY ALL")
 def j19(spark, sf):
     """The markers of a landing, spoiled: other counts for heart rate, other hashes for skin conductance."""
     root = new_path(spark, "landing")
-    m = manifest(spark, sf, root)
-    m = m.withColumns({"row_count": F.when(F.col("signal") == "hr", 0).otherwise(F.col("row_count")), "sha256": F.when(F.col("signal") == "eda", F.sha2("sha256", 256)).otherwise(F.col("sha256"))})
+    told = manifest(spark, sf, root)
+    m = told.withColumns({"row_count": F.when(F.col("signal") == "hr", 0).otherwise(F.col("row_count")), "sha256": F.when(F.col("signal") == "eda", F.sha2("sha256", 256)).otherwise(F.col("sha256"))})
     prints = files.file_fingerprints(spark, f"{root}/data").withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
-    return files.verify_markers(m, prints, b.RUN).groupBy("problem").agg((F.count(F.lit(1)) > 0).alias("found"))
+    found = files.verify_markers(m, prints, b.RUN).join(told.select("path", "signal", "row_count"), "path")
+    return found.groupBy("signal", "problem").agg(F.sum("row_count").alias("row_count"))
 
 
 @query("x6_grounding_audit", r"""WITH t AS (SELECT conv_id, role, text AS body, regexp_replace(text, '\b\d{1,2}:\d{2}\b', ' ', 'g') AS rest FROM conversations WHERE text IS NOT NULL),

@@ -23,20 +23,22 @@ def run_available(df: DataFrame, checkpoint: str, path: str | None = None, each:
         raise TimeoutError(f"not done in {timeout_s} s")
 
 
-def stream_minutes(events: DataFrame, p: Params, delay: str = "2 minutes") -> DataFrame:
+def stream_minutes(events: DataFrame, p: Params, delay: str | None = "2 minutes") -> DataFrame:
     """Scalar window features of a stream of events (ENTITY, event_time, v): a window comes out once, when the
-    newest event is the delay past its end; events for windows that are out are dropped."""
+    newest event is the delay past its end; events for windows that are out are dropped. Without a delay no
+    event is ever late, and every window stays in the state."""
     return (
-        events.withWatermark("event_time", delay)
+        (events.withWatermark("event_time", delay) if delay else events)
         .groupBy(*ENTITY, F.window("event_time", f"{p.width_s} seconds").alias("w"))
         .agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
         .select(*ENTITY, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "mean", "min", "max", "n")
     )
 
 
-def minute_view(events: DataFrame, p: Params) -> DataFrame:
-    """The same windows while they are still open; for update mode."""
-    return stream_minutes(events, p, "30 days")
+def minute_view(events: DataFrame, p: Params, delay: str | None = None) -> DataFrame:
+    """The same windows while they are still open; for update mode. A delay bounds the state, and with it how late
+    an event may be; without one all events count."""
+    return stream_minutes(events, p, delay)
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
