@@ -9,8 +9,8 @@ neighbours of each get new index entries. The words' ids then make up the docume
 
 Words are shared within a block of documents and through a bounded cache from block to block,
 not through a shuffle: the result is the same, and nothing but the documents moves. (One vocabulary
-of the whole corpus, joined back to the documents, took three times the disk that the corpus itself
-does, since most distinct words of a corpus are rare; README has the figures.)
+of the whole corpus, joined back to the documents, took more than four times the disk that the corpus
+itself does, since most distinct words of a corpus are rare; README has the figures.)
 
 Defined cases: null text is empty: no tokens, digests of nothing. Texts of any length are
 split piece by piece. Equal rows get equal results; other columns stay, those named like the
