@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against brute force, other libraries and round trips."""
 
 import hashlib
+import math
 import html
 import random
 import re
@@ -631,6 +632,78 @@ def test_licences_and_inheritance(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_kin_licences_are_told_apart(spark):
+    from tidelight.llm.licence_texts import FULL
+
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY 1.0", None),
+        ("Released under the EUPL License.", None),
+        ("SPDX-License-Identifier: EPL-2.0", None),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", None),
+        (f"{words(30)}. Licensed under the Apache License, Version 2.0. {words(30).capitalize()}", "Apache-2.0"),
+        ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, see above.\n", "MPL-2.0"),
+        ("/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main", "GPL-3.0"),
+        ("Copyright\n\n" + FULL["BSD-2-Clause"].replace(". ", ".\n") + "\n\nint main() { return 0; }\n" * 30, "BSD-2-Clause"),
+        ("Copyright\n\n" + FULL["BSD-3-Clause"].replace(". ", ".\n") + f"\n\n{words(3000)}", "BSD-3-Clause"),
+        (words(50_000) + "\n" + FULL["MIT"], "MIT"),
+    ]
+    df = spark.createDataFrame([(f"{i}.txt", t) for i, (t, _) in enumerate(cases)], "path string, text string")
+    got = {r.path: r.licence for r in licences.scan(df).collect()}
+    assert got == {f"{i}.txt": want for i, (_, want) in enumerate(cases)}
+
+
+def test_licence_similarities_equal_a_brute_force(spark):
+    from tidelight.llm.licence_texts import is_mark, statements
+
+    def split(text):
+        low = text.lower()
+        tags = ["spdx:" + x for x in re.findall(r"spdx-licen[cs]e-identifier:\s*([a-z0-9.+-]+)", low)]
+        low = re.sub(r"spdx-licen[cs]e-identifier:\s*([a-z0-9.+-]+)", " ", low)
+        return [w for w in re.split(r"[^a-z0-9.+]+|\.(?=\s|$)", low) if w] + tags
+
+    rng = random.Random(5)
+    templates = [(name, split(t)) for name, texts in statements().items() for t in texts]
+    passages = []
+    for i in range(150):
+        own = list(rng.choice(templates)[1])
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = rng.choice(WORDS)
+        passages.append((i, " ".join(own + rng.choices(WORDS, k=rng.randint(0, 3)))))
+    passages += [(1000, ""), (1001, "nothing of the kind")]
+    every = [split(t) for _, t in passages] + [w for _, w in templates]
+    df = Counter(w for ws in every for w in set(ws))
+
+    def vector(ws):
+        raw = {w: n * (math.log((1 + len(every)) / (df[w] + 1)) + 1) for w, n in Counter(ws).items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / norm for w, x in raw.items()}
+
+    vectors = [(name, ws, vector(ws)) for name, ws in templates]
+    want = {}
+    for i, text in passages:
+        own, best = vector(split(text)), {}
+        for name, ws, v in vectors:
+            if all(w in own for w in ws if is_mark(w, len(ws))):
+                best[name] = max(best.get(name, 0.0), round(sum(x * own.get(w, 0.0) for w, x in v.items()), 9))
+        order = sorted((-c, name) for name, c in best.items())
+        if order and -order[0][0] >= 0.7 and (len(order) == 1 or order[1][0] - order[0][0] >= 0.02):
+            want[i] = (order[0][1], -order[0][0])
+    got = {r.passage_id: (r.licence, r.similarity) for r in licences.scan_passages(spark.createDataFrame(passages, "passage_id long, passage string")).collect()}
+    assert len(want) > 30 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_two_licence_files_ties_and_repeats(spark):
+    rows = [("d/LICENSE", "Released under the MIT License."), ("d/COPYING", "Licensed under CC BY 4.0."), ("d/x.txt", "plain"), ("d/x.txt", "plain"), ("e/LICENSE", "nothing"), ("e/x.txt", "plain")]
+    got = Counter((r.path, r.licence, r.origin) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect())
+    assert got == {("d/LICENSE", "MIT", "own"): 1, ("d/COPYING", "CC-BY-4.0", "own"): 1, ("d/x.txt", "CC-BY-4.0", "d"): 2, ("e/LICENSE", None, None): 1, ("e/x.txt", None, None): 1}
+
+
 # Pipeline
 
 

@@ -1,15 +1,19 @@
-"""License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
-
-Lines anywhere in a file that mention licensing are its passages; a licence file is one passage
-as a whole. Distinct passages are compared once, however many files hold them: their words are
-weighted by tf * idf (idf over the corpus's passages and the templates) and joined with the
-templates' words. A file takes the licence of its best passage at or above `least`. A directory
-takes that of its licence file, and files without a licence of their own inherit from the
-nearest ancestor directory that has one, found by joining every ancestor path.
-
-Defined cases: null paths or texts: no own licence; null paths inherit nothing. Ties go to the
-smaller licence name. Two licence files in a directory: the one of higher similarity, then the
-smaller name. Rows that repeat get equal results. Empty tables give no rows.
+"""License scans: sparse TF-IDF cosine of headers and licence files, then inheritance from the nearest directory.
+
+Passages of a file that mention licensing, from anywhere in it: its lines, its blocks (between empty
+lines) and their sentences, both across line ends, and, where a whole short licence begins, as many
+words as that licence has. A licence file is a passage as a whole, too. Distinct passages are compared
+once, however many files hold them: their words are weighted by tf * idf (idf over the corpus's passages
+and the templates) and joined with the templates' words. A passage names a licence if its similarity to
+one of the licence's templates is at least `least`, if it holds the words that tell the template from its
+kin (`licence_texts.is_mark`), and if no other licence comes within `margin`; else it names none. A file takes the
+licence of its best passage. A directory takes that of its licence file, and files without a licence of
+their own inherit from the nearest ancestor directory that has one, found by joining every ancestor path.
+
+Defined cases: null paths or texts: no own licence; null paths inherit nothing. Passages of equal
+similarity that name different licences: the smaller name. Two licence files in a directory: the one of
+higher similarity, then the smaller name. Rows that repeat get equal results. Empty tables give no rows.
+Columns named licence, similarity or origin are replaced.
 """
 
 from __future__ import annotations
@@ -17,61 +21,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Short public licence statements, by SPDX name.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "licensed under the Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
-}
-_MENTION = r"(?i)licen[cs]e|permission is hereby|redistribution and use|creative commons|\bcc by|free software"
+from .licence_texts import FULL, is_mark, statements
+
+SALTS = 16
+_MENTION = r"(?i)licen[cs]e|permission is hereby|is hereby granted|redistribution and use|neither the name of|creative commons|\bcc0? |public domain|free software"
 _LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\..*)?$"
+_SPDX = r"spdx-licen[cs]e-identifier:\s*([a-z0-9.+-]+)"
+_SEPARATOR = r"[^a-z0-9.+]+|\.(?=\s|$)"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.+]+|\.(?=\s|$)"), lambda w: w != "")
+    """Lower-case words; a licence tag is one word."""
+    low = F.lower(text)
+    tags = F.transform(F.regexp_extract_all(low, F.lit(_SPDX), F.lit(1)), lambda x: F.concat(F.lit("spdx:"), x))
+    return F.concat(F.filter(F.split(F.regexp_replace(low, _SPDX, " "), _SEPARATOR), lambda w: w != ""), tags)
+
+
+def _templates(spark: SparkSession) -> DataFrame:
+    """licence, part, words; bounded by the fixed templates."""
+    rows = [(name, i, text) for name, texts in statements().items() for i, text in enumerate(texts)]
+    return spark.createDataFrame(rows, "licence string, part int, text string").select("licence", "part", words_of(F.col("text")).alias("words"))
 
 
 def _weights(passages: DataFrame, idf: DataFrame, *keys: str) -> DataFrame:
-    """keys, word, weight; each passage's weights have length 1."""
-    tf = passages.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf")).join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    """keys, word, weight; each passage's weights have length 1. Words are salted: one may be in every passage."""
+    salted = idf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tf = passages.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tf.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(salted, ["word", "salt"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return tf.join(norm, list(keys)).select(*keys, "word", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def scan_passages(passages: DataFrame, least: float = 0.7) -> DataFrame:
-    """passage_id, licence, similarity of the passages (passage_id, passage) that resemble a template."""
-    spark = passages.sparkSession
-    rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    templates = spark.createDataFrame(rows, "licence string, part int, text string").select("licence", "part", words_of(F.col("text")).alias("words"))
+def scan_passages(passages: DataFrame, least: float = 0.7, margin: float = 0.02) -> DataFrame:
+    """passage_id, licence, similarity of the passages (passage_id, passage) that name a licence."""
+    templates = _templates(passages.sparkSession)
     own = passages.select("passage_id", words_of(F.col("passage")).alias("words"))
     both = own.select("words").unionByName(templates.select("words"))
     total = both.count()
     df = both.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("word", (F.log(F.lit(1.0 + total) / (F.col("df") + 1.0)) + 1).alias("idf"))
-    a, b = _weights(own, idf, "passage_id"), F.broadcast(_weights(templates, idf, "licence", "part").withColumnRenamed("weight", "other"))
-    cosine = a.join(b, "word").groupBy("passage_id", "licence", "part").agg(F.sum(F.col("weight") * F.col("other")).alias("c"))
-    best = cosine.groupBy("passage_id").agg(F.min_by(F.struct("licence", "c"), F.struct(-F.round("c", 9), "licence")).alias("x"))
-    return best.select("passage_id", "x.licence", F.col("x.c").alias("similarity")).filter(F.col("similarity") >= least)
+    # Fixed templates bound the marks, (licence, part, word), and the broadcast side.
+    rows = [(r.licence, r.part, w) for r in templates.collect() for w in set(r.words) if is_mark(w, len(r.words))]
+    marks = passages.sparkSession.createDataFrame(rows, "licence string, part int, word string").withColumn("mark", F.lit(1))
+    marked = _weights(templates, idf, "licence", "part").withColumnRenamed("weight", "other").join(F.broadcast(marks), ["licence", "part", "word"], "left")
+    needed = marks.groupBy("licence", "part").agg(F.count(F.lit(1)).alias("needed"))
+    marked = marked.join(F.broadcast(needed), ["licence", "part"], "left")
+    cosine = (
+        _weights(own, idf, "passage_id")
+        .join(F.broadcast(marked), "word")
+        .groupBy("passage_id", "licence", "part")
+        .agg(F.sum(F.col("weight") * F.col("other")).alias("c"), F.count("mark").alias("held"), F.coalesce(F.max("needed"), F.lit(0)).alias("needed"))
+        .filter((F.col("held") == F.col("needed")) & (F.round("c", 9) >= least - margin))
+    )
+    by_licence = cosine.groupBy("passage_id", "licence").agg(F.max(F.round("c", 9)).alias("c"))
+    # At most one entry a licence.
+    order = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "licence")))
+    best = by_licence.groupBy("passage_id").agg(order.alias("order")).select("passage_id", F.col("order")[0].alias("x"), F.try_element_at("order", F.lit(2)).alias("y"))
+    best = best.select("passage_id", "x.licence", (-F.col("x.c")).alias("similarity"), F.col("y.c").alias("next"))
+    clear = F.col("next").isNull() | (F.col("similarity") + F.col("next") >= margin)
+    return best.filter(clear & (F.col("similarity") >= least)).select("passage_id", "licence", "similarity")
+
+
+def passages_of(text: Column, whole: Column) -> Column:
+    """The text's passages that mention a licence, and itself where `whole`."""
+    lines = F.split(text, r"\r\n|\r|\n")
+    # Comment signs and white space at the ends of lines don't part a block.
+    blocks = F.transform(F.split(text, r"(?:\r\n|\r|\n)[ \t#*/;%-]*(?=\r|\n)"), lambda b: F.trim(F.regexp_replace(b, r"\s*(?:\r\n|\r|\n)[\s#*/;%]*", " ")))
+    sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, r"(?<=[.!?;:])\s+(?=[\"'(A-Z])")))
+    spans = [F.regexp_extract_all(text, F.lit(_beginning(full)), F.lit(0)) for full in FULL.values()]
+    mentions = F.filter(F.concat(lines, blocks, sentences), lambda x: x.rlike(_MENTION))
+    return F.array_distinct(F.concat(mentions, *spans, F.when(whole, F.array(text)).otherwise(F.array())))
+
+
+def _beginning(full: str) -> str:
+    """A pattern of as many words as the licence has, from its first four on."""
+    words = full.split()
+    return r"(?i)" + r"[\s#*/;%]+".join(w.rstrip(",") + ",?" for w in words[:4]) + r"(?:\s+\S+){0,%d}" % (len(words) - 4)
 
 
-def scan(files: DataFrame, least: float = 0.7) -> DataFrame:
+def scan(files: DataFrame, least: float = 0.7, margin: float = 0.02) -> DataFrame:
     """files (path, text and others but text) with licence, similarity, and origin: own, directory path, or null."""
     from .store import written
 
     files = files.drop("licence", "similarity", "origin")
     keys = [c for c in files.columns if c != "text"]
     name = F.element_at(F.split("path", "/"), -1)
-    lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: x.rlike(_MENTION))
-    pieces = F.when(F.coalesce(name.rlike(_LICENCE_FILE), F.lit(False)) & F.col("text").isNotNull(), F.array_union(lines, F.array("text"))).otherwise(lines)
+    is_file = F.coalesce(name.rlike(_LICENCE_FILE), F.lit(False)) & F.col("text").isNotNull()
+    pieces = passages_of(F.col("text"), is_file)
     # Passages go by their hash from here on: words and files never carry the passage itself.
-    found = files.filter(F.col("text").rlike(_MENTION) | name.rlike(_LICENCE_FILE)).select("path", F.xxhash64("text").alias("k"), F.explode(pieces).alias("passage"))
+    found = files.filter(F.col("text").rlike(_MENTION) | is_file).select("path", F.xxhash64("text").alias("k"), F.explode(pieces).alias("passage"))
     found = written(found.withColumn("passage_id", F.xxhash64("passage")), "licence-passages")
     held = found.select("path", "k", "passage_id").distinct()
-    known = written(scan_passages(found.groupBy("passage_id").agg(F.min("passage").alias("passage")), least), "licence-matches")
+    known = written(scan_passages(found.groupBy("passage_id").agg(F.min("passage").alias("passage")), least, margin), "licence-matches")
     order = F.struct(-F.round("similarity", 9), F.col("licence"))
     own = held.join(known, "passage_id").groupBy("path", "k").agg(F.min_by(F.struct("licence", "similarity"), order).alias("own"))
     own = written(own, "own-licences")
