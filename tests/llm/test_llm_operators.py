@@ -739,3 +739,25 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     for i, r in got.items():
         assert r.ids_sha256 == hashlib.sha256(np.array(encoder.encode_ordinary(pii.masked(left[i])), "<u4").tobytes()).hexdigest()
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "pii", "byte_bpe"]
+
+
+def test_texts_need_not_come_back_from_python(spark, odd):
+    path, pattern = bpe.rank_file()
+    for each in (lambda **k: bpe.encode_decode(odd, path, pattern, **k), lambda **k: pii.detect(odd, **k)):
+        whole, short = each(), each(keep_text=False)
+        assert short.columns == [c for c in whole.columns if c != "text"]
+        assert Counter(map(tuple, short.collect())) == Counter(map(tuple, whole.drop("text").collect()))
+
+
+def test_small_batches_keep_a_smaller_setting(spark):
+    from tidelight.llm.store import BATCH_ROWS, small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, want in ((10_000, BATCH_ROWS), (0, BATCH_ROWS), (50, 50)):
+            spark.conf.set(key, own)
+            small_batches(spark)
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)

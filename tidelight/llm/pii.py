@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import pa_schema
+from .store import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -189,10 +190,13 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone and base_sha256 (base spans), spans (all spans)."""
+def detect(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with n_email, n_ip, n_card, n_phone and base_sha256 (base spans), spans (all spans). Without keep_text the
+    texts don't come back from Python, and the column goes. Sets the session's Arrow batches to small ones."""
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     docs = docs.drop(*names)
+    kept = [c for c in docs.columns if keep_text or c != text]
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -204,9 +208,9 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows[4].append(hashlib.sha256(joined(base).encode()).hexdigest())
                 rows[5].append(joined(spans))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=[*kept, *names])
 
-    return docs.mapInArrow(run, pa_schema(docs, dict.fromkeys(names[:4], "long") | dict.fromkeys(names[4:], "string")))
+    return docs.mapInArrow(run, pa_schema(docs.select(*kept), dict.fromkeys(names[:4], "long") | dict.fromkeys(names[4:], "string")))
 
 
 def masked(text: str | None) -> str | None:
@@ -227,8 +231,10 @@ def masked(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data in the text column replaced; n_chars, where there is one, follows."""
+    """docs with personal data in the text column replaced; n_chars, where there is one, follows. Sets the
+    session's Arrow batches to small ones."""
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -248,7 +254,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     from .store import table
 
-    return detect(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
