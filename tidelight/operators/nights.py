@@ -19,6 +19,15 @@ def night_bounds(silver: DataFrame, p: Params) -> DataFrame:
     return days.select(*ENTITY, "b", night_id(F.col("day")).alias("night_id"), start.alias("night_start"), end.alias("night_end")).filter("night_end <= b").drop("b")
 
 
+def nights_since(spans: DataFrame, p: Params) -> DataFrame:
+    """The nights that end after `since` and at or before `until`, of rows of entity, since and until; where since is null,
+    those of night_bounds for windows from `first` on."""
+    local = lambda c: F.to_date(F.from_utc_timestamp(c, p.zone))
+    days = spans.select(*ENTITY, "since", "until", F.explode(F.sequence(F.date_sub(local(F.coalesce("since", "first")), 1), local(F.col("until")))).alias("day"))
+    start, end = times.night_bounds(F.col("day"), p.zone, p.night_start, p.night_end)
+    return days.select(*ENTITY, "since", "until", night_id(F.col("day")).alias("night_id"), start.alias("night_start"), end.alias("night_end")).filter("night_end <= until AND (since IS NULL OR night_end > since)").drop("since", "until")
+
+
 def night_grid(silver: DataFrame, nights: DataFrame, p: Params) -> DataFrame:
     """A row for each window of each night, with silver's columns where there are any; observed says whether there are enough samples."""
     step = F.expr(f"interval {p.width_s} seconds")

@@ -41,12 +41,17 @@ def status(p: Params) -> Column:
     return F.when(F.col("physiological_load").isNull() & F.col("hr_mean").isNull(), "unavailable").when(limited, "limited").otherwise("sufficient")
 
 
-def gold(silver_z: DataFrame, p: Params, acc_reason: str = "acc_unavailable") -> DataFrame:
-    """From silver with z-scores and last_night: one interpreted row a window."""
+def gold(silver_z: DataFrame, p: Params, acc_reason: str = "acc_unavailable", earlier: DataFrame | None = None) -> DataFrame:
+    """From silver with z-scores and last_night: one interpreted row a window. earlier (ENTITY, window_end, physiological_load,
+    window_id) are the last loads before these windows, where windows come in parts."""
     night = F.col("last_night")
     enough = night.isNotNull() & (night.coverage >= p.min_overnight)
     df = silver_z.withColumns({"window_id": window_id(F.col("window_start")), "physiological_load": load_score(p), "activity_level": activity(p), "estimated_rest_minutes": F.when(enough, night.minutes.cast("int")), "overnight_coverage": F.round(night.coverage, 4)})
-    df = top_evidence(df, p.recent)
+    if earlier is None:
+        df = top_evidence(df, p.recent)
+    else:
+        both = df.withColumn("_new", F.lit(True)).unionByName(earlier.select(*ENTITY, "window_end", "physiological_load", "window_id"), allowMissingColumns=True)
+        df = top_evidence(both, p.recent).filter("_new").drop("_new")
     df = df.withColumn("recovery_score", F.round(clamp01(F.col("estimated_rest_minutes") / p.target_rest), 4))
     no_rest = F.when(night.isNull(), "no_completed_night").when(~enough, "overnight_coverage_below_minimum")
     reasons = {

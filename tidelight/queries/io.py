@@ -8,12 +8,12 @@ from ..config import ENTITY
 from ..operators.grounding import grounding_audit
 from ..sources import files, sinks
 from ..sources.layers import new_path
-from ..streaming import streams
+from ..streaming import stateful, streams
 from . import bindings as b
 from .bindings import EV, GOLD, LAB, P, table, text
 from .bindings import sql_text as st
 from .registry import query
-from .states import RULES, _ARMED, _CONSUMED, _SUS, consumed
+from .states import RULES, _ARMED, _CONSUMED, _COOL, _SUS, consumed
 
 
 @query("s1_scan_signal_csv", f"WITH {EV} SELECT participant_id, count(*) AS n, round(sum(value), 6) AS total, CAST(max(k) AS BIGINT) AS last_row FROM (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY event_id) - 1 AS k FROM ev WHERE signal = 'hr') GROUP BY 1")
@@ -170,16 +170,24 @@ def x6(spark, sf):
     return grounding_audit(c.filter("role = 'assistant'").select("conv_id", "text"), c.filter("role <> 'assistant'").select("conv_id", "text"), "conv_id")
 
 
-def in_parts(spark, df, time, parts=4):
-    """df in files of consecutive times, written one after the other so that a file source takes them in order."""
+#: Files of a part of a stream; a batch takes as many.
+FILES = 4
+
+
+def in_parts(spark, df, place, parts=4):
+    """df in files of its parts by number, one part after the other so that a file source takes them in order."""
     path = new_path(spark, "parts")
-    bounds = df.agg(F.min(F.unix_micros(time)).alias("a"), F.max(F.unix_micros(time)).alias("z")).first()
-    place = F.least(F.floor((F.unix_micros(time) - bounds.a) * parts / F.lit(bounds.z - bounds.a + 1)), F.lit(parts - 1))
     for i in range(parts):
-        df.filter(place == i).coalesce(1).write.mode("append").parquet(path)
+        df.filter(place == i).repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
+def by_time(df, time, parts=4):
+    """Number of a row's part, of parts of consecutive times."""
+    bounds = df.agg(F.min(F.unix_micros(time)).alias("a"), F.max(F.unix_micros(time)).alias("z")).first()
+    return F.least(F.floor((F.unix_micros(time) - bounds.a) * parts / F.lit(bounds.z - bounds.a + 1)), F.lit(parts - 1))
+
+
 def hr(spark, sf):
     return b.bronze(spark, sf).filter("signal = 'hr'").select(*ENTITY, "event_id", "event_time", "source_row", F.col("values")["value"].alias("v"))
 
@@ -192,9 +200,9 @@ def windows_out(df):
     return df.select("participant_id", text(F.col("window_start")).alias("window_start"), F.round("mean", 9).alias("mean"), "min", "max", "n")
 
 
-def finalised(spark, path, schema):
+def finalised(spark, path, schema, windows):
     out = new_path(spark, "minutes")
-    streamed = streams.stream_minutes(files.stream_events(spark, path, schema, 1), P)
+    streamed = windows(files.stream_events(spark, path, schema, FILES), P)
     streams.run_available(streamed, f"{out}-checkpoint", out)
     return windows_out(spark.read.schema(streamed.schema).parquet(out))
 
@@ -202,20 +210,21 @@ def finalised(spark, path, schema):
 @query("t1_finalize_minutes", _FINAL.format(w=""))
 def t1(spark, sf):
     df = hr(spark, sf)
-    return finalised(spark, in_parts(spark, df, "event_time"), df.schema)
+    return finalised(spark, in_parts(spark, df, by_time(df, "event_time")), df.schema, streams.stream_minutes)
 
 
 # Rows of the first half that arrive after all others: their windows are out.
 _LATE = "AND NOT (source_row % 10 = 0 AND ts < TIMESTAMP '2024-01-15 00:00:00')"
+_OWN_CLOCK = f"WITH {LAB}, own AS (SELECT participant_id, max(ts) AS clock FROM lab WHERE signal = 'hr' GROUP BY 1), w AS ({_WINDOWS(s=st('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)'), w=_LATE)}) SELECT w.* FROM w JOIN own USING (participant_id) WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL 1 HOUR <= clock - INTERVAL 2 MINUTE"
 
 
-@query("t2_late_data", _FINAL.format(w=_LATE))
+@query("t2_late_data", _OWN_CLOCK)
 def t2(spark, sf):
+    """One participant's month comes after the other's, which by one watermark for all were late; last come rows that are late by their own clock."""
     df = hr(spark, sf)
     late = (F.col("source_row") % 10 == 0) & (F.col("event_time") < F.lit("2024-01-15 00:00:00").cast("timestamp"))
-    path = in_parts(spark, df.filter(~late), "event_time")
-    df.filter(late).coalesce(1).write.mode("append").parquet(path)
-    return finalised(spark, path, df.schema)
+    place = F.when(late, 4).otherwise(by_time(df, "event_time", 2) + F.when(F.col("participant_id") == "p1", 2).otherwise(0))
+    return finalised(spark, in_parts(spark, df, place, 5), df.schema, stateful.entity_windows)
 
 
 def streamed_layers(spark, sf, parts=3):
@@ -225,8 +234,9 @@ def streamed_layers(spark, sf, parts=3):
     key = (spark.sparkContext.applicationId, sf, "streamed")
     if key not in _stored:
         df, root = b.bronze(spark, sf).drop("quality_reason"), new_path(spark, "streamed")
-        path = in_parts(spark, df, "event_time", parts)
-        streams.run_available(files.stream_events(spark, path, df.schema, 1), f"{root}-checkpoint", each=streams.layers_batch(root, P, 120))
+        path = in_parts(spark, df, by_time(df, "event_time", parts), parts)
+        events = streams.once(files.stream_events(spark, path, df.schema, FILES), ["run_id", "event_id"])
+        streams.run_available(events, f"{root}-checkpoint", each=streams.layers_batch(root, P, 120))
         _stored[key] = (root, None)
     return _stored[key][0]
 
@@ -252,23 +262,29 @@ def t5(spark, sf):
     return df.select("participant_id", text(F.col("window_end")).alias("window_end"), "physiological_load", "recovery_score", "evidence_ids")
 
 
-@query("t6_hysteresis_stream", f"WITH {GOLD}, {_SUS}, {_CONSUMED}, {_ARMED} SELECT participant_id, {st('window_end')} AS window_end, armed FROM arm")
+_OUT = "clock AS (SELECT participant_id, max(t) AS clock FROM (SELECT participant_id, window_end AS t FROM gold UNION ALL SELECT participant_id, consumed.at FROM consumed) GROUP BY 1)"
+
+
+@query("t6_hysteresis_stream", f"WITH {GOLD}, {_SUS}, {_CONSUMED}, {_ARMED}, {_COOL}, {_OUT} SELECT participant_id, {st('window_end')} AS window_end, armed, cooling FROM cool JOIN clock USING (participant_id) WHERE window_end < clock")
 def t6(spark, sf):
+    """What g1 calls AWAITING_RESET and COOLDOWN, from a stream of loads and consumptions."""
     loads = b.gold(spark, sf).select(*ENTITY, F.col("window_end").alias("at"), F.lit(1).alias("kind"), F.col("physiological_load").alias("load"))
     used = consumed(spark, sf).select(*ENTITY, F.col("consumed_at").alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("double").alias("load"))
-    marks, out = loads.unionByName(used), new_path(spark, "armed")
-    path = in_parts(spark, marks, "at", 3)
-    streams.run_available(streams.stream_hysteresis(files.stream_events(spark, path, marks.schema, 1), RULES.reset), f"{out}-checkpoint", out)
-    return spark.read.schema(streams.ARMED).parquet(out).select("participant_id", text(F.col("window_end")).alias("window_end"), "armed")
+    marks, out = loads.unionByName(used), new_path(spark, "decisions")
+    path = in_parts(spark, marks, by_time(marks, "at", 3), 3)
+    decided = stateful.decisions(files.stream_events(spark, path, marks.schema, FILES), RULES)
+    streams.run_available(decided, f"{out}-checkpoint", out)
+    return spark.read.schema(decided.schema).parquet(out).select("participant_id", text(F.col("window_end")).alias("window_end"), "armed", "cooling")
 
 
 @query("t7_exactly_once_insert", f"WITH {LAB} SELECT eid AS event_id, signal FROM lab")
 def t7(spark, sf):
     """Every part arrives twice."""
     df, out = b.bronze(spark, sf).select("run_id", "event_id", "signal", "event_time"), new_path(spark, "once")
-    path = in_parts(spark, df.unionAll(df), "event_time", 2)
-    df.coalesce(1).write.mode("append").parquet(path)
-    streams.run_available(files.stream_events(spark, path, df.schema, 1), f"{out}-checkpoint", each=streams.insert_once(out, ["run_id", "event_id"]))
+    both = df.withColumn("again", F.lit(0)).unionAll(df.withColumn("again", F.lit(1)))
+    path = in_parts(spark, both, by_time(df, "event_time", 2) + 2 * F.col("again"))
+    stream = streams.once(files.stream_events(spark, path, both.schema, FILES), ["run_id", "event_id"])
+    streams.run_available(stream, f"{out}-checkpoint", out)
     return spark.read.schema(df.schema).parquet(out).select("event_id", "signal")
 
 
@@ -284,14 +300,10 @@ def t8(spark, sf):
 
 @query("t10_minute_upsert_view", f"WITH {LAB} {_WINDOWS(s=st('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)'), w='')}")
 def t10(spark, sf):
-    """Windows as they stand, unfinished ones included: each batch's updates replace what the view held."""
+    """Windows as they stand, unfinished ones included, with corrections by rows that come long after their window."""
     df, out = hr(spark, sf), new_path(spark, "view")
-    streamed = streams.minute_view(files.stream_events(spark, in_parts(spark, df, "event_time"), df.schema, 1), P)
-
-    def each(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
-
-    streams.run_available(streamed, f"{out}-checkpoint", each=each, mode="update")
-    from ..operators.quality import keep_last
-
-    return windows_out(keep_last(spark.read.parquet(out), [*ENTITY, "window_start"], "batch"))
+    late = F.col("source_row") % 10 == 0
+    path = in_parts(spark, df, F.when(late, 4).otherwise(by_time(df, "event_time")), 5)
+    view = streams.LateView(spark, out, P)
+    streams.run_available(files.stream_events(spark, path, df.schema, FILES), f"{out}-checkpoint", each=view)
+    return windows_out(view.compact(f"{out}-compact").rows())
