@@ -11,7 +11,7 @@ behind to read the audit back from. The digest of a conversation is one of all i
 conversation, however many, follow each other in one task; nothing else meets there. Rows that repeat an earlier role and
 text are found before, by groups of (conversation, role, digest of the text) that hold more than one row.
 
-Defined cases: null roles and texts are one space. Null conversation ids make up a conversation, null turns come first.
+Defined cases: null roles and texts are one space; a row with an empty role has no initial and can't be kept. Null conversation ids make up a conversation, null turns come first.
 Rows of one turn are in order of role, then text. A conversation that has lost its rows has zeros, an empty audit and the
 hash of nothing. Texts are hashed as they pass, whatever their length. Columns beside the four are not read. Empty tables
 give no rows.

@@ -94,7 +94,7 @@ def swaps(counts: dict[str, int], vocabulary: dict[str, int]) -> tuple[np.ndarra
                     if d.any():
                         rows.append(d)
                         weights.append(counts[a] / (len(terms) - 1))
-    return np.array(rows).reshape(-1, len(vocabulary)), np.array(weights)
+    return np.array(rows).reshape(len(rows), len(vocabulary)), np.array(weights)
 
 
 def fit(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, n_features: int, changes: np.ndarray, change_weights: np.ndarray, l2: float, counterfactual: float, rounds: int = 30) -> tuple[np.ndarray, float]:
