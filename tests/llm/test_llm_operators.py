@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelight.llm import bpe, components, decontaminate, dom, html_text, language_id, licences, near_duplicates, pii, topk, urls, warc
+from tidelight.llm import bpe, components, decontaminate, dom, html_text, language_id, licences, near_duplicates, pii, store, topk, urls, warc
 from tidelight.llm.store import new_folder
 
 DATA = "/root/testdata/sf0.001"
@@ -109,6 +109,46 @@ def test_odd_texts_have_a_language_or_und(spark, odd, empty):
     assert language_id.stage(spark, odd, DATA).columns == odd.columns
 
 
+# What operators leave behind
+
+
+def test_lean_batches_are_for_a_while(spark):
+    keys = list(store.LEAN)
+    before = [spark.conf.get(k) for k in keys]
+    with store.lean_batches(spark):
+        assert [int(spark.conf.get(k)) for k in keys] == list(store.LEAN.values())
+    assert [spark.conf.get(k) for k in keys] == before
+    bpe.op3_byte_bpe(spark, DATA)
+    pii.op10_pii(spark, DATA)
+    assert [spark.conf.get(k) for k in keys] == before
+    spark.conf.set(keys[1], "512k")
+    with store.lean_batches(spark):
+        assert spark.conf.get(keys[1]) == "512k"
+    spark.conf.set(keys[1], before[1])
+
+
+def test_links_of_large_clusters_are_marked(spark, monkeypatch):
+    """Near copies of one text, more than are verified together: groups are whole, and no count that is not of all links goes unmarked."""
+    monkeypatch.setattr(near_duplicates, "TEXTS", 32)
+    rng = random.Random(21)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    texts = []
+    for _ in range(100):
+        own = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 2)):
+            own[k] = f"x{rng.randint(0, 10**6)}"
+        texts.append(" ".join(own))
+    pair = words(100)
+    texts += [pair, f"{pair} more", words(80)]
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(docs_frame(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    sets = [set(near_duplicates.shingles(t).tolist()) for t in texts]
+    for i, s in enumerate(sets):
+        like = [j for j, o in enumerate(sets) if len(s & o) >= 0.8 * len(s | o)]
+        assert got[i].n_links == len(like) - 1 if got[i].links_complete else 0 < got[i].n_links <= len(like) - 1
+        assert got[i].group_id == (0 if i < 100 else min(like))
+        assert got[i].links_complete == (i >= 100)
+
+
 # Byte-level BPE
 
 

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import pa_schema
-from .store import small_batches
+from .store import lean_batches, released, table, written
 
 #: Bounds of a task's memory: characters of a block of documents, words kept from earlier blocks.
 BLOCK_CHARS = 1_000_000
@@ -245,11 +245,10 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256; with keep_ids also ids, an array. Without keep_text the
-    texts don't come back from Python, and the column goes. Sets the session's Arrow batches to small ones."""
+    texts don't come back from Python, and the column goes."""
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
     docs = docs.drop(*names)
     kept = [c for c in docs.columns if keep_text or c != text]
-    small_batches(docs.sparkSession)
 
     def run(batches):
         if (own := _encoders.get((path, pattern))) is None:
@@ -265,10 +264,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
             more = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *[pa.array(lists, pa.list_(pa.int32()))] * keep_ids]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *more], names=[*kept, *names])
         own.cache.clear()  # Python workers outlive their tasks
-        pa.default_memory_pool().release_unused()
 
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if keep_ids else {})
-    return docs.mapInArrow(run, pa_schema(docs.select(*kept), kinds))
+    return docs.mapInArrow(released(run), pa_schema(docs.select(*kept), kinds))
 
 
 def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -280,11 +278,11 @@ def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
-    from .store import table
-
-    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), *rank_file(), keep_text=False)
+    with lean_batches(spark):  # digests are small, so they are written there and then
+        return written(encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), *rank_file(), keep_text=False), "byte-bpe")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests, the pipeline's result: a row for every document, null and empty texts included."""
-    return encode_decode(docs, *rank_file(), keep_text=False)
+    with lean_batches(spark):
+        return written(encode_decode(docs, *rank_file(), keep_text=False), "byte-bpe")

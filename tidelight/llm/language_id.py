@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import released, table
+
 BLOCK = 512
 #: Characters parsed at once in a task, which bounds its memory.
 SLICE_CHARS = 400_000
@@ -244,14 +246,14 @@ def identify(docs: DataFrame, parser: CrossParser, text: str = "text", names: tu
             _loaded.clear()
             own = _loaded[id(p)] = (p, p.codes())
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            found, scores, at = [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE_CHARS):
-                    size += len(texts[end] or "")
+            column, found, scores, at = batch.column(batch.schema.get_field_index(text)), [], [], 0
+            while at < len(column):
+                texts, size, end = [], 0, at
+                while end < len(column) and size < SLICE_CHARS:
+                    texts.append(column[end].as_py() or "")
+                    size += len(texts[-1])
                     end += 1
-                letters, rates = p.rates([t or "" for t in texts[at:end]], own[1])
+                letters, rates = p.rates(texts, own[1])
                 for has, row in zip(letters, rates, strict=True):
                     if not has or not p.languages:
                         found.append("und")
@@ -263,8 +265,9 @@ def identify(docs: DataFrame, parser: CrossParser, text: str = "text", names: tu
                     scores.append(float(min(1.0, max(0.0, 1 - row[best] / rest.min()))) if len(rest) else 1.0)
                 at = end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
+        _loaded.clear()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def pa_schema(df: DataFrame, more: dict[str, str]):
@@ -287,8 +290,6 @@ def held_out(doc_id: str = "doc_id"):
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the documents that are not held out."""
-    from .store import table
-
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "text", "lang")
     parser = learn(rows.filter(~held_out()))

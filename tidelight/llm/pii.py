@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import pa_schema
-from .store import small_batches
+from .store import lean_batches, released, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -196,12 +196,11 @@ def detect(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     docs = docs.drop(*names)
     kept = [c for c in docs.columns if keep_text or c != text]
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             rows = [[] for _ in names]
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+            for t in (c.as_py() for c in batch.column(batch.schema.get_field_index(text))):
                 base, spans = find(t)
                 for i, k in enumerate(KINDS):
                     rows[i].append(sum(s[0] == k for s in base))
@@ -210,7 +209,7 @@ def detect(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=[*kept, *names])
 
-    return docs.mapInArrow(run, pa_schema(docs.select(*kept), dict.fromkeys(names[:4], "long") | dict.fromkeys(names[4:], "string")))
+    return docs.mapInArrow(released(run), pa_schema(docs.select(*kept), dict.fromkeys(names[:4], "long") | dict.fromkeys(names[4:], "string")))
 
 
 def masked(text: str | None) -> str | None:
@@ -231,15 +230,13 @@ def masked(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data in the text column replaced; n_chars, where there is one, follows. Sets the
-    session's Arrow batches to small ones."""
+    """docs with personal data in the text column replaced; n_chars, where there is one, follows."""
     names = docs.columns
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             i = batch.schema.get_field_index(text)
-            new = [masked(t) for t in batch.column(i).to_pylist()]
+            new = [masked(t.as_py()) for t in batch.column(i)]
             columns = list(batch.columns)
             columns[i] = pa.array(new, batch.schema.field(i).type)
             if "n_chars" in names:
@@ -247,16 +244,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns[j] = pa.array([None if t is None else len(t) for t in new], batch.schema.field(j).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
-    from .store import table
-
-    return detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    with lean_batches(spark):  # spans are small, so they are written there and then
+        return written(detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False), "pii")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the personal data in their texts masked."""
-    return redact(docs)
+    """All documents, with the personal data in their texts masked; null texts stay null, other columns stay."""
+    with lean_batches(spark):
+        return written(redact(docs), "masked")

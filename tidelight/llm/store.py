@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; sets one of its own only where none is named."""
+    """The cluster's checkpoint folder; sets one of its own only where none is named and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidelight-")
         spark.sparkContext.setCheckpointDir(named)
     return named if "://" in named or named.startswith("file:") else f"file://{named}"
@@ -32,12 +41,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch, at most: JVM and Python hold batches of texts whole, and texts may be long.
-BATCH_ROWS = 1000
+#: An Arrow batch of texts, at most: JVM and Python hold batches whole, and texts may be long.
+LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS where they are more; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+@contextmanager
+def lean_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most LEAN for the actions inside; the session's settings are as before afterwards."""
+    old = {k: spark.conf.get(k) for k in LEAN}
+    try:
+        for k, v in LEAN.items():
+            if not 0 < _number(old[k]) <= v:
+                spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def _number(setting: str) -> int:
+    """A count, or bytes with a unit."""
+    m = re.fullmatch(r"(-?\d+)([kmg]?)b?", setting.strip().lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[m[2]] if m else -1
+
+
+def released(run: Callable) -> Callable:
+    """A mapInArrow function that gives freed memory back when its task ends, since Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
