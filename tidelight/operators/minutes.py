@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import ENTITY, Params
 from ..functions.scalars import magnitude
 from ..functions.times import floor_window
+from . import sharded
 from .quality import usable_scalar, usable_vector
 
 
@@ -25,10 +26,12 @@ def coverage(n, expected: float):
     return F.least(F.coalesce(n, F.lit(0)) / expected, F.lit(1.0))
 
 
-def trailing_mean(df: DataFrame, column: str, seconds: float, time: str = "event_time"):
-    """Mean over the seconds that end with a row, its peers at the same time included, those exactly so many seconds before not."""
-    frame = Window.partitionBy(*ENTITY).orderBy(F.unix_micros(time)).rangeBetween(-int(seconds * 1_000_000) + 1, 0)
-    return df.withColumn("trailing", F.avg(column).over(frame))
+def trailing_mean(df: DataFrame, column: str, seconds: float, time: str = "event_time", shard_s: int = sharded.SECONDS):
+    """Mean over the seconds that end with a row, its peers at the same time included, those exactly so many seconds before
+    not. An entity's rows are dealt over tasks by ranges of time, each with the rows that its first ones look back to."""
+    reach = int(seconds * 1_000_000)
+    frame = Window.partitionBy(*ENTITY, "_shard").orderBy(F.unix_micros(time)).rangeBetween(-reach + 1, 0)
+    return sharded.with_halo(df, time, reach, shard_s).withColumn("trailing", F.avg(column).over(frame)).filter("_own").drop("_own", "_shard")
 
 
 def dynamic(rows: DataFrame, p: Params) -> DataFrame:

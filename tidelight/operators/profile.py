@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..sources.layers import kept
+from . import sharded
 
 NEEDED = ("hr", "eda", "acc")
 
@@ -23,28 +25,31 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("only_left"), F.coalesce(F.sum("r"), F.lit(0)).alias("only_right"))
 
 
-def gaps(rows: DataFrame, by: list[str], time: str = "source_timestamp") -> DataFrame:
-    """gap: seconds since the row before in time."""
-    before = F.lag(time).over(Window.partitionBy(*by).orderBy(time, "source_row"))
-    return rows.withColumn("gap", (F.unix_micros(time) - F.unix_micros(before)) / 1_000_000)
+def gaps(rows: DataFrame, by: list[str], time: str = "source_timestamp", seconds: int = sharded.SECONDS) -> DataFrame:
+    """gap: seconds since the row before in time. A key's rows are dealt over tasks by ranges of time."""
+    out = sharded.previous(rows, by, [time, "source_row"], [time], sharded.by_seconds(time, seconds), "_previous")
+    return out.withColumn("gap", (F.unix_micros(time) - F.unix_micros(F.col(f"_previous.{time}"))) / 1_000_000).drop("_previous")
 
 
-def largest_gaps(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.desc("gap"), "source_row")
-    return gaps(rows, by).filter("gap IS NOT NULL").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).drop("_k")
+def largest_gaps(rows: DataFrame, by: list[str], n: int, seconds: int = sharded.SECONDS) -> DataFrame:
+    found = gaps(rows, by, seconds=seconds).filter("gap IS NOT NULL")
+    return sharded.top(found, by, [F.desc("gap"), "source_row"], n, sharded.by_seconds("source_timestamp", seconds))
 
 
 def profile(labelled: DataFrame, by: list[str], long_gap_s: float) -> DataFrame:
+    """Counts, times and rate of each file. The rate is one over the exact median of the gaps, found by rounds of histograms
+    over stored counts."""
     g = F.col("gap")
-    return (
-        gaps(labelled.filter("source_timestamp IS NOT NULL"), by)
-        .groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("quality") == "dropped").alias("dropped"), F.count_if(F.col("quality") == "flagged").alias("flagged"),
-            F.countDistinct("source_timestamp").alias("unique_times"), F.count_if("duplicate").alias("duplicates"), F.min("source_timestamp").alias("first_time"), F.max("source_timestamp").alias("last_time"),
-            (1 / F.percentile(F.when(g > 0, g), F.lit(0.5))).alias("hz"), F.count_if(g > long_gap_s).alias("long_gaps"), F.max("gap").alias("largest_gap"),
-        )
+    rows = kept(gaps(labelled.filter("source_timestamp IS NOT NULL"), by).select(*by, "source_timestamp", "quality", "duplicate", "gap"), "gaps")
+    counts = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("quality") == "dropped").alias("dropped"), F.count_if(F.col("quality") == "flagged").alias("flagged"),
+        F.count_if("duplicate").alias("duplicates"), F.min("source_timestamp").alias("first_time"), F.max("source_timestamp").alias("last_time"),
+        # In order of time a row of another time than the one before is a new time.
+        F.count_if(g.isNull() | (g > 0)).alias("unique_times"), F.count_if(g > long_gap_s).alias("long_gaps"), F.max("gap").alias("largest_gap"),
     )
+    medians = sharded.quantile(rows.filter(g > 0), by, "gap", 0.5, "_median")
+    met = counts.alias("c").join(medians.alias("m"), [F.col(f"c.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by], "left")
+    return met.select("c.*", (1 / F.col("m._median")).alias("hz"))
 
 
 def reason_counts(labelled: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from . import sharded
 
 UNITS = {"hr": "bpm", "eda": "uS", "acc": "unverified", "ibi": "s", "temp": "C"}
 OVERRIDES = {"acc": ("g",)}
@@ -34,10 +35,10 @@ def flag_duplicates(df: DataFrame, by: list[str], time: str = "source_timestamp"
     return df.join(often, [*by, time], "left").withColumn("duplicate", F.col("_n").isNotNull()).drop("_n")
 
 
-def flag_order(df: DataFrame, by: list[str], time: str = "source_timestamp", row: str = "source_row") -> DataFrame:
-    """backwards: whether the time lies before that of the previous physical row."""
-    before = F.lag(time).over(Window.partitionBy(*by).orderBy(row))
-    return df.withColumn("backwards", F.coalesce(F.col(time) < before, F.lit(False)))
+def flag_order(df: DataFrame, by: list[str], time: str = "source_timestamp", row: str = "source_row", size: int = sharded.ROWS) -> DataFrame:
+    """backwards: whether the time lies before that of the previous physical row. A file's rows are dealt over tasks by ranges of places."""
+    out = sharded.previous(df, by, [row], [time], sharded.by_place(row, size), "_previous")
+    return out.withColumn("backwards", F.coalesce(F.col(time) < F.col(f"_previous.{time}"), F.lit(False))).drop("_previous")
 
 
 def assign_unit(signal: Column, verified: Column | None = None) -> Column:

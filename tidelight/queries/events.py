@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, times
-from ..operators import profile, quality
+from ..operators import hrv, profile, quality
 from . import bindings as b
 from .bindings import EV, LAB, table, text
 from .bindings import sql_text as st
@@ -359,3 +359,17 @@ def a7(spark, sf):
     spans = rows.groupBy(*b.FILE).agg(F.min("source_timestamp").alias("first_time"), F.max("source_timestamp").alias("last_time"))
     df = profile.rank_entities(nights, spans, 60, 36)
     return df.select("participant_id", F.round("score", 6).alias("score"), *[text(F.col(c)).alias(c) for c in ("common_start", "demo_start", "demo_end")])
+
+
+_HRV = """WITH {ev}, i AS (SELECT participant_id, event_id, ts, epoch_us(ts) AS t, value / 10 AS v, (value / 10 - lag(value / 10) OVER o) ^ 2 AS d2, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS gap FROM ev WHERE signal = 'ibi' AND value > 0 WINDOW o AS (PARTITION BY participant_id ORDER BY ts, event_id)),
+f AS (SELECT *, count(*) OVER w AS n, stddev_samp(v) OVER w AS sd, sum(d2) OVER w - coalesce(first_value(d2) OVER w, 0) AS s2, min(t) OVER w AS a, max(CASE WHEN gap > {gap} THEN t END) OVER w AS broken FROM i WINDOW w AS (PARTITION BY participant_id ORDER BY t RANGE BETWEEN {span} PRECEDING AND CURRENT ROW)),
+h AS (SELECT *, n >= 2 AND a - (t - {span}) <= {gap} AND (broken IS NULL OR broken <= a) AS clean FROM f)
+SELECT participant_id, event_id, clean, CASE WHEN clean THEN round(sqrt(greatest(s2, 0) / (n - 1)), 6) END AS rmssd, CASE WHEN clean THEN round(sd, 6) END AS sdnn FROM h""".format(ev=EV, span=2 * 86_400_000_000 - 1, gap=5 * 3_600_000_000)
+
+
+@query("v1_rmssd_sdnn", _HRV)
+def v1(spark, sf):
+    """Beats are sparse here: a segment is two days, a gap is five hours."""
+    beats = b.raw(spark, sf).filter("signal = 'ibi' AND value > 0").withColumn("v", F.col("value") / 10)
+    df = hrv.variability(beats, "v", seconds=2 * 86_400, max_gap_s=5 * 3600)
+    return df.select("participant_id", (F.col("source_row") - 1).alias("event_id"), "clean", F.round("rmssd", 6).alias("rmssd"), F.round("sdnn", 6).alias("sdnn"))

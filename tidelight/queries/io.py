@@ -16,14 +16,15 @@ from .registry import query
 from .states import RULES, _ARMED, _CONSUMED, _COOL, _SUS, consumed
 
 
-@query("s1_scan_signal_csv", f"WITH {EV} SELECT participant_id, count(*) AS n, round(sum(value), 6) AS total, CAST(max(k) AS BIGINT) AS last_row FROM (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY event_id) - 1 AS k FROM ev WHERE signal = 'hr') GROUP BY 1")
+@query("s1_scan_signal_csv", f"WITH {EV} SELECT participant_id, CAST(row_number() OVER (PARTITION BY participant_id ORDER BY event_id) - 1 AS BIGINT) AS source_row, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS \"Timestamp\", value FROM ev WHERE signal = 'hr'")
 def s1(spark, sf):
+    """Every row of the files, with its physical place."""
     path = new_path(spark, "csv")
     hr = b.raw(spark, sf).filter("signal = 'hr'").repartition("participant_id").sortWithinPartitions("participant_id", "source_row")
     hr.select("participant_id", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(" Timestamp"), F.col("value").alias("Value ")).write.partitionBy("participant_id").option("header", True).csv(path)
     rows = files.scan_signal_csv(spark, path, "hr")
     who = F.regexp_extract("source_file", "participant_id=([^/]+)", 1)
-    return rows.groupBy(who.alias("participant_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("Value").cast("double")), 6).alias("total"), F.max("source_row").cast("long").alias("last_row"))
+    return rows.select(who.alias("participant_id"), F.col("source_row").cast("long").alias("source_row"), "Timestamp", F.col("Value").cast("double").alias("value"))
 
 
 @query("s2_resolve_signal_files", f"WITH {EV} SELECT DISTINCT CAST(user_id AS VARCHAR) AS participant_id, signal, 'data/' || user_id || '/' || upper(signal) || CASE WHEN user_id % 2 = 0 THEN '_' || user_id ELSE '' END || '.csv' AS path FROM ev")
@@ -71,9 +72,18 @@ def s5(spark, sf):
     return spark.read.schema(df.schema).parquet(out).select("event_id", "signal")
 
 
-@query("s6_file_fingerprint")
+_PRINTS = f"WITH {EV}, l AS (SELECT signal, event_id // 5000 AS part, event_id || chr(9) || props || chr(10) AS line, event_id FROM ev) SELECT signal, part, sha256(string_agg(line, '' ORDER BY event_id)) AS sha256, CAST(sum(strlen(line)) AS BIGINT) AS size FROM l GROUP BY ALL"
+
+
+@query("s6_file_fingerprint", _PRINTS)
 def s6(spark, sf):
-    return files.file_fingerprints(spark, landed(spark, sf)).select("sha256", "size")
+    """Files of lines, those over 20 kB hashed as they pass."""
+    path = new_path(spark, "lines")
+    e = b.raw(spark, sf).select("signal", (F.col("source_row") - 1).alias("event_id")).join(table(spark, sf, "events").select("event_id", "props"), "event_id")
+    e = e.withColumn("part", F.floor(F.col("event_id") / 5000)).repartition("signal", "part").sortWithinPartitions("signal", "part", "event_id")
+    e.select("signal", "part", F.concat(F.col("event_id").cast("string"), F.lit("\t"), "props").alias("value")).write.partitionBy("signal", "part").text(path)
+    of = lambda name: F.regexp_extract("path", f"{name}=([^/]+)", 1)
+    return files.file_fingerprints(spark, path, 20_000).select(of("signal").alias("signal"), of("part").cast("long").alias("part"), "sha256", "size")
 
 
 @query("s7_manifest_sink", _COUNTS)

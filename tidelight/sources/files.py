@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -10,24 +14,34 @@ EVENT = "schema_version string, run_id string, event_id string, participant_id s
 MARKER = "path string, sha256 string, row_count long, run_id string, signal string"
 
 
-def with_physical_row(lines: DataFrame) -> DataFrame:
-    """source_row: place in the file, from 1. Splits of a file are read in order of their offset, lines of a split in order of their id."""
+def numbered(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of text files with source_file, _block and _id, and the splits of the files: source_file, _block, _first (id of the
+    split's first line), _rows, _offset (lines of the file before it). A split is read by one task from its first line to its
+    last, so ids within it are consecutive. No line is sorted or moved: the places of lines follow from counts by split."""
     df = lines.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_id", F.monotonically_increasing_id())
-    return df.withColumn("source_row", F.row_number().over(Window.partitionBy("source_file").orderBy("_block", "_id"))).drop("_block", "_id")
+    splits = df.groupBy("source_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return df, splits.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+
+
+def with_physical_row(lines: DataFrame) -> DataFrame:
+    """source_row: place in the file, from 1."""
+    df, splits = numbered(lines)
+    return df.join(splits, ["source_file", "_block"]).select(*lines.columns, "source_file", (F.col("_id") - F.col("_first") + F.col("_offset") + 1).alias("source_row"))
 
 
 def scan_signal_csv(spark: SparkSession, path: str, signal: str) -> DataFrame:
     """All columns as text, blank rows kept, with source_file and source_row (the first row under the header is 0).
     The header must name Timestamp and the signal's value columns; names are trimmed."""
     names = ["Timestamp", *(("X", "Y", "Z") if signal == "acc" else ("Value",))]
-    rows = with_physical_row(spark.read.option("recursiveFileLookup", True).text(path))
-    header = F.transform(F.split(F.first(F.when(F.col("source_row") == 1, F.col("value")), ignorenulls=True).over(Window.partitionBy("source_file")), ","), lambda x: F.trim(x))
-    cells = F.split("value", ",")
-    df = rows.withColumns({"_h": header, "_c": cells}).filter("source_row > 1")
+    lines, splits = numbered(spark.read.option("recursiveFileLookup", True).text(path))
+    # A file's first line is the first of its first split with lines; one row a file goes to all of its splits.
+    heads = lines.join(splits.filter("_offset = 0 AND _rows > 0"), ["source_file", "_block"]).filter("_id = _first").select("source_file", F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("_h"))
+    rows = lines.join(splits.join(heads, "source_file"), ["source_file", "_block"]).withColumns({"source_row": F.col("_id") - F.col("_first") + F.col("_offset"), "_c": F.split("value", ",")}).filter("source_row > 0")
     missing = F.array_except(F.array(*map(F.lit, names)), F.col("_h"))
     ok = F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("columns missing in "), "source_file", F.lit(": "), F.array_join(missing, ", ")))).otherwise(F.lit(True))
     cell = lambda n: F.get("_c", F.array_position("_h", n).cast("int") - 1).alias(n)
-    return df.filter(ok.cast("boolean")).select(*map(cell, names), "source_file", (F.col("source_row") - 2).alias("source_row"))
+    return rows.filter(ok.cast("boolean")).select(*map(cell, names), "source_file", (F.col("source_row") - 1).alias("source_row"))
 
 
 def resolve_files(listing: DataFrame) -> DataFrame:
@@ -52,10 +66,49 @@ def stream_events(spark: SparkSession, path: str, schema: StructType | str, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256, size of every file below."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+def file_fingerprints(spark: SparkSession, path: str, whole: int = 128 << 20) -> DataFrame:
+    """path, sha256, size of every file below that is not empty. Files over `whole` bytes are read line by line and hashed as they pass, in order,
+    so that none is ever one value; a line must fit one. Hashing is one task a file, as the digest is of its bytes in order."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = listed.filter(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    large = [r.path for r in listed.filter(F.col("length") > whole).select("path").collect()]  # names alone, of large files alone
+    return small.unionByName(streamed_fingerprints(spark, large)) if large else small
+
+
+def streamed_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The fingerprints of text files, from their lines. Lines are cut at line feeds alone and their bytes come as they are."""
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    m = F.col("_metadata")
+    rows = lines.select(m["file_path"].alias("path"), m["file_size"].alias("size"), m["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("line"))
+    rows = rows.repartition("path").sortWithinPartitions("path", "_block", "_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, done, digest = None, 0, 0, hashlib.sha256()
+
+        def told():
+            # The last line may lack its line feed, which the size tells.
+            tail = hashlib.sha256() if not size else digest
+            if done < size:
+                tail.update(b"\n")
+            return pa.RecordBatch.from_pydict({"path": [at], "sha256": [tail.hexdigest()], "size": [size]})
+
+        for batch in batches:
+            path, sizes, lines = (batch.column(batch.schema.get_field_index(c)) for c in ("path", "size", "line"))
+            for i in range(batch.num_rows):
+                if (own := path[i].as_py()) != at:
+                    if at is not None:
+                        yield told()
+                    at, size, done, digest = own, sizes[i].as_py(), 0, hashlib.sha256()
+                elif done < size:
+                    digest.update(b"\n")
+                    done += 1
+                line = lines[i].as_py()
+                digest.update(line)
+                done += len(line)
+        if at is not None:
+            yield told()
+
+    return rows.select("path", "size", "line").mapInArrow(run, "path string, sha256 string, size bigint")
 
 
 def write_with_manifest(df: DataFrame, root: str, batch_id: str) -> DataFrame:
