@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ENTITY
+from . import sharded
 
 
 def latest_state(gold: DataFrame) -> DataFrame:
@@ -63,15 +64,15 @@ def tail_share(gold: DataFrame, n: int, least: float) -> DataFrame:
 
 def window_compare(gold: DataFrame, clock: Column, minutes: list[int], metric: str, least: float = 0.7) -> DataFrame:
     """Per entity and trailing span up to the clock: count, mean, min, max of a metric over rows of sufficient data, rows at or over least, last three evidence ids."""
+    rows = gold.filter((F.get_json_object("quality_json", "$.status") == "sufficient") & (F.col("window_end") <= clock))
+    rows = rows.select(*ENTITY, "window_end", F.col(metric).alias("v"), F.get("evidence_ids", F.lit(0)).alias("evidence"))
     spans = F.explode(F.array(*[F.lit(m) for m in minutes])).alias("minutes")
-    rows = gold.filter(F.get_json_object("quality_json", "$.status") == "sufficient").select(*ENTITY, "window_end", F.col(metric).alias("v"), F.get("evidence_ids", F.lit(0)).alias("evidence"), spans)
-    inside = (F.col("window_end") <= clock) & (F.unix_seconds("window_end") > F.unix_seconds(clock) - F.col("minutes") * 60)
-    by_time = F.array_sort(F.collect_list(F.struct("window_end", "evidence")))
-    return (
-        rows.filter(inside)
-        .groupBy(*ENTITY, "minutes")
-        .agg(F.count("v").alias("valid"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count_if(F.col("v") >= least).alias("n_high"), F.slice(F.transform(by_time, lambda x: x.evidence), F.greatest(F.size(by_time) - 2, F.lit(1)), 3).alias("evidence_ids"))
-    )
+    inside = F.unix_seconds("window_end") > F.unix_seconds(clock) - F.col("minutes") * 60
+    of = lambda df: df.select("*", spans).filter(inside).groupBy(*ENTITY, "minutes")
+    sums = of(rows).agg(F.count("v").alias("valid"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count_if(F.col("v") >= least).alias("n_high"))
+    # A span's last rows are an entity's last, so three rows an entity are collected.
+    last = of(sharded.top(rows, ENTITY, [F.desc("window_end")], 3, sharded.by_seconds("window_end"))).agg(F.transform(F.array_sort(F.collect_list(F.struct("window_end", "evidence"))), lambda x: x.evidence).alias("evidence_ids"))
+    return sums.join(last, [*ENTITY, "minutes"])
 
 
 def load_quantiles(gold: DataFrame, probabilities: list[float], least: float = 0.7, exact: bool = True) -> DataFrame:

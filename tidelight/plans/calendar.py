@@ -8,23 +8,35 @@ from pyspark.sql import functions as F
 from ..functions.times import ceil_slot, hours_until
 
 
-def open_tasks_at(clocks: DataFrame, tasks: DataFrame) -> DataFrame:
-    """clocks (run_id, as_of) x the run's open tasks: an equi-join on the run."""
+def open_work(tasks: DataFrame) -> DataFrame:
+    """The open tasks of a run by deadline: their number, minutes, minutes weighted by priority, and least id. Clocks meet
+    deadlines, of which a run has no more than its calendar has times, whatever the number of its tasks."""
     todo = tasks.filter((F.col("status") != "done") & (F.col("remaining_minutes") > 0))
-    return clocks.join(todo, "run_id")
+    return todo.groupBy("run_id", "deadline").agg(F.count(F.lit(1)).alias("n"), F.sum("remaining_minutes").alias("work"), F.sum(F.col("priority") / 10 * F.col("remaining_minutes")).alias("weighted"), F.min("task_id").alias("first_id"))
+
+
+def open_tasks_at(clocks: DataFrame, tasks: DataFrame) -> DataFrame:
+    """clocks (run_id, as_of) with n and work of the run's open tasks that are due after it, where there are any."""
+    met = clocks.join(open_work(tasks), "run_id").filter("deadline > as_of")
+    return met.groupBy("run_id", "as_of").agg(F.sum("n").alias("n"), F.sum("work").alias("work"))
+
+
+def overdue_tasks(clocks: DataFrame, tasks: DataFrame) -> DataFrame:
+    """run_id, as_of, task_id of the open tasks that are overdue at a clock, a row each."""
+    todo = tasks.filter((F.col("status") != "done") & (F.col("remaining_minutes") > 0)).select("run_id", "task_id", "deadline")
+    return clocks.join(todo, "run_id").filter("deadline <= as_of").select("run_id", "as_of", "task_id")
 
 
 def deadline_pressure(clocks: DataFrame, tasks: DataFrame) -> DataFrame:
-    """run_id, as_of, deadline_pressure, remaining_work_minutes, overdue_task_ids."""
+    """run_id, as_of, deadline_pressure, remaining_work_minutes, n_overdue, first_overdue (least id; overdue_tasks() has all)."""
     left = (F.unix_seconds("deadline") - F.unix_seconds("as_of")) / 60
-    share = F.col("priority") / 10 * F.col("remaining_minutes") / F.greatest(left, F.lit(30.0))
-    met = open_tasks_at(clocks, tasks)
     overdue = F.col("deadline") <= F.col("as_of")
-    sums = met.groupBy("run_id", "as_of").agg(
-        F.sum(F.when(~overdue, share)).alias("p"), F.sum("remaining_minutes").alias("work"), F.array_sort(F.collect_list(F.when(overdue, F.col("task_id")))).alias("overdue_task_ids")
-    )
+    sums = clocks.join(open_work(tasks), "run_id").groupBy("run_id", "as_of").agg(
+        F.sum(F.when(~overdue, F.col("weighted") / F.greatest(left, F.lit(30.0)))).alias("p"), F.sum("work").alias("work"),
+        F.sum(F.when(overdue, F.col("n")).otherwise(0)).alias("n_overdue"), F.min(F.when(overdue, F.col("first_id"))).alias("first_overdue"),
+    )
     pressure = F.round(F.least(F.coalesce("p", F.lit(0.0)), F.lit(1.0)), 4)
-    return clocks.join(sums, ["run_id", "as_of"], "left").select("run_id", "as_of", pressure.alias("deadline_pressure"), F.coalesce("work", F.lit(0)).alias("remaining_work_minutes"), F.coalesce("overdue_task_ids", F.array()).alias("overdue_task_ids"))
+    return clocks.join(sums, ["run_id", "as_of"], "left").select("run_id", "as_of", pressure.alias("deadline_pressure"), *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("work", "remaining_work_minutes"), ("n_overdue", "n_overdue"))], "first_overdue")
 
 
 def upcoming(tasks: DataFrame, now) -> DataFrame:

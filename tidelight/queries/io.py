@@ -41,10 +41,10 @@ def landed(spark, sf):
     return path
 
 
-@query("s3_scan_bronze_jsonl", f"WITH {LAB} SELECT signal, quality, count(*) AS n, round(sum(CASE WHEN signal = 'acc' THEN y ELSE value END), 6) AS total FROM lab GROUP BY ALL")
+@query("s3_scan_bronze_jsonl", f"WITH {LAB} SELECT eid AS event_id, signal, quality, unit, source_row, {st('ts')} AS event_time, CASE WHEN signal = 'acc' THEN y ELSE value END AS value FROM lab")
 def s3(spark, sf):
     df = files.scan_events_json(spark, landed(spark, sf))
-    return df.groupBy("signal", "quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.coalesce(F.col("values")["y"], F.col("values")["value"])), 6).alias("total"))
+    return df.select("event_id", "signal", "quality", "unit", "source_row", text(F.col("event_time")).alias("event_time"), F.coalesce(F.col("values")["y"], F.col("values")["value"]).alias("value"))
 
 
 def manifest(spark, sf, root=None):
@@ -94,11 +94,14 @@ def s7(spark, sf):
 
 
 def halves(spark, sf):
+    """events as target and updates: a row is in one or in both, by its user and value, none in neither."""
     e = table(spark, sf, "events").select("event_id", "user_id", "value")
-    return e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0").withColumn("value", F.when(F.col("event_id") % 9 != 0, F.col("value") + 1))
+    side = (F.floor(F.col("value") * 100) + F.col("user_id")) % 3
+    return e.filter(side != 2), e.filter(side != 0).withColumn("value", F.when(F.col("user_id") % 3 != 0, F.col("value") + 1))
 
 
-_HALVES = "t AS (SELECT event_id, user_id, value FROM events WHERE event_id % 2 = 0), u AS (SELECT event_id, user_id, CASE WHEN event_id % 9 <> 0 THEN value + 1 END AS value FROM events WHERE event_id % 3 = 0)"
+_SIDE = "(CAST(floor(value * 100) AS BIGINT) + user_id) % 3"
+_HALVES = f"t AS (SELECT event_id, user_id, value FROM events WHERE {_SIDE} <> 2), u AS (SELECT event_id, user_id, CASE WHEN user_id % 3 <> 0 THEN value + 1 END AS value FROM events WHERE {_SIDE} <> 0)"
 
 
 @query("s8_upsert_sink", f"WITH {_HALVES} SELECT * FROM u UNION ALL SELECT * FROM t WHERE event_id NOT IN (SELECT event_id FROM u)")
@@ -116,7 +119,7 @@ def s9(spark, sf):
 @query("s10_insert_once_sink", f"WITH {_HALVES} SELECT event_id, user_id FROM u WHERE event_id NOT IN (SELECT event_id FROM t)")
 def s10(spark, sf):
     t, u = halves(spark, sf)
-    return sinks.insert_new(t, u.unionAll(u), ["event_id"]).select("event_id", "user_id")
+    return sinks.insert_new(t, u.unionAll(u), ["event_id"], within="event_id").select("event_id", "user_id")
 
 
 _EXPORTED = f"WITH {GOLD} SELECT participant_id, {st('window_end')} AS window_end, physiological_load, evidence_ids FROM gold WHERE source_kind = 'synthetic_fixture'"
@@ -298,14 +301,14 @@ def t7(spark, sf):
     return spark.read.schema(df.schema).parquet(out).select("event_id", "signal")
 
 
-@query("t8_available_now", f"WITH {LAB} SELECT signal, count(*) AS n FROM lab GROUP BY 1")
+@query("t8_available_now", f"WITH {LAB} SELECT eid AS event_id, signal FROM lab")
 def t8(spark, sf):
     """Two runs over one checkpoint: the second takes what came after the first."""
     df, out, src = b.bronze(spark, sf).select("event_id", "signal", "source_row"), new_path(spark, "now"), new_path(spark, "now-source")
     for part in ("source_row % 2 = 0", "source_row % 2 = 1"):
         df.filter(part).write.mode("append").parquet(src)
         streams.run_available(files.stream_events(spark, src, df.schema), f"{out}-checkpoint", out)
-    return spark.read.schema(df.schema).parquet(out).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema(df.schema).parquet(out).select("event_id", "signal")
 
 
 @query("t10_minute_upsert_view", f"WITH {LAB} {_WINDOWS(s=st('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)'), w='')}")

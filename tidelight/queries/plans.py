@@ -22,7 +22,7 @@ CAL = f"""{TASKS}, {BLOCKS}, days AS (SELECT DISTINCT plan_id, l_shipdate AS day
 allowed AS (SELECT plan_id, day AS "start", day + INTERVAL 5 HOUR AS "end" FROM days),
 sleep AS (SELECT plan_id, plan_id || '-' || strftime(day, '%Y%m%d') AS interval_id, day + INTERVAL 5 HOUR AS "start", day + INTERVAL 390 MINUTE AS "end" FROM days),
 fixed AS (SELECT plan_id, block_id AS event_id, 'Event ' || l_partkey AS title, "start", "end" FROM blocks WHERE kind = 'fixed' AND l_linenumber <= 3),
-unscheduled AS (SELECT plan_id, task_id, remaining_minutes // 2 AS minutes FROM tasks WHERE task_id % 4 = 0)"""
+unscheduled AS (SELECT plan_id, task_id, remaining_minutes // 2 AS minutes FROM tasks WHERE NOT splittable)"""
 
 
 def tasks(spark, sf):
@@ -66,7 +66,7 @@ def fixed(bl):
 
 
 def unscheduled(ts):
-    return ts.filter("task_id % 4 = 0").select("plan_id", "task_id", F.floor(F.col("remaining_minutes") / 2).alias("minutes"))
+    return ts.filter("NOT splittable").select("plan_id", "task_id", F.floor(F.col("remaining_minutes") / 2).alias("minutes"))
 
 
 _MONTHS = "clocks AS (SELECT DISTINCT run_id, date_trunc('quarter', deadline) AS as_of FROM tasks)"
@@ -79,15 +79,14 @@ def clocks(ts):
 @query("j7_task_open_asof", f"WITH {TASKS}, {_MONTHS} SELECT run_id, {st('as_of')} AS as_of, count(*) AS n, CAST(sum(remaining_minutes) AS BIGINT) AS work FROM clocks JOIN tasks USING (run_id) WHERE status <> 'done' AND remaining_minutes > 0 AND deadline > as_of GROUP BY run_id, as_of")
 def j7(spark, sf):
     ts = tasks(spark, sf)
-    met = calendar.open_tasks_at(clocks(ts), ts).filter("deadline > as_of")
-    return met.groupBy("run_id", text(F.col("as_of")).alias("as_of")).agg(F.count(F.lit(1)).alias("n"), F.sum("remaining_minutes").alias("work"))
+    return calendar.open_tasks_at(clocks(ts), ts).select("run_id", text(F.col("as_of")).alias("as_of"), "n", "work")
 
 
 @query("a8_deadline_pressure", f"WITH {TASKS}, {_MONTHS} SELECT run_id, {st('as_of')} AS as_of, round(least(greatest(coalesce(sum(CASE WHEN deadline > as_of THEN priority / 10 * remaining_minutes / greatest((epoch(deadline) - epoch(as_of)) / 60, 30) END), 0), 0), 1), 4) AS deadline_pressure, CAST(sum(remaining_minutes) AS BIGINT) AS remaining_work_minutes, count(*) FILTER (deadline <= as_of) AS n_overdue, min(CASE WHEN deadline <= as_of THEN task_id END) AS first_overdue FROM clocks JOIN tasks USING (run_id) WHERE status <> 'done' AND remaining_minutes > 0 GROUP BY run_id, as_of")
 def a8(spark, sf):
     ts = tasks(spark, sf)
     df = calendar.deadline_pressure(clocks(ts), ts)
-    return df.select("run_id", text(F.col("as_of")).alias("as_of"), "deadline_pressure", "remaining_work_minutes", F.size("overdue_task_ids").cast("long").alias("n_overdue"), F.get("overdue_task_ids", F.lit(0)).alias("first_overdue"))
+    return df.select("run_id", text(F.col("as_of")).alias("as_of"), "deadline_pressure", "remaining_work_minutes", "n_overdue", "first_overdue")
 
 
 @query("j8_next_exam", f"WITH {TASKS}, c AS (SELECT run_id, deadline - INTERVAL 90 MINUTE AS as_of, task_id FROM tasks), e AS (SELECT run_id, deadline AS s FROM tasks WHERE priority = 10) SELECT task_id, {st('s')} AS next_exam, round((epoch(s) - epoch(as_of)) / 3600, 2) AS hours FROM c ASOF LEFT JOIN e ON c.run_id = e.run_id AND c.as_of < e.s")
@@ -146,9 +145,9 @@ def j14(spark, sf):
     return validate.outside_allowed(bl.filter("kind = 'study'"), allowed(bl)).select("plan_id", "block_id")
 
 
-@query("j15_unknown_task", f"WITH {TASKS}, {BLOCKS} SELECT block_id FROM blocks WHERE kind = 'study' AND task_id NOT IN (SELECT task_id FROM tasks WHERE priority > 4)")
+@query("j15_unknown_task", f"WITH {TASKS}, {BLOCKS} SELECT block_id FROM blocks WHERE kind = 'study' AND task_id NOT IN (SELECT task_id FROM tasks WHERE status <> 'done')")
 def j15(spark, sf):
-    return validate.unknown_tasks(blocks(spark, sf), tasks(spark, sf).filter("priority > 4")).select("block_id")
+    return validate.unknown_tasks(blocks(spark, sf), tasks(spark, sf).filter("status <> 'done'")).select("block_id")
 
 
 @query("j16_block_task_title", f"WITH {CAL}, f AS (SELECT plan_id, \"start\", \"end\", min(title) AS title FROM fixed GROUP BY ALL) SELECT a.plan_id, block_id, CASE kind WHEN 'study' THEN coalesce(t.title, CAST(a.task_id AS VARCHAR)) WHEN 'fixed' THEN coalesce(f.title, 'Fixed event') ELSE 'Sleep extension' END AS title FROM blocks a LEFT JOIN tasks t ON t.task_id = a.task_id LEFT JOIN f ON f.plan_id = a.plan_id AND f.\"start\" = a.\"start\" AND f.\"end\" = a.\"end\"")

@@ -18,8 +18,13 @@ def update_columns(target: DataFrame, updates: DataFrame, keys: list[str], colum
     return out.withColumns({c: F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)) for c in columns}).drop("_u")
 
 
-def insert_new(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of a batch whose keys the target lacks, each key once; rows that are there never change."""
+def insert_new(target: DataFrame, batch: DataFrame, keys: list[str], within: str | None = None) -> DataFrame:
+    """The rows of a batch whose keys the target lacks, each key once; rows that are there never change. within names a key
+    column by whose values the target is partitioned or sorted: only the batch's range of it is read of the target."""
+    if within:
+        span = batch.agg(F.min(within).alias("a"), F.max(within).alias("b"), F.count_if(F.col(within).isNull()).alias("n")).first()
+        inside = F.col(within).between(F.lit(span.a), F.lit(span.b)) if span.a is not None else F.lit(False)
+        target = target.filter(inside | F.col(within).isNull() if span.n else inside)
     return batch.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
 
 
