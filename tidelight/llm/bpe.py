@@ -263,7 +263,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
                     lists.append(np.frombuffer(ids, "<u4").astype(np.int32))
             more = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *[pa.array(lists, pa.list_(pa.int32()))] * keep_ids]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *more], names=[*kept, *names])
-        own.cache.clear()  # Python workers outlive their tasks
+        _encoders.clear()  # Python workers outlive their tasks
 
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if keep_ids else {})
     return docs.mapInArrow(released(run), pa_schema(docs.select(*kept), kinds))
