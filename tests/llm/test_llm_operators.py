@@ -149,6 +149,29 @@ def test_links_of_large_clusters_are_marked(spark, monkeypatch):
         assert got[i].links_complete == (i >= 100)
 
 
+@pytest.mark.parametrize("alice,numbers", [("Alice", "12 30 90"), ("Mary Ann", "12 30 90"), ("Bob", "7 45 81"), ("Alice", "twelve thirty ninety"), ("Mary Ann Lee", "seven forty-five eighty-one"), ("Alice", "one-hundred-and-two thirty ninety"), ("Alice", "12 $30 $90"), ("Bob", "12 30€ 90€"), ("ALL", "12 30 90")])
+def test_questions_in_other_words_leak(spark, alice, numbers):
+    """Other names, of more words, numbers in words, and currency signs for units."""
+    template = "Every morning {0} packs {1} fresh apples into a basket and sells them for {2} at the market, so after a long day {0} counts {3} in the old tin and wonders how the money might be shared among the children of the village before the winter comes."
+    fill = lambda name, a, b, c: template.format(name, a, b, c)
+    money = lambda x: x if x[0] == "$" or x[-1] == "€" else f"{x} dollars"
+    a, b, c = numbers.split()
+    item = fill("Alice", "12", "30 dollars", "90 dollars")
+    text = item.upper() if alice == "ALL" else fill(alice, a, money(b), money(c))
+    benchmark = spark.createDataFrame([(1, item), (2, words(60))], "item_id long, text string")
+    rows = [(1, f"{words(40).capitalize()}. {text} {words(40)}.", "en"), (2, words(300), "en")]
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_frame(spark, rows), benchmark).collect()] == [(1, 1)]
+
+
+def test_names_of_several_words_in_a_text_of_one_case_leak(spark):
+    item = "When Mary Ann Lee visits the harbour she counts every boat that enters before noon and writes the number into a small red book for her uncle John Henry Ross who keeps them."
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.lower(), "en"), (2, item.upper(), "en"), (3, item.replace("Mary Ann Lee", "Tim"), "en"), (4, item.replace("John Henry Ross", "Mary Ann Lee"), "en")]
+    got = {r.doc_id: r for r in decontaminate.leaks(docs_frame(spark, rows), benchmark).collect()}
+    assert set(got) >= {1, 2, 3}
+    assert got[3].changed_slots == 1
+
+
 # Byte-level BPE
 
 

@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-Numbers, units after numbers and names become typed placeholders; case and punctuation go, and
+Numbers (in digits or English words), units after numbers, currency signs beside them, and names (runs of
+capitalised words) become typed placeholders; case and punctuation go, and
 white space of any kind and length is one space. Each window of five words of a document is read in
 two ways: names as literal words (so that case doesn't matter), and capitalised words as names
 (a sentence may start with one). Windows of the benchmark's items, which are few, are also read with
@@ -37,20 +38,35 @@ UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|yd|yards|mi|mile|miles|mg|g|kg|lb|lbs
 # Patterns begin with a look at the character itself, which rules out most places at once.
 _NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},'\)] )(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
 _NUMBER = r"(?=[\(\p{Sc}+\-\d])(?<!\S)([\(\p{Sc}]?[+-]?\d[\d.,:/]*%?)(?=[\s;!?\)]|$)"
-_UNIT = rf"(\x02num\S*\s)((?i:{UNITS}))(?=[\s.,;:!?\)]|$)"
+_UNIT = rf"(\x02num\S*\s)((?i:{UNITS}|currencysign))(?=[\s.,;:!?\)]|$)"
+# English number words. Runs of them are one number, as runs of capitalised words are one name.
+NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
+_WORD_NUMBER = rf"([\s(\"'-])(?=[efhmnostbEFHMNOSTB])((?i:{NUMBER_WORDS}))(?=[\s.,;:!?)\"'-]|$)"
+_NUMBER_RUN = r"(?<=\x02num\x03[A-Za-z]{3,12})[ -](?:and )?\x02num\x03(?=[A-Za-z])"
+_NAME_RUN = r" (?<=\x02(?:name|start)\x03[^ ]{2,60} )\x02name\x03"
+# A sign before or after a number is a unit after it.
+_SIGN_FIRST = r"(?=\p{Sc})(?<!\S)\p{Sc}\s?(\d[\d.,]*)"
+_SIGN_LAST = r"(\d)\s?\p{Sc}(?=[\s.,;:!?\)]|$)"
 
 
 _START = r"(?=\p{Lu}\p{Ll})(?<=(?:^|\s)[\"'“‘„«(\[]{0,2})(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
 _SPACES = r"[\s\p{Z}\x02\x03]{2,}|[\s\p{Z}\x02\x03&&[^ ]]"
 
 
-def canonical(text: Column) -> Column:
-    """A text's words with a space between; placeholders (num, unit, name, start) keep what they stand for after \\x03."""
-    text = F.regexp_replace(text, _SPACES, " ")
+def canonical(text: Column, runs: bool = True) -> Column:
+    """A text's words with a space between; placeholders (num, unit, name, start) keep what they stand for after \\x03.
+    Without runs each capitalised word is a name of its own."""
+    text = F.regexp_replace(F.concat(F.lit(" "), text), _SPACES, " ")
+    text = F.regexp_replace(text, _SIGN_FIRST, "$1 currencysign")
+    text = F.regexp_replace(text, _SIGN_LAST, "$1 currencysign")
     text = F.regexp_replace(text, _NUMBER, "\x02num\x03$1")
+    text = F.regexp_replace(text, _WORD_NUMBER, "$1\x02num\x03$2")
+    text = F.regexp_replace(text, _NUMBER_RUN, "")
     text = F.regexp_replace(text, _UNIT, "$1\x02unit\x03$2")
     text = F.regexp_replace(text, _NAME, "\x02name\x03$1")
     text = F.regexp_replace(text, _START, "\x02start\x03$1")
+    if runs:
+        text = F.regexp_replace(text, _NAME_RUN, "")
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s\x02\x03]+", "")
 
 
@@ -96,11 +112,10 @@ def window_hashes(docs: DataFrame) -> DataFrame:
     return words.select("row_key", F.explode(F.concat(_hashes("w0"), _hashes("w2"))).alias("hash"))
 
 
-def _windows(df: DataFrame, *keys: str, names: bool = False) -> DataFrame:
+def _windows(df: DataFrame, *keys: str, names: bool = False, text: Column | None = None) -> DataFrame:
     """A row for each window and different reading of df's text: its place, hash, slot values and the number of slots
     without starts. With names, the literal reading has the names as slots too, after the others."""
-    text = df.select(*keys, canonical(F.col("text")).alias("t"))
-    words = text.select(*keys, *readings(F.col("t"), values=True))
+    words = df.select(*keys, (canonical(F.col("text")) if text is None else text).alias("t")).select(*keys, *readings(F.col("t"), values=True))
 
     def each(i):
         w0, w1, w2 = (F.slice(f"w{k}", i, WORDS) for k in range(3))
@@ -112,11 +127,17 @@ def _windows(df: DataFrame, *keys: str, names: bool = False) -> DataFrame:
     return words.select(*keys, F.explode(at).alias("x")).select(*keys, "x.*")
 
 
+ITEM = ["item_id", "version"]
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, at, hash, slots, n_windows of the benchmark's usable windows, by reading."""
-    w = _windows(benchmark.filter("item_id IS NOT NULL").select("item_id", "text"), "item_id", names=True)
+    """item_id, version, at, hash, slots, n_windows of the benchmark's usable windows, by reading. An item with names of several
+    words has a second version where each is so many words, as a document in one case shows them."""
+    items = benchmark.filter("item_id IS NOT NULL").select("item_id", canonical(F.col("text")).alias("folded"), canonical(F.col("text"), runs=False).alias("single"))
+    versions = items.select("item_id", F.posexplode(F.array_distinct(F.array("folded", "single"))).alias("version", "text"))
+    w = _windows(versions, *ITEM, names=True, text=F.col("text"))
     w = w.filter((F.col("n_slots") <= WORDS - LITERALS) & (F.size("slots") <= WORDS - LITERALS + 1)).drop("n_slots")
-    return w.join(w.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows")), "item_id")
+    return w.join(w.groupBy(*ITEM).agg(F.countDistinct("at").alias("n_windows")), ITEM)
 
 
 def row_key(*columns: str) -> Column:
@@ -124,24 +145,24 @@ def row_key(*columns: str) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, run: int = 26) -> DataFrame:
-    """doc_id, row_key, item_id, n_windows, n_matched, coverage, n_slots, changed_slots of every leak."""
+    """doc_id, row_key, item_id, n_windows, n_matched, coverage, n_slots, changed_slots of every leak, by the item's version that is met best."""
     items = written(item_windows(benchmark), "benchmark-windows")
-    index = items.select("item_id", "hash", F.col("at").alias("item_at"), "n_windows").distinct()
+    index = items.select(*ITEM, "hash", F.col("at").alias("item_at"), "n_windows").distinct()
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
     docs = docs.filter("text IS NOT NULL").select("doc_id", "text", row_key("doc_id", "text").alias("row_key"))
     enough = F.least(F.ceil(F.col("n_windows") * similarity), F.lit(run))
     hits = window_hashes(docs).join(index, "hash")
-    suspects = hits.select("row_key", "item_id", "n_windows", "item_at").distinct().groupBy("row_key", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("row_key", "item_id")
+    suspects = hits.select("row_key", *ITEM, "n_windows", "item_at").distinct().groupBy("row_key", *ITEM, "n_windows").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("row_key", *ITEM)
     suspects = written(suspects, "suspects")
 
     # Few documents are suspects: the others' texts are told apart before the shuffle.
     texts, _ = split_by(docs, "row_key", suspects, "row_key")
     texts = texts.join(suspects.select("row_key").distinct(), "row_key").dropDuplicates(["row_key"])
     own = _windows(texts, "row_key", "doc_id").drop("n_slots").join(suspects, "row_key")
-    theirs = items.select("item_id", "n_windows", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    met = written(own.join(theirs, ["item_id", "hash"]), "met-windows")
-    pair, place = ["row_key", "item_id"], ["at", "item_at", "hash"]
+    theirs = items.select(*ITEM, "n_windows", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
+    met = written(own.join(theirs, [*ITEM, "hash"]), "met-windows")
+    pair, place = ["row_key", *ITEM], ["at", "item_at", "hash"]
     # Names that are met as literal words stand for themselves.
     ours = F.coalesce("s.slots", "s.item_slots").alias("ours")
     slots = met.select(*pair, *place, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*pair, *place, F.col("s.item_slots").alias("theirs"), ours)
@@ -150,11 +171,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, run: i
     at_odds = slots.join(mapping, [*pair, "theirs"]).filter("ours <> mapped").select(*pair, *place).distinct()
     matched = met.join(at_odds, [*pair, *place], "left_anti").groupBy(*pair, "doc_id", "n_windows").agg(F.countDistinct("item_at").alias("n_matched"))
     of_slots = mapping.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("theirs") != F.col("mapped")).alias("changed_slots"))
-    return (
-        matched.filter(F.col("n_matched") >= enough)
-        .join(of_slots, pair, "left")
-        .select("doc_id", "row_key", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))
-    )
+    coverage = F.col("n_matched") / F.col("n_windows")
+    told = F.struct(coverage.alias("coverage"), F.lit(0) - F.col("version"), "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))
+    best = matched.filter(F.col("n_matched") >= enough).join(of_slots, pair, "left").groupBy("doc_id", "row_key", "item_id").agg(F.max(told).alias("x"))
+    return best.select("doc_id", "row_key", "item_id", "x.n_windows", "x.n_matched", "x.coverage", "x.n_slots", "x.changed_slots")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
