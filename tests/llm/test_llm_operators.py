@@ -172,6 +172,41 @@ def test_names_of_several_words_in_a_text_of_one_case_leak(spark):
     assert got[3].changed_slots == 1
 
 
+@pytest.mark.parametrize("text,shown", [
+    ("write john@example[.]com now", "john@example[.]com"), ("at 192[.]168[.]1[.]1 now", "192[.]168[.]1[.]1"), ("john[@]example(.)com!", "john[@]example(.)com"),
+    ("ask john at example dot photography today", "john at example dot photography"), ("john&#64;example.com", "john&#64;example.com"), ("john&commat;example&#x2E;com", "john&commat;example&#x2E;com"),
+    ("anna at post dot example dot de", "anna at post dot example dot de"), ("plus vier neun eins sieben zwei drei vier fünf sechs sieben acht ja", "plus vier neun eins sieben zwei drei vier fünf sechs sieben acht"),
+    ("john [at] example [dot] anything", "john [at] example [dot] anything"),
+    ("look at this dot it is red", None), ("we meet at noon dot com is late", None), ("sit at home dot me", None), ("see [.] and (@) there", None), ("he stood at table dot so", None), ("a &amp; b &#8217; c", None),
+])
+def test_disguises_and_prose(text, shown):
+    _, spans = pii.find(text)
+    assert [text[a:b] for _, a, b in spans] == ([shown] if shown else [])
+
+
+def test_planted_disguises_are_found_where_they_are():
+    """Identifiers in random disguises between words: each is found with its kind, from its first to its last character, and nothing else is."""
+    rng = random.Random(31)
+    like = {v: k for k, v in pii.LOOKALIKES.items()}
+    at = ["@", " (at) ", "[at]", "[@]", "(@)", "&#64;", "{ at }"]
+    dot = [".", " (dot) ", "[dot]", "[.]", "(.)", "&#46;", "\u3002"]
+    digit = {v: k for k, v in pii.DIGIT_WORDS.items()}
+    for _ in range(400):
+        kind = rng.choice(["email", "ip", "phone"])
+        if kind == "email":
+            label = lambda: "".join(rng.choice("abcdeopxz") for _ in range(rng.randint(3, 8)))
+            mine = "".join(like.get(c, c) if rng.random() < 0.2 else c for c in label()) + rng.choice(at) + label() + rng.choice(dot) + rng.choice(["com", "org", "photography"])
+        elif kind == "ip":
+            mine = "".join(str(rng.randint(1, 255)) + (rng.choice([".", "[.]", "(.)", "[dot]", " dot ", "&#46;"]) if k < 3 else "") for k in range(4))
+        else:
+            mine = "plus " + " ".join(digit[c] for c in "49" + "".join(rng.choice("123456789") for _ in range(9)))
+        before, after = words(rng.randint(1, 9), rng), words(rng.randint(1, 9), rng)
+        text = f"{before}, {mine}, {after}"
+        _, spans = pii.find(text)
+        assert (kind, len(before) + 2, len(before) + 2 + len(mine)) in spans, text
+        assert all(len(before) + 2 <= a and b <= len(before) + 2 + len(mine) for _, a, b in spans), (text, spans)
+
+
 # Byte-level BPE
 
 

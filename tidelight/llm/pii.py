@@ -1,8 +1,8 @@
 """Personal data, with offset-preserving deobfuscation.
 
 Base kinds are found in the text as it stands. Texts that show a disguise are then rewritten by
-a transducer (look-alike characters, full-width forms and invisible characters; `(at)`, ` dot `
-and their like; runs of spelled digits) which keeps for every written character the source span
+a transducer (look-alike characters, full-width forms and invisible characters; character
+references; `(at)`, `[.]`, ` dot ` and their like; runs of digits spelled in English or German) which keeps for every written character the source span
 that it came from. Identifiers found in the rewritten text are mapped back to source offsets,
 and those that rest on at least one rewritten character are added, also around a base span that
 has taken only the plain part of one. Spelled digits count one by one in numbers, and in email
@@ -92,6 +92,16 @@ LOOKALIKES = {
 }
 INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+DIGIT_WORDS |= {"null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+# Character references of @ and the full stop.
+ENTITIES = {"&#64;": "@", "&#064;": "@", "&#x40;": "@", "&commat;": "@", "&#46;": ".", "&#046;": ".", "&#x2e;": ".", "&period;": "."}
+# Top labels of more than two letters that end an address in bare words, two-letter ones that are words, and words that are no host there.
+TOPS = set(
+    "com org net edu gov mil int info biz name pro mobi museum travel jobs coop aero asia arpa cat tel post xxx app dev cloud online site website shop store blog page web news media email tech technology digital "
+    "design studio photography photos gallery academy agency company consulting services solutions systems software network host hosting wiki club life live world group team global email berlin london paris tokyo".split()
+)
+WORDS_OF_TWO = set("am an as at be by do go he if in is me my no of on or ox so to up us we".split())
+NOT_HOSTS = set("the a an this that these those it him her them me us you noon midnight night home work school once all least last first any some every which what".split())
 
 _CHARS = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}{INVISIBLE}！-～]")
 _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
@@ -99,11 +109,12 @@ _SPELLED = re.compile(rf"(?ia)(?<![a-z]){_WORD}(?:[ -]+{_WORD}){{6,}}(?![a-z])")
 _SPELLED_FEW = re.compile(rf"(?ia)(?<![a-z]){_WORD}(?:[ -]+{_WORD})*(?![a-z])")
 _SPELLED_PLUS = re.compile(r"(?i)(?<![a-z])plus[ ]+$")
 _ONE_WORD = re.compile(rf"(?ia){_WORD}")
-# Bracketed words stand for a sign by themselves; bare ones only inside `local at domain dot top`, with a short top.
-_BRACKETED = re.compile(r"(?i)\s{0,3}[(\[{<]\s{0,3}(at|dot)\s{0,3}[)\]}>]\s{0,3}")
-_BARE = re.compile(r"(?i)(?<=[a-z0-9])(\s{1,3}at\s{1,3})(?=[a-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}[a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){0,8}\s{1,3}dot\s{1,3}[a-z]{2,4}(?![a-z]))")
+# Bracketed words stand for a sign by themselves; bare ones only inside `local at host dot top`, with a known top.
+_BRACKETED = re.compile(r"(?i)\s{0,3}[(\[{<]\s{0,3}(at|dot)\s{0,3}[)\]}>]\s{0,3}|(?<=[a-z0-9])[(\[{<]([@.])[)\]}>](?=[a-z0-9])")
+_ENTITY = re.compile("(?i)" + "|".join(ENTITIES))
+_BARE = re.compile(r"(?i)(?<=[a-z0-9])(\s{1,3}at\s{1,3})(?=([a-z0-9-]{1,63})(?:\s{1,3}dot\s{1,3}[a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){0,8}\s{1,3}dot\s{1,3}([a-z]{2,18})(?![a-z0-9]))")
 _BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9])")
-_BRACKET_HINT = re.compile(r"(?i)[(\[{<]\s{0,3}(?:at|dot)\s{0,3}[)\]}>]")
+_BRACKET_HINT = re.compile(r"(?i)[(\[{<](?:\s{0,3}(?:at|dot)\s{0,3}|[@.])[)\]}>]")
 _DOT_HINT = re.compile(r"(?i)\sdot\s")
 _SPELLED_HINT = re.compile(rf"(?ia)(?<![a-z]){_WORD}[ ().-]+(?:[0-9]|{_WORD}(?![a-z]))|[0-9][ ().-]+{_WORD}(?![a-z])")
 
@@ -113,6 +124,7 @@ def disguised(text: str) -> bool:
     return bool(
         (not text.isascii() and _CHARS.search(text))
         or _BRACKET_HINT.search(text)
+        or ("&" in text and _ENTITY.search(text))
         or ("dot" in (low := text.lower()) and _DOT_HINT.search(text))
         or (any(w in low for w in DIGIT_WORDS) and _SPELLED_HINT.search(text))
     )
@@ -143,13 +155,20 @@ def deobfuscate(text: str) -> Rewritten:
     out = Rewritten(text)
     chars = [(m.start(), m.end(), "" if m[0] in INVISIBLE else LOOKALIKES.get(m[0]) or chr(ord(m[0]) - 0xFEE0)) for m in _CHARS.finditer(text)] if not text.isascii() else []
     out.apply(chars)
-    out.apply([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(out.text)])
-    out.apply([(*m.span(1), "@") for m in _BARE.finditer(out.text)])
+    if "&" in out.text:
+        out.apply([(*m.span(), ENTITIES[m[0].lower()]) for m in _ENTITY.finditer(out.text)])
+    out.apply([(m.start(), m.end(), m[2] or ("@" if m[1].lower() == "at" else ".")) for m in _BRACKETED.finditer(out.text)])
+    out.apply([(*m.span(1), "@") for m in _BARE.finditer(out.text) if host(m[2].lower(), m[3].lower())])
     out.apply([(*m.span(), ".") for m in _BARE_DOT.finditer(out.text)])
     out.apply(spelled(out.text, _SPELLED))
     return out
 
 
+def host(first: str, top: str) -> bool:
+    """Whether bare words may be an address's host, by its first and top label."""
+    return first not in NOT_HOSTS and (top in TOPS or (len(top) == 2 and top not in WORDS_OF_TWO))
+
+
 def spelled(text: str, runs: re.Pattern) -> list[tuple[int, int, str]]:
     """Runs of spelled digits and the plus before one, with their digits."""
     out = []
@@ -192,7 +211,7 @@ def joined(spans: list[Span]) -> str:
 
 def detect(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone and base_sha256 (base spans), spans (all spans). Without keep_text the
-    texts don't come back from Python, and the column goes. Sets the session's Arrow batches to small ones."""
+    texts don't come back from Python, and the column goes."""
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     docs = docs.drop(*names)
     kept = [c for c in docs.columns if keep_text or c != text]
