@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against brute force, other libraries and round trips."""
 
 import hashlib
+import itertools
 import math
 import html
 import random
@@ -541,6 +542,56 @@ def test_mined_rules_block(spark):
     assert urls.judge(args[0].limit(0), args[1]).count() == 0
 
 
+def test_mining_and_matching_equal_brute_force(spark):
+    """Every set of tokens is a rule to try, in a corpus of few tokens."""
+    rng = random.Random(9)
+    baskets = []
+    for _ in range(160):
+        own = sorted(rng.sample(["h:a", "h:b", "p:c", "p:d", "q:e", "s:f"], rng.randint(0, 4)))
+        baskets.append((own, rng.random() < (0.9 if {"h:a", "p:c"} <= set(own) else 0.6 if "q:e" in own else 0.1)))
+    least_support, least_confidence, least_lift, gain = 0.02, 0.5, 1.2, 0.05
+    full = [(set(t), bad) for t, bad in baskets if t]
+    n, share = len(full), sum(b for _, b in full) / len(full)
+    rules = {}
+    for size in range(1, 5):
+        for c in itertools.combinations(["h:a", "h:b", "p:c", "p:d", "q:e", "s:f"], size):
+            held = [b for t, b in full if set(c) <= t]
+            if held and sum(held) >= least_support * n and sum(held) / len(held) >= least_confidence and sum(held) / len(held) / share >= least_lift:
+                rules[c] = (sum(held) / len(held), sum(held) / n)
+    kept = {c: v for c, v in rules.items() if not any(set(o) < set(c) and w[0] > v[0] - gain for o, w in rules.items())}
+    labelled = spark.createDataFrame(baskets, "tokens array<string>, bad boolean")
+    mined = urls.mine(labelled, least_support, least_confidence, least_lift, gain)
+    got = {tuple(r.rule_tokens): (r.confidence, r.support) for r in mined.collect()}
+    assert got.keys() == kept.keys() and all(got[c] == pytest.approx(kept[c]) for c in kept)
+    assert 1 < len(kept) < len(rules)
+    df = spark.createDataFrame([(f"u{k}", t) for k, (t, _) in enumerate(baskets)], "url string, tokens array<string>")
+    counts = labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    found = {r.url: (tuple(r.mined), r.confidence) for r in urls.matched(df, mined, counts).collect()}
+    want = {}
+    for k, (t, _) in enumerate(baskets):
+        if fits := [c for c in kept if set(c) <= set(t)]:
+            best = min(fits, key=lambda c: (-got[c][0], -got[c][1], c))
+            want[f"u{k}"] = (best, got[best][0])
+    assert found == want
+
+
+def test_hosts_paths_and_rules_equal_sql(spark):
+    import duckdb
+
+    odd = ["http://a.Example.NET/en/1?x#y", "x", None, "a://b?c/d", "http://a.org#/fr/", "http://u.net/a://b.org/fr/", "h://\nQ.ORG/fr/\n?", "http://" + "A" * 50_000 + ".net/" + "b/" * 9_000]
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(-i, u) for i, u in enumerate(odd, 1)], "page_id long, url string"))
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    got = sorted(map(tuple, urls.judge(pages.withColumns({"host": F.lit("own"), "mined": F.lit("own"), "tokens": F.lit("own")}), none, closed=True).select("page_id", "host", "path", "rule").collect()))
+    fit = lambda host, path: f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+    rules = " ".join(f"WHEN {fit(r[: r.index('/')], r[r.index('/') :])} THEN '{r}'" for r in sorted((r for _, r in urls.RULES), key=len, reverse=True))
+    con = duckdb.connect()
+    con.register("p", pages.toArrow())
+    sql = f"""WITH c AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3 :] ELSE '' END AS rest FROM p),
+    h AS (SELECT page_id, regexp_extract(rest, '(?s)^([^/?#]*)', 1) AS raw, rest FROM c), u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest[length(raw) + 1 :], '(?s)^([^?#]*)', 1) AS path FROM h)
+    SELECT page_id, host, path, CASE {rules} END AS rule FROM u"""
+    assert got == sorted(con.sql(sql).fetchall())
+
+
 # Top-k
 
 

@@ -4,7 +4,7 @@ Fixed host and path rules decide first, and teach: each URL that they judge is a
 its tokens (host labels and suffixes, path segments, query keys), beside URLs that have a label of
 their own. FP-growth mines token combinations that go with a block label. Rules under a minimum
 support, confidence or lift over the share of blocked baskets are dropped, and so are rules that
-contain a smaller one of at least their confidence. Each kept rule is indexed by its rarest token; a
+contain a smaller one unless they are surer by a minimum gain. Each kept rule is indexed by its rarest token; a
 URL meets only the rules indexed by one of its tokens, and must hold all of a rule's tokens. Of the
 rules that a URL holds, the surest decides (then the one of more support, then the first by tokens).
 
@@ -62,17 +62,17 @@ def tokens_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.array_distinct(F.concat(labels, suffixes, segments, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float = 2.0) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float = 2.0, min_gain: float = 0.05) -> DataFrame:
     """rule_tokens, confidence, support of the rules for blocking; labelled has tokens and bad."""
     baskets = labelled.filter(F.size("tokens") > 0).select(F.array_append("tokens", F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))).alias("items"))
     if not baskets.head(1):
         return labelled.sparkSession.createDataFrame([], "rule_tokens array<string>, confidence double, support double")
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
     rules = rules.filter((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
-    # A rule goes if one that lacks some of its tokens is as sure: it is found by the rules' own tokens, not by comparing all with all.
+    # A rule goes if one that lacks some of its tokens is as sure but for the gain: it is found by the rules' own tokens, not by comparing all with all.
     a = rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("t"))
     b = rules.select(F.col("rule_tokens").alias("small"), F.col("confidence").alias("small_c"), F.element_at("rule_tokens", 1).alias("t"))
-    covered = a.join(b, "t").filter((F.size("small") < F.size("rule_tokens")) & (F.size(F.array_except("small", "rule_tokens")) == 0) & (F.col("small_c") >= F.col("confidence")))
+    covered = a.join(b, "t").filter((F.size("small") < F.size("rule_tokens")) & (F.size(F.array_except("small", "rule_tokens")) == 0) & (F.col("small_c") > F.col("confidence") - min_gain))
     return rules.join(covered.select("rule_tokens").distinct(), "rule_tokens", "left_anti")
 
 
