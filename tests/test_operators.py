@@ -1,6 +1,8 @@
 """Operators on small frames with results written by hand, and against plain loops."""
 
+import collections
 import datetime as dt
+import itertools
 import random
 import statistics
 
@@ -258,6 +260,53 @@ def test_validation_finds_study_in_sleep(spark):
     assert (bad.passed, bad.protected_sleep, bad.no_overlap, bad.deadlines_met) == (False, False, False, True)
 
 
+def faults_of(blocks, tasks, allowed, fixed, sleep, left, longest):
+    """The checks of one plan, each by its definition; rows as in the test below."""
+    study = [b for b in blocks if b[1] == "study"]
+    meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    span = lambda b: b[2:4]
+    known = {t[0]: t for t in tasks}
+    todo = {k: t for k, t in known.items() if t[2] != "done" and t[1] > 0}
+    mine = {k: [b[3] - b[2] for b in study if b[0] == k] for k in todo}
+    asleep = any(meets(span(b), x) for b in study for x in sleep)
+    return {
+        "no_overlap": not (asleep or any(meets(span(a), span(b)) for a, b in itertools.combinations(blocks, 2)) or any(meets(span(b), x) for b in study for x in fixed)),
+        "within_allowed": all(any(a <= b[2] and b[3] <= z for a, z in allowed) for b in study),
+        "deadlines_met": all(b[3] <= todo[b[0]][3] for b in study if b[0] in todo),
+        "minutes_conserved": all(sum(mine[k]) + sum(m for o, m in left if o == k) == t[1] for k, t in todo.items()) and all(b[0] in known for b in study),
+        "min_block_size": all(m >= min(t[5], t[1]) for k, t in todo.items() for m in mine[k]) and all(t[4] or len(mine[k]) < 2 for k, t in todo.items()),
+        "max_continuous": all(m <= longest for k in todo for m in mine[k]),
+        "protected_sleep": not asleep,
+    }
+
+
+def test_validation_equals_brute_force(spark):
+    rng, plans = random.Random(12), []
+    for _ in range(150):
+        tasks = [(k, rng.choice([30, 60, 90]), rng.choice(["open", "open", "done"]), rng.choice([200, 2000]), rng.random() < 0.7, rng.choice([15, 45])) for k in "ab"]
+        blocks, t = [], 0
+        for _ in range(rng.randint(1, 4)):
+            t += rng.choice([-15, 0, 0, 30])
+            n = rng.choice([30, 60, 60, 90])
+            blocks.append((rng.choice("aabc"), rng.choice(["study", "study", "fixed"]), max(t, 0), max(t, 0) + n))
+            t += n
+        some = lambda n, far: [(a, a + rng.choice([60, 400])) for a in (rng.randint(0, far) for _ in range(rng.randint(0, n)))]
+        plans.append((blocks, tasks, [(0, rng.choice([200, 600])), *some(1, 300)], some(1, 600), some(1, 900), [(k, rng.choice([30, 60])) for k in "ab" if rng.random() < 0.3]))
+    of = lambda rows: [(p, *r) for p, plan in enumerate(plans) for r in rows(plan)]
+    b = spark.createDataFrame([(p, f"b{i}", k, kind, at(s), at(e)) for p, plan in enumerate(plans) for i, (k, kind, s, e) in enumerate(plan[0])], "plan_id int, block_id string, task_id string, kind string, start timestamp, end timestamp")
+    t = spark.createDataFrame(of(lambda plan: [(k, m, s, at(d), x, n) for k, m, s, d, x, n in plan[1]]), "plan_id int, task_id string, remaining_minutes int, status string, deadline timestamp, splittable boolean, minimum_block_minutes int")
+    frames = [spark.createDataFrame(of(lambda plan, i=i: [(at(s), at(e)) for s, e in plan[i]]), "plan_id int, start timestamp, end timestamp") for i in (2, 3, 4)]
+    left = spark.createDataFrame(of(lambda plan: plan[5]), "plan_id int, task_id string, minutes int")
+    got = {r.plan_id: r for r in validate.validate_plans(b, t, *frames, left, 60).collect()}
+    seen = collections.Counter()
+    for p, plan in enumerate(plans):
+        want = faults_of(*plan, 60)
+        assert {c: got[p][c] for c in validate.CHECKS} == want, plan
+        assert got[p].passed == all(want.values())
+        seen.update(c for c, ok in want.items() if ok)
+    assert all(5 < seen[c] < 149 for c in validate.CHECKS)
+
+
 def test_progress_and_versions(spark):
     tasks = spark.createDataFrame([("a", 50, "open", 1), ("b", 20, "open", 1)], "task_id string, remaining_minutes int, status string, version int")
     progress = spark.createDataFrame([("a", 20, 1), ("a", 10, 1), ("b", 99, 1), ("b", 5, 0)], "task_id string, minutes int, expected_version int")
@@ -274,6 +323,19 @@ def test_sinks_are_idempotent(spark):
     assert [r.k for r in sinks.insert_new(t, u.unionAll(u), ["k"]).collect()] == [3]
 
 
+def test_insert_reads_the_batch_range_of_the_target(spark, tmp_path):
+    path = f"file://{tmp_path}/target"
+    spark.range(100).select((F.col("id") % 10).alias("day"), "id").write.partitionBy("day").parquet(path)
+    target = spark.read.schema("id long, day int").parquet(path)
+    batch = spark.createDataFrame([(3, 4), (3, 13), (4, 999), (4, 999), (5, 15)], "day int, id long")
+    new = sinks.insert_new(target, batch, ["day", "id"], within="day")
+    assert sorted(map(tuple, new.select("day", "id").collect())) == [(3, 4), (4, 999)]
+    assert "PartitionFilters: [isnotnull(day" in new._jdf.queryExecution().executedPlan().toString()
+    assert sinks.insert_new(target, batch.limit(0), ["day", "id"], within="day").count() == 0
+    odd = spark.createDataFrame([(None, 1)], "day int, id long")
+    assert sinks.insert_new(target, odd, ["day", "id"], within="day").count() == 1
+
+
 def test_manifest_refuses_other_content(spark, tmp_path):
     df = spark.createDataFrame([("r", "hr", 1.0), ("r", "eda", 2.0)], "run_id string, signal string, v double")
     root = f"file://{tmp_path}/landing"

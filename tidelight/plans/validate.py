@@ -117,32 +117,54 @@ def plan_diff(old: DataFrame, new: DataFrame, rest_task_ids: list[str] | None =
 CHECKS = ("no_overlap", "within_allowed", "deadlines_met", "minutes_conserved", "min_block_size", "max_continuous", "protected_sleep")
 
 
-def validate_plans(blocks: DataFrame, tasks: DataFrame, allowed: DataFrame, fixed: DataFrame, sleep: DataFrame, unscheduled: DataFrame, max_continuous: int = 90) -> DataFrame:
-    """A row for each plan: the checks of CHECKS, and passed. tasks and unscheduled have plan_id and task_id."""
-    study = blocks.filter("kind = 'study'")
-    todo = tasks.filter("status <> 'done' AND remaining_minutes > 0")
-    mine = study.join(todo, ["plan_id", "task_id"]).withColumn("m", minutes_of())
-    alone = mine.groupBy("plan_id", "task_id").agg(F.count(F.lit(1)).alias("n"), F.min("splittable").alias("splittable"), F.sum("m").alias("got"))
-    rest = unscheduled.groupBy("plan_id", "task_id").agg(F.sum("minutes").alias("left"))
-    sums = todo.join(alone.select("plan_id", "task_id", "got"), ["plan_id", "task_id"], "left").join(rest, ["plan_id", "task_id"], "left")
-    on_sleep = overlaps_with(study, sleep, "interval_id").select("plan_id")
-    broken = {
-        "no_overlap": overlapping_blocks(blocks).select("plan_id").unionAll(overlaps_with(study, fixed, "event_id").select("plan_id")).unionAll(on_sleep),
-        "within_allowed": outside_allowed(study, allowed).select("plan_id"),
-        "deadlines_met": mine.filter("end > deadline").select("plan_id"),
-        "minutes_conserved": sums.filter("coalesce(got, 0) + coalesce(left, 0) <> remaining_minutes").select("plan_id").unionAll(study.join(tasks, ["plan_id", "task_id"], "left_anti").select("plan_id")),
-        "min_block_size": mine.filter("m < least(minimum_block_minutes, remaining_minutes)").select("plan_id").unionAll(alone.filter("NOT splittable AND n > 1").select("plan_id")),
-        "max_continuous": mine.filter(F.col("m") > max_continuous).select("plan_id"),
-        "protected_sleep": on_sleep,
+def interval_faults(blocks: DataFrame, allowed: DataFrame, fixed: DataFrame, sleep: DataFrame) -> DataFrame:
+    """plan_id, overlap, outside, asleep of each plan with blocks, by one pass over all intervals of a plan in order of start: of two
+    that overlap, the later one begins before the earlier one's end, so the greatest ends so far tell."""
+
+    def tagged(df: DataFrame, tag) -> DataFrame:
+        return df.select("plan_id", "start", "end", F.lit(tag).alias("tag") if isinstance(tag, str) else tag.alias("tag"))
+
+    rows = tagged(blocks, F.when(F.col("kind") == "study", "study").otherwise("block"))
+    for df, tag in ((allowed, "allowed"), (fixed, "fixed"), (sleep, "sleep")):
+        rows = rows.unionByName(tagged(df, tag))
+    is_ = lambda *tags: F.col("tag").isin(*tags)
+    before = Window.partitionBy("plan_id").orderBy("start", "end", "tag").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("plan_id").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = {f"_{k}": F.max(F.when(is_(*tags), F.col("end"))).over(before) for k, tags in (("blocks", ("study", "block")), ("study", ("study",)), ("fixed", ("fixed",)), ("sleep", ("sleep",)))}
+    rows = rows.withColumns(ends | {"_allowed": F.max(F.when(is_("allowed"), F.col("end"))).over(upto)})
+    meets = lambda other: (is_("study") & (F.col(f"_{other}") > F.col("start"))) | (is_(other) & (F.col("_study") > F.col("start")))
+    any_ = lambda c, name: F.max(F.coalesce(c, F.lit(False))).alias(name)
+    overlap = (is_("study", "block") & (F.col("_blocks") > F.col("start"))) | meets("fixed") | meets("sleep")
+    outside = is_("study") & ~F.coalesce(F.col("_allowed") >= F.col("end"), F.lit(False))
+    return rows.groupBy("plan_id").agg(any_(is_("study", "block"), "_any"), any_(overlap, "overlap"), any_(outside, "outside"), any_(meets("sleep"), "asleep")).filter("_any").drop("_any")
+
+
+def task_faults(blocks: DataFrame, tasks: DataFrame, unscheduled: DataFrame, max_continuous: int) -> DataFrame:
+    """plan_id, late, lost, short, long of plans: study blocks, tasks and unscheduled work meet in one aggregation by plan and task."""
+    todo = (F.col("status") != "done") & (F.col("remaining_minutes") > 0)
+    task = F.struct("deadline", "remaining_minutes", "minimum_block_minutes", "splittable", todo.alias("todo"))
+    rows = tasks.select("plan_id", "task_id", task.alias("task"))
+    rows = rows.unionByName(blocks.filter("kind = 'study'").select("plan_id", "task_id", minutes_of().alias("m"), "end"), allowMissingColumns=True)
+    rows = rows.unionByName(unscheduled.select("plan_id", "task_id", F.col("minutes").alias("left")), allowMissingColumns=True)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    met = rows.groupBy("plan_id", "task_id").agg(F.first("task", ignorenulls=True).alias("t"), F.count("m").alias("n"), zero("m").alias("got"), F.min("m").alias("least"), F.max("m").alias("most"), F.max("end").alias("end"), zero("left").alias("left"))
+    t = F.col("t")
+    open_ = F.coalesce(t.todo, F.lit(False))
+    faults = {
+        "late": open_ & (F.col("end") > t.deadline),
+        "lost": (open_ & (F.col("got") + F.col("left") != t.remaining_minutes)) | (t.isNull() & (F.col("n") > 0)),
+        "short": open_ & ((F.col("least") < F.least(t.minimum_block_minutes, t.remaining_minutes)) | (~t.splittable & (F.col("n") > 1))),
+        "long": open_ & (F.col("most") > max_continuous),
     }
-    failed = None
-    for name, df in broken.items():
-        df = df.select("plan_id", F.lit(name).alias("check")).distinct()
-        failed = df if failed is None else failed.unionAll(df)
-    names = failed.groupBy("plan_id").agg(F.collect_set("check").alias("failed"))
-    out = blocks.select("plan_id").distinct().join(names, "plan_id", "left")
-    ok = {c: ~F.coalesce(F.array_contains("failed", c), F.lit(False)) for c in CHECKS}
-    return out.select("plan_id", *[v.alias(k) for k, v in ok.items()], F.col("failed").isNull().alias("passed"))
+    return met.groupBy("plan_id").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(k) for k, c in faults.items()])
+
+
+def validate_plans(blocks: DataFrame, tasks: DataFrame, allowed: DataFrame, fixed: DataFrame, sleep: DataFrame, unscheduled: DataFrame, max_continuous: int = 90) -> DataFrame:
+    """A row for each plan with blocks: the checks of CHECKS, and passed. tasks, each once, and unscheduled have plan_id and task_id."""
+    faults = interval_faults(blocks, allowed, fixed, sleep).join(task_faults(blocks, tasks, unscheduled, max_continuous), "plan_id", "left")
+    of = dict(zip(CHECKS, ("overlap", "outside", "late", "lost", "short", "long", "asleep"), strict=True))
+    out = faults.select("plan_id", *[(~F.coalesce(F.col(c), F.lit(False))).alias(k) for k, c in of.items()])
+    return out.select("*", F.forall(F.array(*CHECKS), lambda x: x).alias("passed"))
 
 
 def plan_status(plans: DataFrame) -> DataFrame:

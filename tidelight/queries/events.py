@@ -242,7 +242,11 @@ def d1(spark, sf):
     return table(spark, sf, "events").select("event_id", text(times.parse_ts(written, b.P.zone)).alias("utc"))
 
 
-@query("d2_dst_safe_localize")
+# A wall-clock time of the zone as UTC, where it exists once: tried an hour to either side.
+_LOCAL = "u AS (SELECT *, local AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS t FROM l), n AS (SELECT *, {0} = local AND {1} <> local AND {2} <> local AS once FROM u)".format(*[f"(t + to_hours({h})) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York'" for h in (0, -1, 1)])
+
+
+@query("d2_dst_safe_localize", f"WITH l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2026-03-08 00:00:00' ELSE TIMESTAMP '2026-11-01 00:00:00' END + to_minutes(o_orderkey % 240) AS local FROM orders), {_LOCAL} SELECT o_orderkey, {st('local')} AS local, {st('CASE WHEN once THEN t END')} AS utc FROM n")
 def d2(spark, sf):
     """Order dates moved onto the two days a year on which the zone's clock jumps."""
     hour = (F.col("o_orderkey") % 240) * 60
@@ -251,7 +255,7 @@ def d2(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text(local).alias("local"), text(times.localize(local, b.P.zone)).alias("utc"))
 
 
-@query("d3_shift_local_days")
+@query("d3_shift_local_days", f"WITH a AS (SELECT o_orderkey, o_orderdate + to_hours(o_orderkey % 24) AS at_utc FROM orders), l AS (SELECT *, at_utc AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' + INTERVAL 100 DAY AS local FROM a), {_LOCAL} SELECT o_orderkey, {st('at_utc')} AS utc, {st('CASE WHEN once THEN t END')} AS shifted FROM n")
 def d3(spark, sf):
     at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3600)
     return table(spark, sf, "orders").select("o_orderkey", text(at).alias("utc"), text(times.shift_days(at, 100, b.P.zone)).alias("shifted"))
