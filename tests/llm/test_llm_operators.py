@@ -860,6 +860,35 @@ def test_two_licence_files_ties_and_repeats(spark):
 # Pipeline
 
 
+def test_pipeline_of_odd_and_empty_documents(spark, odd, empty):
+    """Null ids and texts, a long text, repeated rows, and columns with names that stages use."""
+    import corpus_pipeline
+
+    for docs, want in ((odd, [(4, True), (6, True), (8, True), (None, True)]), (empty, [])):
+        first = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DATA)
+            assert name == "byte_bpe" or out.columns == first
+            docs = store.written(out, "odd")
+        got = docs.collect()
+        assert sorted(((r.doc_id, r.n_tokens > 0) for r in got), key=str) == want
+        if got:
+            assert all(r.row_key == r.block == "own" for r in got)
+
+
+def test_topk_of_repeated_ids_queries_and_large_components(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [-1.0, 0.0]), (3, [4.0, 0.5]), (4, [1e9, -1e9]), (5, [float("inf"), 0.0]), (6, None), (7, [])]
+    v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    plain = [(r.vec_id, list(r.v)) for r in v.collect()]
+    queries = v.filter("vec_id IN (1, 2)").unionAll(v.filter("vec_id = 1"))
+    got = {}
+    for r in topk.top_k(queries, v, 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, own in ((1, [1024, 2048]), (2, [1024, 2048])):
+        scores = sorted(((sum(a * b for a, b in zip(own, x, strict=False)), i) for i, x in plain if i != q), key=lambda s: (-s[0], s[1]))[:3]
+        assert sorted(got[q]) == [(k + 1, i, s) for k, (s, i) in enumerate(scores)]
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     import corpus_pipeline
 
