@@ -81,12 +81,12 @@ def test_what_layers_carry_is_bounded(spark):
     df, root = days_of_events(spark), new_path(spark, "layers")
     each = streams.layers_batch(root, HOURLY, 120)
     seconds = F.unix_micros("event_time") / 1_000_000 - T0.replace(tzinfo=dt.UTC).timestamp()
-    cuts = [0, 40_000, 90_001, 130_000, 170_000, 200_000, 240_000, 290_000, 4 * 86_400]
+    cuts = [0, 40_000, 90_001, 170_000, 250_000, 4 * 86_400]
     carried = []
     for k, (a, b) in enumerate(itertools.pairwise(cuts)):
         batch = df.filter((seconds >= a) & (seconds < b))
         each(batch, k)
-        if k == 3:
+        if k == 2:
             each(batch, k)  # a replay
         carried.append({name: spark.read.parquet(f"{root}/carry/{name}/{k}").count() for name in ("rows", "buckets", "windows", "progress")})
     end = F.lit(T0 + dt.timedelta(seconds=4 * 86_400 - 1200 + 300 - 120))
