@@ -37,16 +37,16 @@ UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|yd|yards|mi|mile|miles|mg|g|kg|lb|lbs
 
 # Patterns begin with a look at the character itself, which rules out most places at once.
 _NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},'\)] )(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
-_NUMBER = r"(?=[\(\p{Sc}+\-\d])(?<!\S)([\(\p{Sc}]?[+-]?\d[\d.,:/]*%?)(?=[\s;!?\)]|$)"
 _UNIT = rf"(\x02num\S*\s)((?i:{UNITS}|currencysign))(?=[\s.,;:!?\)]|$)"
 # English number words. Runs of them are one number, as runs of capitalised words are one name.
 NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
-_WORD_NUMBER = rf"([\s(\"'-])(?=[efhmnostbEFHMNOSTB])((?i:{NUMBER_WORDS}))(?=[\s.,;:!?)\"'-]|$)"
-_NUMBER_RUN = r"(?<=\x02num\x03[A-Za-z]{3,12})[ -](?:and )?\x02num\x03(?=[A-Za-z])"
-_NAME_RUN = r" (?<=\x02(?:name|start)\x03[^ ]{2,60} )\x02name\x03"
+# A number in digits between spaces, or in a word after a space, bracket, quote or hyphen.
+_NUMBER = rf"([\s(\"'-])(?=[^acdgijklpqruvwxyzACDGIJKLPQRUVWXYZ])(?:(?<=\s)([\(\p{{Sc}}]?[+-]?\d[\d.,:/]*%?)(?=[\s;!?\)]|$)|((?i:{NUMBER_WORDS}))(?=[\s.,;:!?)\"'-]|$))"
+_NUMBER_RUN = r"(?<=\x02num\x03[A-Za-z]{3,12}[ -])(?:and )?\x02num\x03(?=[A-Za-z])"
+_NAME_RUN = r"(?<=\x02(?:name|start)\x03[^ ]{2,60} )\x02name\x03"
+_BEFORE_RUN = r"[ -](?=(?:and )?\x02)"
 # A sign before or after a number is a unit after it.
-_SIGN_FIRST = r"(?=\p{Sc})(?<!\S)\p{Sc}\s?(\d[\d.,]*)"
-_SIGN_LAST = r"(\d)\s?\p{Sc}(?=[\s.,;:!?\)]|$)"
+_SIGN = r"(?=[\p{Sc}\d])(?:(?<!\S)\p{Sc}\s?(\d[\d.,]*)|(\d)\s?\p{Sc}(?=[\s.,;:!?\)]|$))"
 
 
 _START = r"(?=\p{Lu}\p{Ll})(?<=(?:^|\s)[\"'“‘„«(\[]{0,2})(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
@@ -57,17 +57,13 @@ def canonical(text: Column, runs: bool = True) -> Column:
     """A text's words with a space between; placeholders (num, unit, name, start) keep what they stand for after \\x03.
     Without runs each capitalised word is a name of its own."""
     text = F.regexp_replace(F.concat(F.lit(" "), text), _SPACES, " ")
-    text = F.regexp_replace(text, _SIGN_FIRST, "$1 currencysign")
-    text = F.regexp_replace(text, _SIGN_LAST, "$1 currencysign")
-    text = F.regexp_replace(text, _NUMBER, "\x02num\x03$1")
-    text = F.regexp_replace(text, _WORD_NUMBER, "$1\x02num\x03$2")
-    text = F.regexp_replace(text, _NUMBER_RUN, "")
+    text = F.regexp_replace(text, _SIGN, "$1$2 currencysign")
+    text = F.regexp_replace(text, _NUMBER, "$1\x02num\x03$2$3")
     text = F.regexp_replace(text, _UNIT, "$1\x02unit\x03$2")
     text = F.regexp_replace(text, _NAME, "\x02name\x03$1")
     text = F.regexp_replace(text, _START, "\x02start\x03$1")
-    if runs:
-        text = F.regexp_replace(text, _NAME_RUN, "")
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s\x02\x03]+", "")
+    text = F.regexp_replace(text, f"{_BEFORE_RUN}(?:{_NUMBER_RUN}|{_NAME_RUN})" if runs else f"{_BEFORE_RUN}{_NUMBER_RUN}", "")
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9 \p{L}\p{N}\s\x02\x03]+", "")
 
 
 def _words(text: Column) -> Column:
