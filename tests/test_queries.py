@@ -53,3 +53,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_unscheduled_minutes_are_of_every_task(spark, duck):
+    """a16: no task's unscheduled minutes are left out of the sums."""
+    minutes = dict(duck.execute("SELECT o_orderkey, (CAST(floor(o_totalprice) AS BIGINT) % 300 + 15) // 2 FROM orders WHERE o_orderstatus <> 'F'").fetchall())
+    assert {r.task_id: r.unscheduled for r in registry.queries()["a16_study_minutes_by_task"](spark, DATA).collect()} == minutes

@@ -23,6 +23,8 @@ allowed AS (SELECT plan_id, day AS "start", day + INTERVAL 5 HOUR AS "end" FROM
 sleep AS (SELECT plan_id, plan_id || '-' || strftime(day, '%Y%m%d') AS interval_id, day + INTERVAL 5 HOUR AS "start", day + INTERVAL 390 MINUTE AS "end" FROM days),
 fixed AS (SELECT plan_id, block_id AS event_id, 'Event ' || l_partkey AS title, "start", "end" FROM blocks WHERE kind = 'fixed' AND l_linenumber <= 3),
 unscheduled AS (SELECT plan_id, task_id, remaining_minutes // 2 AS minutes FROM tasks WHERE NOT splittable)"""
+# Unscheduled minutes of every task.
+EVERY = f"{TASKS}, {BLOCKS}, unscheduled AS (SELECT plan_id, task_id, remaining_minutes // 2 AS minutes FROM tasks)"
 
 
 def tasks(spark, sf):
@@ -66,7 +68,7 @@ def fixed(bl):
 
 
 def unscheduled(ts):
-    return ts.filter("NOT splittable").select("plan_id", "task_id", F.floor(F.col("remaining_minutes") / 2).alias("minutes"))
+    return ts.select("plan_id", "task_id", F.floor(F.col("remaining_minutes") / 2).alias("minutes"))
 
 
 _MONTHS = "clocks AS (SELECT DISTINCT run_id, date_trunc('quarter', deadline) AS as_of FROM tasks)"
@@ -162,7 +164,7 @@ def j17(spark, sf):
     return validate.missing_blocks(sleep(bl).withColumn("kind", F.lit("study")), plan(bl)).select("plan_id", "interval_id")
 
 
-@query("a16_study_minutes_by_task", f"WITH {CAL}, g AS (SELECT task_id, sum(epoch(\"end\") - epoch(\"start\")) // 60 AS m FROM blocks WHERE kind = 'study' GROUP BY 1) SELECT t.task_id, CAST(coalesce(m, 0) AS BIGINT) AS scheduled, coalesce(minutes, 0) AS unscheduled, remaining_minutes AS remaining, CAST(coalesce(m, 0) AS BIGINT) + coalesce(minutes, 0) = remaining_minutes AS conserved FROM tasks t LEFT JOIN g USING (task_id) LEFT JOIN unscheduled u ON u.task_id = t.task_id WHERE status <> 'done'")
+@query("a16_study_minutes_by_task", f"WITH {EVERY}, g AS (SELECT task_id, sum(epoch(\"end\") - epoch(\"start\")) // 60 AS m FROM blocks WHERE kind = 'study' GROUP BY 1) SELECT t.task_id, CAST(coalesce(m, 0) AS BIGINT) AS scheduled, coalesce(minutes, 0) AS unscheduled, remaining_minutes AS remaining, CAST(coalesce(m, 0) AS BIGINT) + coalesce(minutes, 0) = remaining_minutes AS conserved FROM tasks t LEFT JOIN g USING (task_id) LEFT JOIN unscheduled u ON u.task_id = t.task_id WHERE status <> 'done'")
 def a16(spark, sf):
     ts = tasks(spark, sf)
     return validate.task_minutes(blocks(spark, sf), ts, unscheduled(ts))
@@ -236,13 +238,13 @@ plans AS (SELECT DISTINCT plan_id FROM blocks), v AS (SELECT plan_id, plan_id NO
 @query("i4_plan_validation", f"WITH {_VALID} SELECT *, no_overlap AND within_allowed AND deadlines_met AND minutes_conserved AND min_block_size AND max_continuous AND protected_sleep AS passed FROM v")
 def i4(spark, sf):
     bl, ts = blocks(spark, sf), tasks(spark, sf)
-    return validate.validate_plans(plan(bl), ts, allowed(bl), fixed(bl), sleep(bl), unscheduled(ts), 240)
+    return validate.validate_plans(plan(bl), ts, allowed(bl), fixed(bl), sleep(bl), unscheduled(ts.filter("NOT splittable")), 240)
 
 
 @query("i5_plan_status", f"WITH {CAL}, u AS (SELECT plan_id, count(*) AS n_unscheduled FROM unscheduled GROUP BY 1), p AS (SELECT plan_id, count(*) AS n_placed FROM blocks WHERE kind = 'study' GROUP BY 1), a AS (SELECT DISTINCT plan_id FROM blocks) SELECT plan_id, coalesce(n_unscheduled, 0) AS n_unscheduled, coalesce(n_placed, 0) AS n_placed, CASE WHEN n_unscheduled IS NULL THEN 'feasible' WHEN n_placed IS NOT NULL THEN 'partial' ELSE 'infeasible' END AS status FROM a LEFT JOIN u USING (plan_id) LEFT JOIN p USING (plan_id)")
 def i5(spark, sf):
     bl = blocks(spark, sf)
-    u = unscheduled(tasks(spark, sf)).groupBy("plan_id").agg(F.count(F.lit(1)).alias("u"))
+    u = unscheduled(tasks(spark, sf).filter("NOT splittable")).groupBy("plan_id").agg(F.count(F.lit(1)).alias("u"))
     p = bl.filter("kind = 'study'").groupBy("plan_id").agg(F.count(F.lit(1)).alias("p"))
     df = bl.select("plan_id").distinct().join(u, "plan_id", "left").join(p, "plan_id", "left").select("plan_id", F.coalesce("u", F.lit(0)).alias("n_unscheduled"), F.coalesce("p", F.lit(0)).alias("n_placed"))
     return validate.plan_status(df)
