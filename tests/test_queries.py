@@ -56,6 +56,8 @@ def test_entry(spark):
 
 
 def test_unscheduled_minutes_are_of_every_task(spark, duck):
-    """a16: no task's unscheduled minutes are left out of the sums."""
+    """a16, i5: no task's unscheduled minutes are left out of the sums and counts."""
     minutes = dict(duck.execute("SELECT o_orderkey, (CAST(floor(o_totalprice) AS BIGINT) % 300 + 15) // 2 FROM orders WHERE o_orderstatus <> 'F'").fetchall())
     assert {r.task_id: r.unscheduled for r in registry.queries()["a16_study_minutes_by_task"](spark, DATA).collect()} == minutes
+    tasks = dict(duck.execute("SELECT o_orderkey // 25, count(*) FROM orders GROUP BY 1").fetchall())
+    assert {r.plan_id: r.n_unscheduled for r in registry.queries()["i5_plan_status"](spark, DATA).collect()} == tasks

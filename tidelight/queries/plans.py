@@ -241,10 +241,10 @@ def i4(spark, sf):
     return validate.validate_plans(plan(bl), ts, allowed(bl), fixed(bl), sleep(bl), unscheduled(ts.filter("NOT splittable")), 240)
 
 
-@query("i5_plan_status", f"WITH {CAL}, u AS (SELECT plan_id, count(*) AS n_unscheduled FROM unscheduled GROUP BY 1), p AS (SELECT plan_id, count(*) AS n_placed FROM blocks WHERE kind = 'study' GROUP BY 1), a AS (SELECT DISTINCT plan_id FROM blocks) SELECT plan_id, coalesce(n_unscheduled, 0) AS n_unscheduled, coalesce(n_placed, 0) AS n_placed, CASE WHEN n_unscheduled IS NULL THEN 'feasible' WHEN n_placed IS NOT NULL THEN 'partial' ELSE 'infeasible' END AS status FROM a LEFT JOIN u USING (plan_id) LEFT JOIN p USING (plan_id)")
+@query("i5_plan_status", f"WITH {EVERY}, u AS (SELECT plan_id, count(*) AS n_unscheduled FROM unscheduled GROUP BY 1), p AS (SELECT plan_id, count(*) AS n_placed FROM blocks WHERE kind = 'study' GROUP BY 1), a AS (SELECT DISTINCT plan_id FROM blocks) SELECT plan_id, coalesce(n_unscheduled, 0) AS n_unscheduled, coalesce(n_placed, 0) AS n_placed, CASE WHEN n_unscheduled IS NULL THEN 'feasible' WHEN n_placed IS NOT NULL THEN 'partial' ELSE 'infeasible' END AS status FROM a LEFT JOIN u USING (plan_id) LEFT JOIN p USING (plan_id)")
 def i5(spark, sf):
     bl = blocks(spark, sf)
-    u = unscheduled(tasks(spark, sf).filter("NOT splittable")).groupBy("plan_id").agg(F.count(F.lit(1)).alias("u"))
+    u = unscheduled(tasks(spark, sf)).groupBy("plan_id").agg(F.count(F.lit(1)).alias("u"))
     p = bl.filter("kind = 'study'").groupBy("plan_id").agg(F.count(F.lit(1)).alias("p"))
     df = bl.select("plan_id").distinct().join(u, "plan_id", "left").join(p, "plan_id", "left").select("plan_id", F.coalesce("u", F.lit(0)).alias("n_unscheduled"), F.coalesce("p", F.lit(0)).alias("n_placed"))
     return validate.plan_status(df)
