@@ -128,8 +128,8 @@ def test_lean_batches_are_for_a_while(spark):
     spark.conf.set(keys[1], before[1])
 
 
-def test_links_of_large_clusters_are_marked(spark, monkeypatch):
-    """Near copies of one text, more than are verified together: groups are whole, and no count that is not of all links goes unmarked."""
+def test_links_of_large_clusters_are_complete(spark, monkeypatch):
+    """Near copies of one text, more than are verified together: groups are whole, and all links are counted."""
     monkeypatch.setattr(near_duplicates, "TEXTS", 32)
     rng = random.Random(21)
     base = [rng.choice(WORDS) for _ in range(120)]
@@ -145,9 +145,8 @@ def test_links_of_large_clusters_are_marked(spark, monkeypatch):
     sets = [set(near_duplicates.shingles(t).tolist()) for t in texts]
     for i, s in enumerate(sets):
         like = [j for j, o in enumerate(sets) if len(s & o) >= 0.8 * len(s | o)]
-        assert got[i].n_links == len(like) - 1 if got[i].links_complete else 0 < got[i].n_links <= len(like) - 1
+        assert got[i].n_links == got[i].n_text_links == len(like) - 1
         assert got[i].group_id == (0 if i < 100 else min(like))
-        assert got[i].links_complete == (i >= 100)
 
 
 @pytest.mark.parametrize("alice,numbers", [("Alice", "12 30 90"), ("Mary Ann", "12 30 90"), ("Bob", "7 45 81"), ("Alice", "twelve thirty ninety"), ("Mary Ann Lee", "seven forty-five eighty-one"), ("Alice", "one-hundred-and-two thirty ninety"), ("Alice", "12 $30 $90"), ("Bob", "12 30€ 90€"), ("ALL", "12 30 90")])
@@ -395,6 +394,31 @@ def test_a_star_keeps_its_rays(spark, monkeypatch):
     assert sum(g == want[i][1] for i, g in got.items()) >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("block,texts", [(8, 8), (2, 3), (2, 1000), (128, 1)])
+def test_no_link_is_lost_to_a_bound(spark, monkeypatch, block, texts):
+    """Whatever is compared together, classes, groups and all links are those of brute force."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "TEXTS", texts)
+    rows = near_rows(30, 60)
+    docs = docs_frame(spark, [(i, t, "en") for i, t in rows])
+    assert {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_duplicates.near_duplicates(docs).collect()} == brute_groups(rows)
+
+
+@pytest.mark.parametrize("few", [2, 3, 8])
+def test_similar_pairs_of_parts_equal_brute_force(monkeypatch, few):
+    monkeypatch.setattr(near_duplicates, "FEW", few)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate((rng.integers(0, 12, 14), rng.integers(0, 5000, rng.integers(1, 4))))).astype(np.uint64) for _ in range(40)]
+    want = np.array([[i != j and len(set(a) & set(b)) >= 0.6 * len(set(a) | set(b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert 0 < want.sum() < want.size / 2
+    assert (near_duplicates.similar_pairs(sets, 40, 0.6) == want).all()
+    for first in (1, 15, 39):
+        cross = (np.arange(40) < first)[:, None] != (np.arange(40) < first)
+        assert (near_duplicates.similar_pairs(sets, first, 0.6) == (want & cross)).all()
+    tree = near_duplicates.spanning(want)
+    assert all(want[i, j] for i, j in tree)
+
+
 def test_near_copies_of_odd_texts(spark, odd, empty):
     got = near_duplicates.near_duplicates(odd).collect()
     assert len(got) == odd.count()

@@ -5,18 +5,17 @@
 2. The representatives' MinHash values are cut into bands; representatives that agree in a band
    meet in that band's bucket. Bands and rows are chosen so that a pair at the threshold is met
    with the target recall.
-3. In a bucket, members are compared by one byte of each MinHash value, which tells pairs well
-   under the threshold; what may be similar is tied into clusters by a spanning forest of the
-   strongest ties, not by all pairs. A bucket of many members is dealt into blocks that are
-   compared within themselves and with the bucket's leaders, those of its members that are tied
-   to most others.
-4. In clusters of at most TEXTS texts all pairs are verified on their full shingle sets; in larger
-   ones each tie of the forest is. The verified links give the classes' components.
-
-So work and rows are linear in the size of a bucket or a cluster, and no task holds a group of any
-size. Links are counted per document: all of them in clusters of at most TEXTS different texts and
-SHINGLES shingles; in a larger cluster those that were verified, since counting all would compare all
-with all. links_complete tells which: where it is false, n_links and n_text_links are lower bounds.
+3. In a bucket of at most BLOCK members, they are compared by one byte of each MinHash value, which
+   tells pairs well under the threshold; what may be similar is tied into clusters by a spanning
+   forest, not by all pairs. All members of a larger bucket are tied to its first one.
+4. In every cluster all pairs are verified on their full shingle sets. A cluster of more than TEXTS
+   texts or SHINGLES shingles is dealt into parts, and each two parts, and each part with itself,
+   are a team, so that no task holds a group of any size and every pair meets in one team. The
+   verified links give the classes' components.
+
+So rows are linear in the size of a bucket, and a text of a large cluster is copied once a part.
+Comparing is quadratic in a cluster's different texts, as complete links demand, but on matrices:
+shingles that one text alone holds are left out, those of few are counted pair by pair.
 
 A document that holds no word, or has no id, is alone; a null id has null as its class and
 group. Texts of fewer than five words have one shingle, all their words. Equal rows are separate
@@ -44,10 +43,12 @@ from .store import lean_batches, released, table, written
 WORDS = 5
 #: MinHash values of a band. The bands follow from the threshold and the recall.
 ROWS = 6
-#: Members of a block of a bucket, and members that lead a bucket of more than one block.
-BLOCK, LEADERS = 128, 8
-#: Texts of a group that are verified together, and their shingles, which bound its memory where texts are long.
-TEXTS, SHINGLES = 512, 800_000
+#: Members of a bucket that are compared by sketches; those of larger ones are all verified.
+BLOCK = 128
+#: Texts of a part of a cluster, and their shingles, which bound its memory where texts are long.
+TEXTS, SHINGLES = 1024, 800_000
+#: Texts that hold a shingle, up to which it is counted by pairs, not in a matrix.
+FEW = 8
 _WORD = re.compile(r"\w+")
 
 
@@ -152,21 +153,18 @@ def grouped(keys: list[str], columns: list[str], each: Callable[[list[tuple]], l
     return run
 
 
-def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of pairs of 0..n-1, those that join what was apart."""
-    up, out = list(range(n)), []
-
-    def top(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for i, j in pairs:
-        a, b = top(i), top(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((i, j))
+def spanning(like: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    apart, out = np.ones(len(like), bool), []
+    for root in range(len(like)):
+        todo = [root] if apart[root] else []
+        apart[root] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(like[i] & apart).tolist()
+            apart[new] = False
+            out += [(i, j) for j in new]
+            todo += new
     return out
 
 
@@ -191,110 +189,106 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bucket_edges(members: DataFrame, reps: DataFrame, near: float, sure: float) -> DataFrame:
-    """a, b: a spanning forest of each block of a bucket; members has bucket, block, node, degree (of leaders, else null)."""
+    """a, b: a spanning forest of each bucket; members has bucket and node."""
 
     def each(rows: list[tuple]) -> list[tuple]:
-        rows = sorted(rows, key=lambda r: (-(r[1] or 0), r[0]))
-        sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        rows = sorted(rows)
+        sketch = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
         return [(min(a, b), max(a, b)) for a, b in ((rows[i][0], rows[j][0]) for i, j in strongest(sketch, near, sure))]
 
-    keys = ["bucket", "block"]
-    # Sketches are fetched for members of crowded buckets alone.
-    rows = dealt(members.join(reps.select("node", "sketch"), "node").select(*keys, "node", "degree", "sketch"), keys)
-    return rows.mapInArrow(released(grouped(keys, ["node", "degree", "sketch"], each, [("a", pa.int64()), ("b", pa.int64())])), "a long, b long").distinct()
+    # Sketches are fetched for members of shared buckets alone.
+    rows = dealt(members.join(reps.select("node", "sketch"), "node").select("bucket", "node", "sketch"), ["bucket"])
+    return rows.mapInArrow(released(grouped(["bucket"], ["node", "sketch"], each, [("a", pa.int64()), ("b", pa.int64())])), "a long, b long").distinct()
 
 
 def cluster_edges(reps: DataFrame, near: float, sure: float) -> DataFrame:
-    """a, b: edges between representatives that may be similar, which tie what may be similar together.
-
-    A bucket is dealt into blocks by hash, anew in each band. Where it has more than one, a first
-    pass counts how many others each member is tied to; those with most (one for each of LEADERS
-    slots of a hash) lead the bucket, and sit in all of its blocks in the second pass.
-    """
+    """a, b: edges between representatives, which tie what may be similar together. No pair of a bucket that may be
+    similar is left apart: a bucket of more than BLOCK members is tied together whole, and verified later."""
     met = reps.select("node", F.explode("bands").alias("bucket"))
-    n = F.count(F.lit(1))
-    crowded = met.groupBy("bucket").agg(n.alias("n"), F.ceil(n / BLOCK).cast("int").alias("blocks")).filter("n > 1").drop("n")
-    members = written(met.join(crowded, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")), "bucket-members")
-    alone = members.withColumn("degree", F.lit(None).cast("long"))
-    edges = bucket_edges(alone.filter("blocks = 1"), reps, near, sure)
-    large = alone.filter("blocks > 1")
-    if not large.head(1):
-        return edges
-    tried = bucket_edges(large, reps, near, sure)
-    degrees = tried.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(n.alias("degree"))
-    degrees = written(degrees, "degrees")
-    slot = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
-    known = large.select("bucket", "node").join(degrees, "node")
-    leaders = known.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", "top.*")
-    led = large.drop("degree").join(leaders, ["bucket", "node"], "left")
-    places = F.when(F.col("degree").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    return edges.unionByName(bucket_edges(led.withColumn("block", F.explode(places)), reps, near, sure)).distinct()
-
-
-def similar_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """n x n, whether the sets' Jaccard similarity reaches the threshold."""
-    n, sizes = len(sets), np.array([len(s) for s in sets])
-    _, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(inverse, kind="stable")
-    inverse, owner = inverse[order], owner[order]
-    common = np.zeros((n, n), np.float32)
-    total, step = int(inverse[-1]) + 1, 4096
+    shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    members = written(met.join(shared, "bucket"), "bucket-members")
+    whole = members.filter(F.col("n") > BLOCK).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return bucket_edges(members.filter(F.col("n") <= BLOCK), reps, near, sure).unionByName(whole).distinct()
+
+
+def common_shingles(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """How many shingles each of the first sets shares with each of the others; all with all if all are the first."""
+    n, square = len(sets), first == len(sets)
+    m = n if square else n - first
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    held = np.concatenate(sets)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    counts = np.diff(np.concatenate((starts, [len(held)])))
+    each = np.repeat(counts, counts)
+    number = np.repeat(np.arange(len(counts)), counts)
+    few = (each > 1) & (each <= FEW)
+    col, own, pairs = number[few], owner[few], []
+    for shift in range(1, FEW):
+        met = col[shift:] == col[:-shift]
+        a, b = own[:-shift][met], own[shift:][met]
+        if not square:
+            cross = (a < first) & (b >= first)
+            a, b = a[cross], b[cross] - first
+        pairs.append(a * m + b)
+    common = np.bincount(np.concatenate(pairs), minlength=first * m).reshape(first, m).astype(np.float32)
+    if square:
+        common += common.T.copy()
+    many = each > FEW
+    col, own = (np.cumsum(counts > FEW) - 1)[number[many]], owner[many]
+    total, step = int(col[-1]) + 1 if len(col) else 0, 2048
     for low in range(0, total, step):
-        a, b = np.searchsorted(inverse, [low, low + step])
-        held = np.zeros((n, step), np.float32)
-        held[owner[a:b], inverse[a:b] - low] = 1
-        common += held @ held.T
-    return common >= threshold * (sizes[:, None] + sizes - common) - 1e-4
-
-
-def similar_to(sets: list[np.ndarray], one: int, threshold: float) -> np.ndarray:
-    """Whether each set's similarity to the one reaches the threshold."""
-    own = sets[one]
-    sizes = np.array([len(s) for s in sets])
-    at = [np.minimum(np.searchsorted(own, s), len(own) - 1) for s in sets]
-    common = np.array([np.count_nonzero(own[i] == s) for i, s in zip(at, sets, strict=True)])
-    return common >= threshold * (sizes + len(own) - common) - 1e-4
-
-
-def placed(edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """team, part, node, hub: who is verified with whom. A cluster of at most TEXTS texts and SHINGLES shingles is a
-    team without a hub. In larger ones every edge is verified: its end of more edges is the hub of a team, the other
-    ends are its spokes, dealt into parts of that size."""
-    n = F.count(F.lit(1))
-    sizes = wanted.groupBy("cluster").agg(F.ceil(F.greatest(n / TEXTS, F.sum("n_shingles") / SHINGLES)).cast("int").alias("parts"))
-    large = wanted.join(sizes.filter("parts > 1"), "cluster")
-    no = F.lit(False).alias("hub")
-    whole = wanted.join(sizes.filter("parts = 1"), "cluster").select(F.col("cluster").alias("team"), F.lit(0).alias("part"), "node", no)
-    degrees = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(n.alias("degree")).join(large.select("node", "n_shingles"), "node")
-    a, b = (degrees.select(F.col("node").alias(k), F.struct("degree", "node", "n_shingles").alias(f"of_{k}")) for k in "ab")
-    spokes = edges.join(a, "a").join(b, "b").select(F.greatest("of_a", "of_b").alias("hub"), F.least("of_a", "of_b").alias("spoke"))
-    spokes = spokes.select(F.col("hub.node").alias("team"), F.col("spoke.node").alias("node"), "spoke.n_shingles")
-    parts = spokes.groupBy("team").agg(F.ceil(F.greatest(n / TEXTS, F.sum("n_shingles") / SHINGLES)).cast("int").alias("parts"))
-    spokes = spokes.join(parts, "team").select("team", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", no)
-    hubs = spokes.select("team", "part").distinct().select("team", "part", F.col("team").alias("node"), F.lit(True).alias("hub"))
-    return whole.unionByName(spokes).unionByName(hubs)
+        i, j = np.searchsorted(col, [low, low + step])
+        grid = np.zeros((n, min(step, total - low)), np.float32)
+        grid[own[i:j], col[i:j] - low] = 1
+        common += grid @ grid.T if square else grid[:first] @ grid[first:].T
+    return common
+
+
+def similar_pairs(sets: list[np.ndarray], first: int, threshold: float) -> np.ndarray:
+    """n x n, symmetric: whether the sets' Jaccard similarity reaches the threshold, and one is of the first and the
+    other is not; of all pairs if all are the first."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    common = common_shingles(sets, first)
+    at = slice(0 if first == n else first, n)
+    like = np.zeros((n, n), bool)
+    like[:first, at] = common >= threshold * (sizes[:first, None] + sizes[at] - common) - 1e-4
+    if first < n:
+        like[first:, :first] = like[:first, first:].T
+    np.fill_diagonal(like, False)
+    return like
+
+
+def placed(wanted: DataFrame) -> DataFrame:
+    """wanted (node, cluster, n_shingles and more) with part and parts, by the size of its cluster."""
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / TEXTS, F.sum("n_shingles") / SHINGLES)).cast("int").alias("parts")
+    # At most one cluster for every TEXTS texts or SHINGLES shingles has parts.
+    large = wanted.groupBy("cluster").agg(parts).filter("parts > 1")
+    known = wanted.join(F.broadcast(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
 
 def verified(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """From members (team, part, node, hub, copies, set): (node, links, text_links) and edges (a, b) that tie what is linked."""
+    """From members (cluster, part, parts, node, copies, set): (node, links, text_links) of all pairs of each cluster, and edges (a, b) that tie what is linked."""
 
     def each(rows: list[tuple]) -> list[tuple]:
-        ids, copies = [r[0] for r in rows], np.array([r[2] for r in rows])
-        if hub := [i for i, r in enumerate(rows) if r[1]]:
-            like = np.zeros((len(rows), len(rows)), bool)
-            like[hub[0]] = like[:, hub[0]] = similar_to([np.frombuffer(r[3], np.uint64) for r in rows], hub[0], threshold)
-        else:
-            like = similar_pairs([np.frombuffer(r[3], np.uint64) for r in rows], threshold)
-        np.fill_diagonal(like, False)
-        tree = forest(len(ids), zip(*(x.tolist() for x in np.nonzero(np.triu(like))), strict=True))
-        out = [(ids[i], None, n, m) for i, (n, m) in enumerate(zip((like @ copies).tolist(), like.sum(1).tolist(), strict=True)) if m]
-        return out + [(ids[i], ids[j], 0, 0) for i, j in tree]
-
-    keys, columns = ["team", "part"], ["node", "hub", "copies", "set"]
+        rows = sorted(rows, key=lambda r: r[0])
+        ids, copies, sets = [r[1] for r in rows], np.array([r[2] for r in rows], np.float64), [np.frombuffer(r[3], np.uint64) for r in rows]
+        if rows[0][4] != rows[0][5] and rows[0][0] == rows[-1][0]:
+            return []  # one of the two parts is empty
+        like = similar_pairs(sets, sum(r[0] == rows[0][0] for r in rows), threshold)
+        out = [(ids[i], None, int(n), m) for i, (n, m) in enumerate(zip((like @ copies).tolist(), like.sum(1).tolist(), strict=True)) if m]
+        return out + [(ids[i], ids[j], 0, 0) for i, j in spanning(like)]
+
+    # Each two parts meet in one team, and each part with itself.
+    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    teams = other.select("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "copies", "set")
+    keys, columns = ["cluster", "low", "high"], ["part", "node", "copies", "set", "low", "high"]
     out = [("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("text_links", pa.int64())]
-    found = dealt(members.select(*keys, *columns), keys).mapInArrow(released(grouped(keys, columns, each, out)), "a long, b long, links long, text_links long")
-    found = written(found, "verified")
+    found = dealt(teams, keys).mapInArrow(released(grouped(keys, columns, each, out)), "a long, b long, links long, text_links long")
+    with lean_batches(members.sparkSession):
+        found = written(found, "verified")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     return counts, found.filter("b IS NOT NULL").select("a", "b")
 
@@ -335,28 +329,24 @@ def near_rows(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -
     wanted = written(wanted, "cluster-members")
     # Most documents are in no cluster: their texts are told apart before the shuffle.
     texts, _ = split_by(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("row_key").alias("node"), "text"), "node", wanted, "node")
-    teams = written(placed(edges, wanted), "teams")
-    texts = texts.dropDuplicates(["node"]).join(teams.join(wanted.select("node", "copies"), "node"), "node")
+    texts = texts.dropDuplicates(["node"]).join(placed(wanted).drop("n_shingles"), "node")
     counts, links = verified(shingle_sets(texts), threshold)
-    partial = teams.filter("hub").select("team").distinct()
-    partial = teams.join(partial, "team").select("node", F.lit(False).alias("whole")).distinct()
     linked = written(components(links).join(classes.select("node", "class_id"), "node"), "linked")
     groups = linked.groupBy("root").agg(F.min(F.struct("class_id", "node")).alias("least"))
     groups = linked.join(groups, "root").select("node", F.col("least.class_id").alias("group_id"), F.col("least.node").alias("group_key"))
 
-    by_class = classes.join(counts, "node", "left").join(groups, "node", "left").join(partial, "node", "left")
-    by_class = by_class.select("digest", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group_key", "node").alias("group_key"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), F.coalesce("whole", F.lit(True)).alias("links_complete"))
-    known = signed.select("row_key", "doc_id", "digest").join(by_class, "digest").select("row_key", "group_key", "doc_id", "class_id", "group_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "n_text_links", "links_complete")
+    by_class = classes.join(counts, "node", "left").join(groups, "node", "left")
+    by_class = by_class.select("digest", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group_key", "node").alias("group_key"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"))
+    known = signed.select("row_key", "doc_id", "digest").join(by_class, "digest").select("row_key", "group_key", "doc_id", "class_id", "group_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "n_text_links")
     none = F.lit(0).cast("long")
-    alone = every.filter("digest IS NULL").select("row_key", F.col("row_key").alias("group_key"), "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), none.alias("n_links"), none.alias("n_text_links"), F.lit(True).alias("links_complete"))
+    alone = every.filter("digest IS NULL").select("row_key", F.col("row_key").alias("group_key"), "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), none.alias("n_links"), none.alias("n_text_links"))
     return known.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id (smallest id of the documents with an equal shingle set), group_id (smallest id of all
     that links join it with), n_links (other documents at or above the threshold, copies included),
-    n_text_links (of these, classes of other texts), links_complete (whether these counts are of all links, or of
-    those that were verified in a cluster of many texts)."""
+    n_text_links (of these, classes of other texts), in clusters of any size."""
     return near_rows(docs, threshold, recall).drop("row_key", "group_key")
 
 
