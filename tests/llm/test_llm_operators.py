@@ -402,6 +402,8 @@ def test_no_link_is_lost_to_a_bound(spark, monkeypatch, block, texts):
     rows = near_rows(30, 60)
     docs = docs_frame(spark, [(i, t, "en") for i, t in rows])
     assert {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_duplicates.near_duplicates(docs).collect()} == brute_groups(rows)
+    kept = {r.doc_id for r in near_duplicates.stage(spark, docs, DATA).collect()}
+    assert kept == {g for _, g, _ in brute_groups(rows).values()}
 
 
 @pytest.mark.parametrize("few", [2, 3, 8])
