@@ -953,6 +953,21 @@ def test_texts_need_not_come_back_from_python(spark, odd):
         assert Counter(map(tuple, short.collect())) == Counter(map(tuple, whole.drop("text").collect()))
 
 
+@pytest.mark.parametrize("scale", [1000, 2**27])
+def test_batches_of_queries_answer_as_each_alone(scale):
+    """Bounds of many queries at once, in floats and beyond 2^53, against all scores."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-scale, scale, (700, 12))
+    x[100:140] = x[100]  # ties
+    lists = topk.Lists(list(range(700)), x.tolist())
+    queries = [(i, x[i] if i else np.zeros(12, np.int64), None if i % 2 else int(x[i] @ x[i] // 4)) for i in range(0, 300, 7)]
+    for (i, q, floor), (ids, scores, depth) in zip(queries, lists.tops(queries, 5), strict=True):
+        want = sorted(((-int(v @ q), j) for j, v in enumerate(x) if j != i and (floor is None or v @ q >= floor)))[:5]
+        got = [(-s, j) for s, j in zip(scores.tolist(), ids.tolist(), strict=True)]
+        assert got[: len(want)] == want and 0 <= depth <= 1
+        assert (lists.top(i, q, 5, floor)[0] == ids).all()
+
+
 def test_small_batches_keep_a_smaller_setting(spark):
     from tidelight.llm.store import BATCH_ROWS, small_batches
 

@@ -3,11 +3,13 @@
 Components become floor(1024 * x), so scores are exact integers. Candidates are dealt into blocks
 of about BLOCK vectors; in a block every dimension has its list of candidates sorted by component.
 For a query each list is read from the end where its contributions are greatest, all lists in step
-and to growing depth. What is read is added to its candidate's sum and marked; entries are touched
-once. A candidate's upper bound adds the deepest value read for every list in which it was not yet
-seen, its lower bound the worst value of that list. Candidates whose upper bound is below the k-th
-best lower bound, or below the score that the query has to beat, are dropped; reading stops when few
-are left, and those alone get their final scores.
+and to growing depth. A candidate's upper bound is the sum of what was read of it and, for every list in
+which it was not yet seen, the deepest value read; its lower bound has the worst value of that list.
+Candidates whose upper bound is below the k-th best lower bound, or below the score that the query
+has to beat, are dropped; reading stops when few are left, and those alone get their final scores.
+All lists are read in step, so what was seen at a depth is the same for all queries that read from
+the same end, and the bounds of a batch of queries are matrix products with what is known of a
+block, in floats while all sums are whole numbers under 2^53.
 
 A block's lists are built once, and the queries are sent to it one by one: a first pass holds each
 query against one block, which gives the score to beat, a second one against all other blocks. So
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .store import table, written
 
 BLOCK = 4096
+#: Queries whose bounds are computed together.
+QUERIES = 128
 SCHEMA = "query_id long, vec_id long, score long, depth double"
 
 
@@ -53,34 +57,55 @@ class Lists:
         self.ids, self.x, self.n = np.array(ids, np.int64)[order], x[order], len(ids)
         self.order = np.argsort(self.x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.x, self.order, axis=0)
+        self.largest = max(abs(int(self.x.max(initial=0))), abs(int(self.x.min(initial=0))))
+
+    def bounds(self, depth: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Upper and lower bounds of each candidate's score for each query (a column of up, which reads lists from the top,
+        and of down) after so much was read."""
+        high = low = 0
+        read = (up, self.order[self.n - depth :], self.sorted[self.n - depth], self.sorted[0]), (down, self.order[:depth], self.sorted[depth - 1], self.sorted[-1])
+        for q, who, deepest, worst in read:
+            seen = np.zeros(self.x.shape, bool)
+            seen[who, np.arange(self.x.shape[1])] = True
+            high = high + np.where(seen, self.x, deepest).astype(q.dtype) @ q
+            low = low + np.where(seen, self.x, worst).astype(q.dtype) @ q
+        return high, low
 
     def top(self, q_id: int, q: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, float]:
-        """Ids and scores of the k best candidates that are not below the floor, ties to smaller ids; the share of the lists that was read."""
-        dims = np.flatnonzero(q[: self.x.shape[1]])
-        q, n = q[dims], self.n
-        up, down = dims[q > 0], dims[q < 0]
-        q = np.concatenate((q[q > 0], q[q < 0]))
-        left = np.flatnonzero(self.ids != q_id)
-        known, seen = np.zeros(n, np.int64), np.zeros((n, len(q)), bool)
-        worst = np.concatenate((self.sorted[0, up], self.sorted[-1, down])) * q
-        depth, step, columns = 0, max(k, n // 8), np.arange(len(q))
-        while depth < n and len(left) > 4 * k and len(q):
-            to = min(n, depth + step)
-            who = np.concatenate((self.order[n - to : n - depth, up], self.order[depth:to, down][::-1]), axis=1)
-            value = np.concatenate((self.sorted[n - to : n - depth, up], self.sorted[depth:to, down][::-1]), axis=1)
-            np.add.at(known, who, value * q)
-            seen[who, columns] = True
-            depth, step = to, step * 2
-            unseen = ~seen[left]
-            high, low = known[left] + unseen @ (value[0] * q), known[left] + unseen @ worst
-            bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else None
-            if floor is not None:
-                bar = floor if bar is None else max(bar, floor)
-            if bar is not None:
-                left = left[high >= bar]
-        score = self.x[np.ix_(left, np.concatenate((up, down)))] @ q
-        best = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][best], score[best], depth / n
+        return self.tops([(q_id, q, floor)], k)[0]
+
+    def tops(self, queries: list[tuple[int, np.ndarray, int | None]], k: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each query (id, vector, floor): ids and scores of the k best candidates that are not below the floor, ties to
+        smaller ids; the share of the lists that was read."""
+        n, width = self.n, self.x.shape[1]
+        q = np.zeros((len(queries), width), np.int64)
+        for i, (_, v, _) in enumerate(queries):
+            q[i, : len(v)] = v[:width]
+        whole = width * max(1, self.largest) * max(int(q.max(initial=0)), -int(q.min(initial=0))) < 2**53
+        kind = np.float64 if whole else np.int64
+        up, down = np.maximum(q, 0).T.astype(kind), np.minimum(q, 0).T.astype(kind)
+        left = [np.flatnonzero(self.ids != i) for i, _, _ in queries]
+        ends = [0] * len(queries)
+        reading = [i for i in range(len(queries)) if q[i].any() and len(left[i]) > 4 * k]
+        depth, step = 0, max(k, n // 8)
+        while depth < n and reading:
+            depth, step = min(n, depth + step), step * 2
+            high, low = self.bounds(depth, up[:, reading], down[:, reading])
+            for at, i in enumerate(reading):
+                floor, own = queries[i][2], low[left[i], at]
+                bar = np.partition(own, len(own) - k)[len(own) - k] if len(own) >= k else None
+                if floor is not None:
+                    bar = floor if bar is None else max(bar, floor)
+                if bar is not None:
+                    left[i] = left[i][high[left[i], at] >= bar]
+                ends[i] = depth
+            reading = [i for i in reading if len(left[i]) > 4 * k]
+        out = []
+        for i, who in enumerate(left):
+            score = self.x[who] @ q[i]
+            best = np.lexsort((self.ids[who], -score))[:k]
+            out.append((self.ids[who][best], score[best], ends[i] / n))
+        return out
 
 
 def in_blocks(rows: DataFrame, k: int) -> DataFrame:
@@ -88,22 +113,34 @@ def in_blocks(rows: DataFrame, k: int) -> DataFrame:
     rows has block, of (0: a candidate, 1: a query), vec_id, v and floor."""
 
     def run(batches):
-        own, ids, vectors, lists = None, [], [], None
-        for batch in batches:
+        own, ids, vectors, lists, asked = None, [], [], None, []
+
+        def answers():
+            """The rows of the queries that wait for their block."""
             out = [[], [], [], []]
+            for (i, _, _), (found, scores, depth) in zip(asked, lists.tops(asked, k), strict=True):
+                for x, more in zip(out, ([i] * len(found), found.tolist(), scores.tolist(), [depth] * len(found)), strict=True):
+                    x += more
+            asked.clear()
+            kinds = [pa.int64()] * 3 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score", "depth"])
+
+        for batch in batches:
             for block, of, i, v, floor in zip(*(batch.column(c).to_pylist() for c in ("block", "of", "vec_id", "v", "floor")), strict=True):
                 if block != own:
+                    if asked:
+                        yield answers()
                     own, ids, vectors, lists = block, [], [], None
                 if not of:
                     ids.append(i)
                     vectors.append(v)
                 elif ids:
                     lists = lists or Lists(ids, vectors)
-                    found, scores, depth = lists.top(i, np.array(v, np.int64), k, floor)
-                    for x, more in zip(out, ([i] * len(found), found.tolist(), scores.tolist(), [depth] * len(found)), strict=True):
-                        x += more
-            kinds = [pa.int64()] * 3 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score", "depth"])
+                    asked.append((i, np.array(v, np.int64), floor))
+                    if len(asked) == QUERIES:
+                        yield answers()
+        if asked:
+            yield answers()
 
     return rows.repartition("block").sortWithinPartitions("block", "of").mapInArrow(run, SCHEMA)
 
