@@ -968,6 +968,16 @@ def test_batches_of_queries_answer_as_each_alone(scale):
         assert (lists.top(i, q, 5, floor)[0] == ids).all()
 
 
+def test_a_merge_looks_up_its_new_pairs_at_once(monkeypatch):
+    replay = bpe.MergeReplay(bpe.read_ranks(bpe.rank_file()[0]))
+    calls, rank = [], replay.rank
+    monkeypatch.setattr(replay, "rank", lambda left, right: calls.append(len(left)) or rank(left, right))
+    word = b"abracadabrantesquely" * 3
+    (ids,) = replay.encode([word])
+    assert replay.decode(ids) == word
+    assert len(calls) == 1 + len(word) - len(ids) // 4  # of one word, a merge is a round
+
+
 def test_small_batches_keep_a_smaller_setting(spark):
     from tidelight.llm.store import BATCH_ROWS, small_batches
 

@@ -36,7 +36,7 @@ from .language_id import pa_schema
 from .store import lean_batches, released, table, written
 
 #: Bounds of a task's memory: characters of a block of documents, words kept from earlier blocks.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 2_000_000
 CACHED_WORDS = 200_000
 WORDS_AT_ONCE = 50_000
 
@@ -151,11 +151,12 @@ class MergeReplay:
             tail = after >= 0
             prv[after[tail]] = at[tail]
             pair[at] = -1
-            pair[at[tail]] = self.rank(sym[at[tail]], sym[after[tail]])
             before = prv[at]
             head = before >= 0
-            pair[before[head]] = self.rank(sym[before[head]], sym[at[head]])
-            post(np.concatenate((at[tail], before[head])))
+            # A word is merged in one place a round, so these pairs don't meet.
+            left = np.concatenate((at[tail], before[head]))
+            pair[left] = self.rank(sym[left], sym[np.concatenate((after[tail], at[head]))])
+            post(left)
         ids = sym[alive].astype("<u4")
         counts = np.bincount(word[alive], minlength=n)
         stops = (np.cumsum(counts) * 4).tolist()
