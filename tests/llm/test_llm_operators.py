@@ -406,6 +406,32 @@ def test_no_link_is_lost_to_a_bound(spark, monkeypatch, block, texts):
     assert kept == {g for _, g, _ in brute_groups(rows).values()}
 
 
+def test_no_pair_of_a_bucket_is_dropped_by_an_estimate(spark):
+    """Similarity is 0.8, and the texts share a band, but only 0.671 of their MinHash values."""
+    shared = " ".join(f"a90b{k}" for k in range(12))
+    rows = [(1, f"{shared} x"), (2, f"{shared} y0")]
+    docs = docs_frame(spark, [(i, t, "en") for i, t in rows])
+    want = {1: (1, 1, 1), 2: (2, 1, 1)}
+    assert brute_groups(rows) == want
+    assert {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_duplicates.near_duplicates(docs).collect()} == want
+    assert [r.doc_id for r in near_duplicates.stage(spark, docs, DATA).collect()] == [1]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_bitmaps_drop_no_similar_pair(threshold):
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**63, rng.integers(1, 6000), dtype=np.uint64)
+        for share in (1, 0.95, 0.9, 0.85, 0.8, 0.5, 0.35):
+            other = rng.integers(0, 2**63, rng.integers(0, 1 + len(base) // 20), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate((base[: math.ceil(len(base) * share)], other))))
+    want = near_duplicates.similar_pairs(sets, len(sets), threshold)
+    got = near_duplicates.may_link(np.array([len(s) for s in sets]), [near_duplicates.parity(s) for s in sets], threshold)
+    assert want.any() and not (want & ~got).any()
+    assert (got == got.T).all() and (threshold < 0.8 or got.sum() < 1.5 * want.sum())
+
+
 @pytest.mark.parametrize("few", [2, 3, 8])
 def test_similar_pairs_of_parts_equal_brute_force(monkeypatch, few):
     monkeypatch.setattr(near_duplicates, "FEW", few)

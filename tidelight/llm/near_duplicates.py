@@ -5,9 +5,10 @@
 2. The representatives' MinHash values are cut into bands; representatives that agree in a band
    meet in that band's bucket. Bands and rows are chosen so that a pair at the threshold is met
    with the target recall.
-3. In a bucket of at most BLOCK members, they are compared by one byte of each MinHash value, which
-   tells pairs well under the threshold; what may be similar is tied into clusters by a spanning
-   forest, not by all pairs. All members of a larger bucket are tied to its first one.
+3. In a bucket of at most BLOCK members, they are compared by a bitmap of each shingle set, which
+   shows that most pairs under the threshold are, and never that another is; what it leaves is tied
+   into clusters by a spanning forest, not by all pairs. All members of a larger bucket are tied to
+   its first one. So no pair that meets in a bucket is dropped on an estimate or by a cap.
 4. In every cluster all pairs are verified on their full shingle sets. A cluster of more than TEXTS
    texts or SHINGLES shingles is dealt into parts, and each two parts, and each part with itself,
    are a team, so that no task holds a group of any size and every pair meets in one team. The
@@ -43,8 +44,10 @@ from .store import lean_batches, released, table, written
 WORDS = 5
 #: MinHash values of a band. The bands follow from the threshold and the recall.
 ROWS = 6
-#: Members of a bucket that are compared by sketches; those of larger ones are all verified.
+#: Members of a bucket that are compared by bitmaps; those of larger ones are all verified.
 BLOCK = 128
+#: Bits of the smallest bitmap; longer texts have at least a bit for each shingle.
+BITS = 1024
 #: Texts of a part of a cluster, and their shingles, which bound its memory where texts are long.
 TEXTS, SHINGLES = 1024, 800_000
 #: Texts that hold a shingle, up to which it is counted by pairs, not in a matrix.
@@ -108,8 +111,37 @@ class MinHash:
         return h.view(np.int64)
 
 
+def parity(sh: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: whether an odd number of shingles falls to each bit. Bits of two sets differ at no more
+    places than the sets have shingles apart, also once the larger bitmap is folded to the smaller one's length."""
+    bits = max(BITS, 1 << (len(sh) - 1).bit_length())
+    odd = np.bincount((sh & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
+
+
+def may_link(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: float) -> np.ndarray:
+    """n x n: whether bitmaps and sizes leave it open that the sets' Jaccard similarity reaches the threshold."""
+    # At the threshold, (1 - t) / (1 + t) of both sets' shingles are apart; similar_pairs has the same tolerance.
+    most = (sizes[:, None] + sizes) * ((1 - threshold) / (1 + threshold)) + 2e-4
+    like = np.abs(sizes[:, None] - sizes) <= most
+    lengths = np.array([len(b) for b in bitmaps])
+    apart = np.zeros(like.shape, np.int64)
+    for words in np.unique(lengths):  # those of two long sets are compared again, unfolded
+        at = np.flatnonzero(lengths >= words)
+        own = np.stack([folded(bitmaps[i], words) for i in at])
+        for i, bits in zip(at, own, strict=True):
+            apart[i, at] = np.bitwise_count(own ^ bits).sum(1)
+    like &= apart <= most
+    np.fill_diagonal(like, False)
+    return like
+
+
 def signatures(docs: DataFrame, minhash: MinHash) -> DataFrame:
-    """row_key, doc_id, digest of the shingle set, n_shingles, bands, sketch (a byte of each MinHash value); all but the key and the id are null without a word or an id."""
+    """row_key, doc_id, digest of the shingle set, n_shingles, bands, bitmap (parity); all but the key and the id are null without a word or an id."""
 
     def run(batches):
         for batch in batches:
@@ -119,12 +151,12 @@ def signatures(docs: DataFrame, minhash: MinHash) -> DataFrame:
                     rows.append((key, doc_id, None, None, None, None))
                 else:
                     v = minhash.values(sh)
-                    rows.append((key, doc_id, xxhash.xxh3_128_digest(sh.tobytes()), len(sh), minhash.band_hashes(v), mixed(v.astype(np.uint64)).astype(np.uint8).tobytes()))
+                    rows.append((key, doc_id, xxhash.xxh3_128_digest(sh.tobytes()), len(sh), minhash.band_hashes(v), parity(sh).tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["row_key", "doc_id", "digest", "n_shingles", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["row_key", "doc_id", "digest", "n_shingles", "bands", "bitmap"])
         _words.clear()  # Python workers outlive their tasks
 
-    return docs.select("row_key", "doc_id", "text").mapInArrow(released(run), "row_key long, doc_id long, digest binary, n_shingles int, bands array<long>, sketch binary")
+    return docs.select("row_key", "doc_id", "text").mapInArrow(released(run), "row_key long, doc_id long, digest binary, n_shingles int, bands array<long>, bitmap binary")
 
 
 def grouped(keys: list[str], columns: list[str], each: Callable[[list[tuple]], list[tuple]], out: list[tuple[str, pa.DataType]]):
@@ -168,47 +200,31 @@ def spanning(like: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def strongest(sketch: np.ndarray, near: float, sure: float) -> list[tuple[int, int]]:
-    """A maximum spanning forest of the members whose sketches agree in a share of at least near. Shares above sure
-    count as equal, and among equals the earlier member is taken."""
-    n, out = len(sketch), []
-    apart, held, by = np.ones(n, bool), np.full(n, -1.0), np.zeros(n, np.int64)
-    for _ in range(n):
-        at = int(np.argmax(np.where(apart, held, -2.0)))
-        if held[at] >= 0:
-            out.append((int(by[at]), at))
-        apart[at] = False
-        share = np.minimum(((sketch == sketch[at]).mean(1) - 1 / 256) * (256 / 255), sure)
-        better = apart & (share >= near) & (share > held)
-        held[better], by[better] = share[better], at
-    return out
-
-
 def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def bucket_edges(members: DataFrame, reps: DataFrame, near: float, sure: float) -> DataFrame:
+def bucket_edges(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """a, b: a spanning forest of each bucket; members has bucket and node."""
 
     def each(rows: list[tuple]) -> list[tuple]:
         rows = sorted(rows)
-        sketch = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
-        return [(min(a, b), max(a, b)) for a, b in ((rows[i][0], rows[j][0]) for i, j in strongest(sketch, near, sure))]
+        like = may_link(np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], threshold)
+        return [(min(a, b), max(a, b)) for a, b in ((rows[i][0], rows[j][0]) for i, j in spanning(like))]
 
-    # Sketches are fetched for members of shared buckets alone.
-    rows = dealt(members.join(reps.select("node", "sketch"), "node").select("bucket", "node", "sketch"), ["bucket"])
-    return rows.mapInArrow(released(grouped(["bucket"], ["node", "sketch"], each, [("a", pa.int64()), ("b", pa.int64())])), "a long, b long").distinct()
+    # Bitmaps are fetched for members of shared buckets alone.
+    rows = dealt(members.join(reps.select("node", "n_shingles", "bitmap"), "node").select("bucket", "node", "n_shingles", "bitmap"), ["bucket"])
+    return rows.mapInArrow(released(grouped(["bucket"], ["node", "n_shingles", "bitmap"], each, [("a", pa.int64()), ("b", pa.int64())])), "a long, b long").distinct()
 
 
-def cluster_edges(reps: DataFrame, near: float, sure: float) -> DataFrame:
-    """a, b: edges between representatives, which tie what may be similar together. No pair of a bucket that may be
+def cluster_edges(reps: DataFrame, threshold: float) -> DataFrame:
+    """a, b: edges between representatives, which tie what may be similar together. No pair of a bucket that is
     similar is left apart: a bucket of more than BLOCK members is tied together whole, and verified later."""
     met = reps.select("node", F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
     members = written(met.join(shared, "bucket"), "bucket-members")
     whole = members.filter(F.col("n") > BLOCK).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    return bucket_edges(members.filter(F.col("n") <= BLOCK), reps, near, sure).unionByName(whole).distinct()
+    return bucket_edges(members.filter(F.col("n") <= BLOCK), reps, threshold).unionByName(whole).distinct()
 
 
 def common_shingles(sets: list[np.ndarray], first: int) -> np.ndarray:
@@ -321,9 +337,7 @@ def near_rows(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -
     first = signed.withColumnRenamed("row_key", "node").join(classes.select("digest", "node", "copies"), ["digest", "node"]).dropDuplicates(["node"])
     first = written(first.drop("doc_id"), "representatives")
 
-    # The estimate of a pair at the threshold has a standard error of sqrt(J(1-J)/values); four of them are allowed.
-    slack = 4 * math.sqrt(threshold * (1 - threshold) / (bands * ROWS))
-    edges = written(cluster_edges(first, threshold - slack, threshold + slack), "cluster-edges")
+    edges = written(cluster_edges(first, threshold), "cluster-edges")
     clusters = written(components(edges), "clusters")
     wanted = clusters.join(first.select("node", "copies", "n_shingles"), "node").select("node", F.col("root").alias("cluster"), "copies", "n_shingles")
     wanted = written(wanted, "cluster-members")
