@@ -557,6 +557,28 @@ def test_leaks_of_names_in_any_case_and_place(spark, text, changed):
     assert changed is None or (got[1, 1].changed_slots, got[1, 1].n_windows) == (changed, 14)
 
 
+def test_window_hashes_equal_those_of_slices(spark, odd):
+    rows = [(i, t, "en") for i, t in enumerate(["", "one two", "a b c d", "a b c d e", "We met Ann Lee  at 5\u2003km, or \u20ac30, she said. Then Bob left.", None])]
+    docs = docs_frame(spark, rows).unionByName(odd.select(*docs_frame(spark, rows).columns)).select("text", F.xxhash64("doc_id", "text").alias("row_key"))
+    texts = docs.select("row_key", decontaminate.canonical(F.col("text")).alias("t"))
+    read = texts.select("row_key", *decontaminate.readings(F.col("t"))[::2])
+    at = F.when(F.size("w0") >= 5, F.sequence(F.lit(1), F.size("w0") - 4))
+    plain = F.concat(F.transform(at, lambda i: F.xxhash64(F.slice("w0", i, 5))), F.transform(at, lambda i: F.xxhash64(F.slice("w2", i, 5))))
+    want = Counter((r.row_key, r.hash) for r in read.select("row_key", F.explode(plain).alias("hash")).collect())
+    assert want and Counter((r.row_key, r.hash) for r in decontaminate.window_hashes(docs).collect()) == want
+
+
+def test_number_words_and_spaces_equal_plain_patterns(spark):
+    number = decontaminate.NUMBER_WORDS.split("|")
+    trie, plain = (re.compile(rf"(?i:{p})(?=[ -]|$)") for p in (decontaminate.either(number), decontaminate.NUMBER_WORDS))
+    for word in [*number, *(w + x for w in number for x in ("s", "teen", "ty", "-", " ")), *(w[:-1] for w in number), "", "SixTy"]:
+        assert (m := trie.match(word)) == (n := plain.match(word)) or m[0] == n[0]
+    rng = random.Random(4)
+    texts = [("".join(rng.choice("aZ9~! \t\n\x02\x03\u00a0\u2003\u00e9") for _ in range(30)),) for _ in range(300)]
+    old = F.regexp_replace("text", r"[\s\p{Z}\x02\x03]{2,}|[\s\p{Z}\x02\x03&&[^ ]]", " ")
+    assert spark.createDataFrame(texts, "text string").filter(old != F.regexp_replace("text", decontaminate._SPACES, " ")).count() == 0
+
+
 def test_leak_stage_and_empty_tables(spark, odd, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(odd, bench).count() == 0

@@ -35,13 +35,25 @@ BROADCAST_ROWS = 1_000_000
 # Units that may follow a number.
 UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|yd|yards|mi|mile|miles|mg|g|kg|lb|lbs|oz|ml|l|liters|litres|s|sec|seconds|min|minutes|h|hr|hours|days|weeks|months|years|percent|dollars|euros|usd|eur|cents|mph|kmh|hz|khz|mhz|w|kw|v|degrees"
 
+
+def either(words: list[str]) -> str:
+    """A pattern for any of the words that tries no letter twice. What follows must tell a word from its beginnings."""
+    rests: dict[str, list[str]] = {}
+    for word in words:
+        rests.setdefault(word[:1], []).append(word[1:])
+    if len(rests) == 1:
+        ((letter, rest),) = rests.items()
+        return letter + either(rest) if letter else ""
+    return "(?:" + "|".join(letter + either(rest) if letter else "" for letter, rest in sorted(rests.items(), reverse=True)) + ")"
+
+
 # Patterns begin with a look at the character itself, which rules out most places at once.
 _NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},'\)] )(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
 _UNIT = rf"(\x02num\S*\s)((?i:{UNITS}|currencysign))(?=[\s.,;:!?\)]|$)"
 # English number words. Runs of them are one number, as runs of capitalised words are one name.
 NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
 # A number in digits between spaces, or in a word after a space, bracket, quote or hyphen.
-_NUMBER = rf"([\s(\"'-])(?=[^acdgijklpqruvwxyzACDGIJKLPQRUVWXYZ])(?:(?<=\s)([\(\p{{Sc}}]?[+-]?\d[\d.,:/]*%?)(?=[\s;!?\)]|$)|((?i:{NUMBER_WORDS}))(?=[\s.,;:!?)\"'-]|$))"
+_NUMBER = rf"([\s(\"'-])(?=[^acdgijklpqruvwxyzACDGIJKLPQRUVWXYZ])(?:(?![a-zA-Z])(?<=\s)([\(\p{{Sc}}]?[+-]?\d[\d.,:/]*%?)(?=[\s;!?\)]|$)|((?i:{either(NUMBER_WORDS.split("|"))}))(?=[\s.,;:!?)\"'-]|$))"
 _NUMBER_RUN = r"(?<=\x02num\x03[A-Za-z]{3,12}[ -])(?:and )?\x02num\x03(?=[A-Za-z])"
 _NAME_RUN = r"(?<=\x02(?:name|start)\x03[^ ]{2,60} )\x02name\x03"
 _BEFORE_RUN = r"[ -](?=(?:and )?\x02)"
@@ -50,7 +62,7 @@ _SIGN = r"(?=[\p{Sc}\d])(?:(?<!\S)\p{Sc}\s?(\d[\d.,]*)|(\d)\s?\p{Sc}(?=[\s.,;:!?
 
 
 _START = r"(?=\p{Lu}\p{Ll})(?<=(?:^|\s)[\"'“‘„«(\[]{0,2})(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[\s.,;:!?\)]|$)"
-_SPACES = r"[\s\p{Z}\x02\x03]{2,}|[\s\p{Z}\x02\x03&&[^ ]]"
+_SPACES = r"(?! ?[!-~])(?:[\s\p{Z}\x02\x03]{2,}|[\s\p{Z}\x02\x03&&[^ ]])"
 
 
 def canonical(text: Column, runs: bool = True) -> Column:
@@ -63,7 +75,7 @@ def canonical(text: Column, runs: bool = True) -> Column:
     text = F.regexp_replace(text, _NAME, "\x02name\x03$1")
     text = F.regexp_replace(text, _START, "\x02start\x03$1")
     text = F.regexp_replace(text, f"{_BEFORE_RUN}(?:{_NUMBER_RUN}|{_NAME_RUN})" if runs else f"{_BEFORE_RUN}{_NUMBER_RUN}", "")
-    return F.regexp_replace(F.lower(text), r"[^a-z0-9 \p{L}\p{N}\s\x02\x03]+", "")
+    return F.regexp_replace(F.lower(text), r"(?=[^a-z ])[^a-z0-9 \p{L}\p{N}\s\x02\x03]+", "")
 
 
 def _words(text: Column) -> Column:
@@ -97,15 +109,18 @@ def _slots(words: Column, kept: str = "\x02") -> Column:
     return F.transform(F.filter(words, lambda w: w.startswith(kept)), lambda w: F.substring_index(w, "\x03", -1))
 
 
-def _hashes(words: str) -> Column:
-    return F.transform(_starts(F.col(words)), lambda i: F.xxhash64(F.slice(words, i, WORDS)))
+def _runs(words: str) -> Column:
+    """An array with a struct of five words for each place; those at the end are short of words, which are null."""
+    return F.arrays_zip(*(F.slice(words, k + 1, F.size(words)) for k in range(WORDS)))
 
 
 def window_hashes(docs: DataFrame) -> DataFrame:
     """row_key, hash: the hashes of the windows of each text, in both readings of a document."""
     literal, _, named = readings(F.col("t"))
     words = docs.select("row_key", canonical(F.col("text")).alias("t")).select("row_key", literal, named)
-    return words.select("row_key", F.explode(F.concat(_hashes("w0"), _hashes("w2"))).alias("hash"))
+    # Compiled, unlike a lambda over places; the hash of five columns is that of an array of them.
+    runs = words.select("row_key", F.inline(F.concat(_runs("w0"), _runs("w2"))))
+    return runs.filter(F.col(f"{WORDS - 1}").isNotNull()).select("row_key", F.xxhash64(*map(str, range(WORDS))).alias("hash"))
 
 
 def _windows(df: DataFrame, *keys: str, names: bool = False, text: Column | None = None) -> DataFrame:
