@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -139,3 +140,31 @@ def test_variability_is_of_segments_without_a_gap(spark, shard):
     for r, (clean, rmssd, sdnn) in zip(got[:-1], want, strict=True):
         assert r.clean == clean and (r.rmssd, r.sdnn) == (pytest.approx(rmssd, abs=1e-7), pytest.approx(sdnn, abs=1e-9)), r
     assert sum(w[0] for w in want) > 100 and not got[-1].clean
+
+
+def slides(df):
+    """Whether a plan has a frame whose start moves with the row, which Spark sums up anew for each row."""
+    return re.search(r"specifiedwindowframe\(RangeFrame, -\d", df._jdf.queryExecution().analyzed().toString()) is not None
+
+
+def test_variability_adds_each_beat_once(spark):
+    """4,000 beats in a frame of 4,000, many at one time, before 1970 and around it, and two without a time."""
+    rng = random.Random(9)
+    beats = sorted((rng.randint(-2_000, 2_000), i, rng.uniform(0.6, 1.2)) for i in range(4_000))
+    beats = [(t, i, v) for i, (t, _, v) in enumerate(beats)]
+    zero = dt.datetime(1970, 1, 1)
+    rows = [("r", "a", zero + dt.timedelta(seconds=t), i, v) for t, i, v in beats] + [("r", "a", None, -k, 1.0) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "run_id string, participant_id string, event_time timestamp, source_row long, v double")
+    got = hrv.variability(df, seconds=4_000, max_gap_s=60)
+    assert not slides(got)
+    rows = got.orderBy("source_row").collect()
+    assert [r.clean for r in rows[:2]] == [None, None]
+    last = beats[-1][0]
+    for r, (t, _, _) in list(zip(rows[2:], beats, strict=True))[-500::50]:
+        own = [b for b in beats if t - 4_000 < b[0] <= t]
+        clean = own[0][0] - (t - 4_000) <= 60
+        assert clean == r.clean
+        if clean:
+            v = [b[2] for b in own]
+            assert (r.rmssd, r.sdnn) == (pytest.approx(math.sqrt(sum((b - a) ** 2 for a, b in itertools.pairwise(v)) / (len(v) - 1)), abs=1e-9), pytest.approx(statistics.stdev(v), abs=1e-9))
+    assert any(r.clean for r in rows if r.event_time is not None and (r.event_time - zero).total_seconds() == last)

@@ -3,6 +3,8 @@ range's edge is carried by small tables. Results equal those of one window a key
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,27 @@ def with_halo(df: DataFrame, time: str, reach_micros: int, seconds: int = SECOND
     return df.select("*", F.posexplode(shards).alias("_place", "_shard")).withColumn("_own", F.col("_place") == 0).drop("_place")
 
 
+def trailing(df: DataFrame, by: list[str], time: str, row: str, reach_micros: int, of: Callable[[Callable[[str | Column], Column]], dict[str, Column]], seconds: int = SECONDS) -> DataFrame:
+    """df with _early and _late, structs of aggregates over the two parts of the frame that ends with a row and looks back by less
+    than the reach, its peers in time included. Time is cut into blocks as long as the reach, so a frame is the end of the block
+    before (_early) and the start of its own (_late), and each row is added to a running aggregate once a part, however many
+    rows a frame holds. of makes the aggregates from a function that gives a part's values, null for rows that are not of it;
+    in _late rows come by time, in _early by time and row from the last back to the frame's first. Rows without a time are one frame."""
+    at = F.unix_micros(time)
+    block = at - F.pmod(at, F.lit(reach_micros))
+    place = lambda block, early, stop: F.struct(block.alias("_block"), F.lit(early).alias("_copy"), stop.alias("_stop"))
+    # A copy of each row goes to the block after its own, where it is met by the rows whose frames begin before or at it.
+    places = F.array_compact(F.array(place(block, False, at - reach_micros + 1), F.when(at.isNotNull(), place(block + reach_micros, True, at))))
+    # A task has the rows of a shard, whose blocks are cut inside it.
+    rows = with_halo(df, time, reach_micros, seconds).repartition(*by, "_shard").select("*", F.inline(places))
+    key = [*by, "_shard", "_block"]
+    late = Window.partitionBy(*key, "_copy").orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    early = Window.partitionBy(*key).orderBy(F.desc("_stop"), F.desc("_copy"), F.desc(row)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = lambda copies, frame: F.struct(*[x.over(frame).alias(n) for n, x in of(lambda c: F.when(F.col("_copy") == copies, F.col(c) if isinstance(c, str) else c)).items()])
+    out = rows.withColumn("_early", part(True, early)).withColumn("_late", part(False, late))
+    return out.filter("_own AND NOT _copy").select(*df.columns, "_early", "_late")
+
+
 def top(df: DataFrame, by: list[str], order: list, n: int, shard: Column) -> DataFrame:
     """The first n rows of a key, by way of the first n of each shard."""
     place = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
