@@ -213,6 +213,16 @@ def test_as_of_takes_the_last_not_later_row(spark):
     assert nxt == {("a", 5): 6, ("a", 1): 2, ("b", 9): None}
 
 
+def test_next_after_reads_each_row_once(spark):
+    """Rows of one clock are one; nothing follows a clock or key that is null, and each frame grows by a row."""
+    left = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("a", 6, 3), ("a", None, 4), (None, 1, 5), ("c", 1, 6), ("a", -3, 7)], "k string, at int, id int")
+    right = spark.createDataFrame([("a", 6), ("a", 6), ("a", 2), ("a", None), (None, 3), ("b", 7)], "k string, t int")
+    df = readers.next_after(left, right, ["k"], "at", "t", "n")
+    assert df.columns == ["k", "at", "id", "n"]
+    assert {r.id: r.n for r in df.collect()} == {1: 6, 2: 6, 3: None, 4: None, 5: None, 6: None, 7: 2}
+    assert "unboundedfollowing" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_state_needs_a_reason_for_every_null(spark):
     q = '{"status":"limited","missing_reasons":{"physiological_load":"baseline_warmup"}}'
     rows = [(70.0, None, 0.1, 5, 0.2, q), (None, None, 0.1, 5, 0.2, q), (70.0, 1.5, 0.1, -5, 0.2, q)]

@@ -23,11 +23,15 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, righ
 
 
 def next_after(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, name: str) -> DataFrame:
-    """left with name: right's first right_at strictly after left_at."""
-    both = left.withColumns({"_at": F.col(left_at), "_kind": F.lit(1), "_x": F.lit(None)}).unionByName(right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_kind"), F.col(right_at).alias("_x")), allowMissingColumns=True)
-    # Rows at the clock's own time come before it, so what follows is later.
-    order = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn(name, F.first("_x", ignorenulls=True).over(order)).filter("_kind = 1").drop("_at", "_kind", "_x")
+    """left with name: right's first right_at strictly after left_at; null where left_at is, as with a null key. Rows of left meet
+    what follows their clock, of which there is a row for each key and clock, whatever the number of rows with that clock."""
+    times = right.select(*keys, F.col(right_at).alias("_at")).distinct().select("*", F.lit(0).alias("_kind"), F.col("_at").alias("_x"))
+    clocks = left.select(*keys, F.col(left_at).alias("_at")).distinct().withColumns({"_kind": F.lit(1), "_x": F.lit(None)})
+    # From the last row back, so that what was met last is what comes next. A clock comes before rows of its own time.
+    order = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = clocks.unionByName(times).dropna(subset=[*keys, "_at"]).withColumn(name, F.last("_x", ignorenulls=True).over(order)).filter("_kind = 1").select(*keys, F.col("_at").alias("_clock"), name)
+    met = left.alias("l").join(found.alias("f"), [*[F.col(f"l.{k}") == F.col(f"f.{k}") for k in keys], F.col(f"l.{left_at}") == F.col("f._clock")], "left")
+    return met.select("l.*", f"f.{name}")
 
 
 def state_as_of(gold: DataFrame, clocks: DataFrame) -> DataFrame:
