@@ -61,3 +61,13 @@ def test_unscheduled_minutes_are_of_every_task(spark, duck):
     assert {r.task_id: r.unscheduled for r in registry.queries()["a16_study_minutes_by_task"](spark, DATA).collect()} == minutes
     tasks = dict(duck.execute("SELECT o_orderkey // 25, count(*) FROM orders GROUP BY 1").fetchall())
     assert {r.plan_id: r.n_unscheduled for r in registry.queries()["i5_plan_status"](spark, DATA).collect()} == tasks
+
+
+def test_places_that_repeat_are_taken_in_order_of_the_event(spark, duck, tmp_path):
+    """w2: events whose places repeat have one result, whatever the order of the rows in the table."""
+    path = f"{tmp_path}/events.parquet"
+    again = "SELECT event_id + 1000003 * i AS event_id, ts - to_days(i) AS ts, user_id, event_type, value, props FROM events, range(3) r(i)"
+    duck.execute(f"COPY (SELECT * FROM ({again}) ORDER BY event_id DESC) TO '{path}' (FORMAT parquet)")
+    got = {r.event_id: r.backwards for r in registry.queries()["w2_out_of_order_flag"](spark, str(tmp_path)).collect()}
+    sql = registry.oracle_sql()["w2_out_of_order_flag"].replace("% 1000003)", "% 1000003, event_id)").replace("FROM events", f"FROM '{path}'")
+    assert got == dict(duck.execute(sql).fetchall())

@@ -35,9 +35,10 @@ def flag_duplicates(df: DataFrame, by: list[str], time: str = "source_timestamp"
     return df.join(often, [*by, time], "left").withColumn("duplicate", F.col("_n").isNotNull()).drop("_n")
 
 
-def flag_order(df: DataFrame, by: list[str], time: str = "source_timestamp", row: str = "source_row", size: int = sharded.ROWS) -> DataFrame:
-    """backwards: whether the time lies before that of the previous physical row. A file's rows are dealt over tasks by ranges of places."""
-    out = sharded.previous(df, by, [row], [time], sharded.by_place(row, size), "_previous")
+def flag_order(df: DataFrame, by: list[str], time: str = "source_timestamp", row: str = "source_row", size: int = sharded.ROWS, then: tuple[str, ...] = ()) -> DataFrame:
+    """backwards: whether the time lies before that of the previous physical row. A file's rows are dealt over tasks by ranges of
+    places; where rows share a place, `then` puts them in order, without which any order of theirs may be met."""
+    out = sharded.previous(df, by, [row, *then], [time], sharded.by_place(row, size), "_previous")
     return out.withColumn("backwards", F.coalesce(F.col(time) < F.col(f"_previous.{time}"), F.lit(False))).drop("_previous")
 
 
