@@ -200,3 +200,32 @@ def test_the_session_keeps_its_settings(spark):
     with streams.settings(spark, {key: "other", "spark.tidelight.none": "x"}):
         assert spark.conf.get(key) == "other"
     assert spark.conf.get(key) == before and spark.conf.get("spark.tidelight.none", None) is None
+
+
+def test_a_run_has_no_limit_of_its_own(spark):
+    """However long a stream takes it is done; only a limit that the caller names stops it."""
+    waits = []
+
+    class Query:
+        def awaitTermination(self, *limit):  # noqa: N802
+            waits.append(limit)
+            return not limit or None
+
+        def stop(self):
+            waits.append("stopped")
+
+    class Writer:
+        sparkSession = spark  # noqa: N815
+        writeStream = property(lambda self: self)  # noqa: N815
+        outputMode = option = trigger = format = lambda self, *a, **k: self  # noqa: N815
+
+        def start(self):
+            return Query()
+
+    streams.run_available(Writer(), "checkpoint", "path")
+    assert waits == [()]
+    try:
+        streams.run_available(Writer(), "checkpoint", "path", timeout_s=1)
+    except TimeoutError:
+        waits.append("error")
+    assert waits == [(), (1,), "stopped", "error"]

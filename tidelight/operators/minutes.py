@@ -26,12 +26,14 @@ def coverage(n, expected: float):
     return F.least(F.coalesce(n, F.lit(0)) / expected, F.lit(1.0))
 
 
-def trailing_mean(df: DataFrame, column: str, seconds: float, time: str = "event_time", shard_s: int = sharded.SECONDS):
+def trailing_mean(df: DataFrame, column: str, seconds: float, time: str = "event_time", shard_s: int = sharded.SECONDS, row: str = "source_row"):
     """Mean over the seconds that end with a row, its peers at the same time included, those exactly so many seconds before
     not. An entity's rows are dealt over tasks by ranges of time, each with the rows that its first ones look back to."""
-    reach = int(seconds * 1_000_000)
-    frame = Window.partitionBy(*ENTITY, "_shard").orderBy(F.unix_micros(time)).rangeBetween(-reach + 1, 0)
-    return sharded.with_halo(df, time, reach, shard_s).withColumn("trailing", F.avg(column).over(frame)).filter("_own").drop("_own", "_shard")
+    of = lambda c: {"n": F.count(c(column)), "total": F.sum(c(column))}
+    met = sharded.trailing(df, ENTITY, time, row, int(seconds * 1_000_000), of, shard_s)
+    n = F.col("_early.n") + F.col("_late.n")
+    total = F.coalesce("_early.total", F.lit(0.0)) + F.coalesce("_late.total", F.lit(0.0))
+    return met.withColumn("trailing", F.when(n > 0, total / n)).drop("_early", "_late")
 
 
 def dynamic(rows: DataFrame, p: Params) -> DataFrame:

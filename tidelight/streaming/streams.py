@@ -17,14 +17,16 @@ from ..sources.layers import remove
 from .stateful import ROCKSDB
 
 
-def run_available(df: DataFrame, checkpoint: str, path: str | None = None, each: Callable | None = None, mode: str = "append", timeout_s: int = 600) -> None:
-    """Process what is there and stop. A query that takes longer than the timeout is stopped and is an error. State is kept in
-    RocksDB; the session's own setting is as it was before."""
+def run_available(df: DataFrame, checkpoint: str, path: str | None = None, each: Callable | None = None, mode: str = "append", timeout_s: int | None = None) -> None:
+    """Process what is there and stop, however long it takes; a query that takes longer than a given timeout is stopped and is an
+    error. State is kept in RocksDB; the session's own setting is as it was before."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)
     with settings(df.sparkSession, ROCKSDB):  # a query has a copy of the session as it is when it starts
         query = writer.start()
-    if not query.awaitTermination(timeout_s):
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"not done in {timeout_s} s")
 
